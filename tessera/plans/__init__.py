@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL.
-MODULES = ("telemetry",)
+MODULES = ("telemetry", "trees", "records")
 
 
 def _gather(what: str) -> dict:
