@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 def canonical_root(root: Column) -> Column:
     r"""The canonical spelling of a workspace root: `/` for `\`, no leading `\\?\`, no doubled or trailing separator,
     no `.` segment, an upper-case drive letter. Null for null and blank roots; the root folder stays `/`."""
+    messy = F.lit(False)
+    for sign in ("\\", "//", "/./"):
+        messy = messy | F.contains(root, F.lit(sign))
+    for sign in ("/", "/."):
+        messy = messy | F.endswith(root, F.lit(sign))
+    messy = messy | F.startswith(root, F.lit("./")) | (F.substring(root, 2, 1) == ":")
     p = F.replace(root, F.lit("\\"), F.lit("/"))
     p = F.regexp_replace(p, "^//\\?/", "")
-    p = F.concat(F.regexp_replace(p, "/+", "/"), F.lit("/"))
-    p = F.regexp_replace(F.regexp_replace(p, "/+", "/"), "/(\\./)+", "/")
+    p = F.regexp_replace(F.concat(p, F.lit("/")), "/+", "/")
+    p = F.regexp_replace(p, "/(\\./)+", "/")
     p = F.regexp_replace(p, "^(\\./)+", "")
-    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
-    p = F.when(p.rlike("^[a-z]:"), F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)
-    return F.when(F.trim(root) == "", None).when(p == "", None).otherwise(p)
+    p = F.regexp_replace(p, "(?<=.)/+$", "")
+    # a drive letter: its two parts are matched apart, so that no part of the expression is repeated
+    p = F.transform(F.array(p), lambda x: F.when(x.rlike("^[a-z]:"), F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))).otherwise(x))[0]
+    # most roots are clean already; only the others take the slow way
+    return F.when(F.trim(root) == "", None).when(~messy, root).otherwise(F.nullif(p, F.lit("")))
 
 
 #: The same rule in DuckDB's SQL, for a column {0}.

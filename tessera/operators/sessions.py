@@ -55,7 +55,7 @@ def _day_runs(second: np.ndarray, lo: np.ndarray, hi: np.ndarray, gap: int) -> n
 
 
 def _runs_of_days(gap: int):
-    """mapInArrow over rows sorted by workspace, day, second and tool: one row for each workspace, day, run and tool."""
+    """mapInArrow over rows sorted by workspace, day and least time: one row for each workspace, day, run and tool."""
     schema = pa.schema([("workspace_root", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first_us", pa.int64()),
                         ("first_id", pa.string()), ("tool", pa.string()), ("n", pa.int64())])
 
@@ -68,7 +68,8 @@ def _runs_of_days(gap: int):
             t = t.combine_chunks()
             root = t["workspace_root"].combine_chunks().dictionary_encode()
             code = root.indices.to_numpy(zero_copy_only=False)
-            day, sec, lo, hi, n = (t[c].to_numpy() for c in ("day", "second", "lo", "hi", "n"))
+            day, lo, width, n = (t[c].to_numpy() for c in ("day", "lo", "width", "n"))
+            hi, sec = lo + width, lo // 1000000 % DAY
             tool = t["tool"].combine_chunks().dictionary_encode()
             tools = np.nan_to_num(tool.indices.to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)
             cuts = np.flatnonzero((code[1:] != code[:-1]) | (day[1:] != day[:-1])) + 1
@@ -130,13 +131,14 @@ def sessions(log: DataFrame, pause_seconds: int = 1800) -> DataFrame:
     of 86,400 slots, so even a workspace with a third of all calls is spread over its days and none of its groups can
     exceed 86,400 slots. Runs (at most 48 a workspace and day) are stitched over midnight by a window.
     """
-    second = F.floor(F.col("us") / F.lit(1000000))
     calls = workspace_calls(log, tool=canonical_tool(F.col("tool")))
-    slots = calls.groupBy("workspace_root", F.floor(second / DAY).cast("int").alias("day"), F.pmod(second, F.lit(DAY)).cast("int").alias("second"), "tool").agg(
-        F.min("us").alias("lo"), F.max("us").alias("hi"), F.min(F.struct("us", "id")).alias("first"), F.count("*").alias("n"))
-    slots = slots.select("workspace_root", "day", "second", "tool", "lo", "hi", F.col("first.id").alias("first_id"), "n")
+    slots = calls.groupBy("workspace_root", F.floor(F.col("us") / F.lit(1000000)).alias("second"), "tool").agg(
+        F.min(F.struct("us", "id")).alias("first"), F.max("us").alias("hi"), F.count("*").alias("n"))
+    lo = F.col("first.us")
+    slots = slots.select("workspace_root", F.floor(F.col("second") / DAY).cast("int").alias("day"), "tool", lo.alias("lo"),
+                         (F.col("hi") - lo).cast("int").alias("width"), F.col("first.id").alias("first_id"), "n")
     run, schema = _runs_of_days(pause_seconds)
-    parts = slots.repartition("workspace_root", "day").sortWithinPartitions("workspace_root", "day", "second", "tool").mapInArrow(run, schema)
+    parts = slots.repartition("workspace_root", "day").sortWithinPartitions("workspace_root", "day", "lo").mapInArrow(run, schema)
     day_runs = parts.groupBy("workspace_root", "start", "end").agg(
         F.min(F.struct("first_us", "first_id")).alias("first"), F.sum("n").alias("n"), F.collect_list(F.struct("tool", "n")).alias("tools"))
     w = Window.partitionBy("workspace_root").orderBy("start", "end")
