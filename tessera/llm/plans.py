@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, mixture, spam
+from tessera.llm import docpairs, encode, mixture, spam
 from tessera.sources.tables import table
 
 
+def _documented(spark: SparkSession, folder: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, folder, "symbols"), table(spark, folder, "source_texts"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _documented(spark, folder).select("symbol_id")
+
+
+def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of code and description."""
+    return _documented(spark, folder).where("code IS NOT NULL").select("symbol_id", "language", "name", "kind", "code", "description")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(table(spark, folder, "documents"))
 
@@ -44,5 +57,5 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_scores(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p9_report, p9_mixture, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p8_ids, p8_round_trip, p9_found, p9_report, p9_mixture, p10_found, p10_scores)}
 SQL: dict[str, str] = {}
