@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import docpairs, encode, mixture, spam
+from tessera.llm import docpairs, encode, handwritten, mixture, spam
 from tessera.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _documented(spark, folder).where("code IS NOT NULL").select("symbol_id", "language", "name", "kind", "code", "description")
 
 
+def p4_files(spark: SparkSession, folder: str) -> DataFrame:
+    return handwritten.judged_files(table(spark, folder, "files"), table(spark, folder, "source_texts"), table(spark, folder, "skipped_files"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_files(spark, folder).where("not_by_hand").select("path")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(table(spark, folder, "documents"))
 
@@ -57,5 +65,5 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_scores(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p8_ids, p8_round_trip, p9_found, p9_report, p9_mixture, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_files, p8_ids, p8_round_trip, p9_found, p9_report, p9_mixture, p10_found, p10_scores)}
 SQL: dict[str, str] = {}
