@@ -22,7 +22,6 @@ _DATA = re.compile(r"^[\s\[\](){},;:\"'0-9a-fA-FxXuULl.+\\/=_-]*$")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]*(?!\w)")
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){8,}|[0-9a-fA-F]{32,}")
 _QUOTED = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
-_DIGITS = re.compile(r"\d+")
 _NAMES = re.compile(r"[A-Za-z_$][\w$]*")
 
 HEAD_LINES, TAIL_LINES = 8, 3
@@ -82,26 +81,20 @@ def minified(text: str) -> bool:
     return _NUMBER.sub("", code).count(" ") < 0.1 * size and len(_NAMES.findall(code)) > 20 and data_share(text) < 0.5
 
 
-def sameness(text: str) -> float:
-    """How uniform the lines are: one less the share of distinct line shapes (names and numbers aside) among the lines
-    with names."""
-    shapes = [_DIGITS.sub("0", _NAMES.sub("n", x.strip())) for x in text.splitlines() if _NAMES.search(x)]
-    return 1 - len(set(shapes)) / len(shapes) if shapes else 0.0
+_DECLARES = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:<[^<>]*>)?\([^()]*\)[^(){}]*(?:\{|:|=>|=)\s*$")
+_HEADS = set("if for while switch catch elif with match return".split())
 
 
 def accessors(text: str) -> float:
-    """The share of the lines that are numbered stubs: lines with names that all end in the same running number."""
-    lines = [x for x in text.splitlines() if _NAMES.search(x) and not _COMMENT.match(x)]
-    hit = 0
-    for x in lines:
-        if re.search(r"[A-Za-z_]\d+\b", x) and len(x.strip()) < 90:
-            hit += 1
-    return hit / len(lines) if lines else 0.0
+    """The share of numbered stubs among the functions that a text declares, 0 for fewer than six: their names end in
+    running numbers."""
+    names = [m.group(1) for m in map(_DECLARES.search, text.splitlines()) if m and m.group(1) not in _HEADS]
+    return sum(n[-1].isdigit() for n in names) / len(names) if len(names) >= 6 else 0.0
 
 
 def signs(path: str, text: str) -> dict:
     """generated, by_hand, imported, foreign (the name of another project in the header), banner, minified, data (share
-    of embedded data), stubs (share of numbered stub lines)."""
+    of embedded data), stubs (share of numbered stubs among the functions)."""
     head, tail = comments(text)
     top = " ".join(head)
     own = own_names(path)

@@ -169,11 +169,11 @@ def judged_files(files: DataFrame, source_texts: DataFrame, skipped_files: DataF
     facts = cut(code.join(looks, "file_id", "left").select("path", "bytes", "digest", "evident", F.coalesce("by_hand", F.lit(False)).alias("by_hand")), "facts")
 
     named = facts.select("path", "evident").mapInArrow(_patterns, "path string, evident boolean, pattern string, known boolean")
-    base = facts.agg(F.coalesce(F.avg(F.col("evident").cast("double")), F.lit(0.0)).alias("base"))  # one row
+    base = facts.agg(F.coalesce(F.avg(F.col("evident").cast("double")), F.lit(0.0))).first()[0]  # one number
     seen = named.groupBy("pattern", "known").agg(F.count("evident").alias("n"), F.sum(F.col("evident").cast("int")).alias("hits"))
-    expected = F.when(F.col("known"), F.lit(KNOWN_RATE)).otherwise(F.col("base"))
+    expected = F.when(F.col("known"), F.lit(KNOWN_RATE)).otherwise(F.lit(base))
     rate = (F.coalesce("hits", F.lit(0)) + PRIOR * expected) / (F.col("n") + PRIOR)
-    mined = seen.join(F.broadcast(base)).where((F.col("known") & (rate >= KNOWN_LEAST)) | ((F.col("n") >= OTHER_FILES) & (F.coalesce("hits", F.lit(0)) / F.col("n") >= 0.9) & (rate >= OTHER_LEAST))).select("pattern")
+    mined = seen.where((F.col("known") & (rate >= KNOWN_LEAST)) | ((F.col("n") >= OTHER_FILES) & (F.coalesce("hits", F.lit(0)) / F.col("n") >= 0.9) & (rate >= OTHER_LEAST))).select("pattern")
     by_name = named.join(mined, "pattern").groupBy("path").agg(F.bool_or("known").alias("by_known"), F.bool_or(~F.col("known")).alias("by_other"), F.bool_or(F.col("known") & F.endswith("pattern", F.lit("/"))).alias("in_folder"))
     j = cut(facts.join(by_name, "path", "left"), "named")
     copied = j.where("in_folder AND digest IS NOT NULL AND NOT by_hand").select("digest").distinct().withColumn("copied", F.lit(True))

@@ -6,7 +6,7 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.encode import encode
@@ -100,10 +100,10 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     want = targets.where("source IS NOT NULL").groupBy("source").agg(
         F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     have = sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("available_tokens"))
-    total = have.agg(F.coalesce(F.sum("available_tokens"), F.lit(0)).alias("total"))
-    j = want.join(have, "source", "left").join(F.broadcast(total))  # one row
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # one number
+    j = want.join(have, "source", "left")
     j = j.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
-                 F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), (F.col("target_share") * F.col("total")).alias("target_tokens"))
+                 F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), (F.col("target_share") * F.lit(total)).alias("target_tokens"))
     most = F.col("available_tokens") * F.col("max_repeats")
     rate = F.when(F.col("available_tokens") > 0, F.least(F.col("target_tokens") / F.col("available_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return j.withColumn("reachable", ~(most < F.col("target_tokens"))).withColumn("rate", rate)
@@ -134,9 +134,9 @@ def report(planned: DataFrame, mixed: DataFrame) -> DataFrame:
     mixture) and most_used, the greatest number of copies of one document."""
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixture_tokens"), F.sum("copies").alias("mixture_copies"), F.max("copies").alias("most_used"))
     j = planned.join(got, "source", "left").fillna(0, ["mixture_tokens", "mixture_copies", "most_used"])
-    all_ = got.agg(F.sum("mixture_tokens").alias("all"))
-    share = F.when(F.col("all") > 0, F.col("mixture_tokens") / F.col("all")).otherwise(0.0)
-    return j.join(F.broadcast(all_)).withColumn("actual_share", share).drop("all", "rate")  # one row
+    whole = F.sum("mixture_tokens").over(Window.partitionBy(F.lit(1)))  # over the target sources only
+    share = F.when(whole > 0, F.col("mixture_tokens") / whole).otherwise(0.0)
+    return j.withColumn("actual_share", share).drop("rate")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
