@@ -88,7 +88,8 @@ _HEADS = set("if for while switch catch elif with match return".split())
 def accessors(text: str) -> float:
     """The share of numbered stubs among the functions that a text declares, 0 for fewer than six: their names end in
     running numbers."""
-    names = [m.group(1) for m in map(_DECLARES.search, text.splitlines()) if m and m.group(1) not in _HEADS]
+    ends = (x for x in text.splitlines() if len(x) < 400 and x.rstrip().endswith(("{", ":", "=>", "=")))
+    names = [m.group(1) for m in map(_DECLARES.search, ends) if m and m.group(1) not in _HEADS]
     return sum(n[-1].isdigit() for n in names) / len(names) if len(names) >= 6 else 0.0
 
 
