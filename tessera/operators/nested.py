@@ -307,7 +307,9 @@ def shred(ids: list, payloads: list[bytes]) -> list[tuple]:
 def _plain(rows: list, part: _Part, kind: str, owner: str | None) -> None:
     for path, e, f in zip(part.paths, part.entries, part.scalars()):
         parent = path.rsplit(".", 1)[0]
-        rows.append((e, path, parent.rsplit(".", 1)[0] if parent.endswith(".retained_traces") else parent, kind, owner, f))
+        if parent.endswith((".retained_traces", ".indexing", ".added_tests.receipt")):  # these are no rows of their own
+            parent = parent.rsplit(".", 1)[0]
+        rows.append((e, path, parent, kind, owner, f))
 
 
 def _cleanups(rows: list, owners: _Part, owner: str) -> None:
