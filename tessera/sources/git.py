@@ -20,7 +20,7 @@ def parse_hunks(diff: str) -> list[tuple[str, int, int]]:
         m = re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@", line)
         if m and path:
             start, count = int(m.group(1)), int(m.group(2) or 1)
-            rows.append((path, max(1, start), max(1, start + count - 1)))
+            rows.append((path, max(1, start), max(1, start, start + count - 1)))
     return rows
 
 
