@@ -24,6 +24,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     Defined results: null ends are no edges; repeated edges and seeds count once; no seeds give no rows.
     """
     step = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    if depth > 1:  # each level reads the edges; they are made once
+        step = cut(step, "edges")
     frontier = seeds.select(F.col("seed"), F.col("seed").alias("node")).where("seed IS NOT NULL").distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for d in range(1, depth + 1):

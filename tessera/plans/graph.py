@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import walk
 from tessera.plans import facts
+from tessera.session import cut
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    return facts.edges(spark, folder).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst"))
+    return cut(facts.edges(spark, folder).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")), "edges")
 
 
 def _seeds(e: DataFrame) -> DataFrame:

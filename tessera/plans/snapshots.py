@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.names import CALLABLE
 from tessera.operators import diff, walk
 from tessera.plans import facts
+from tessera.session import cut
 from tessera.sources.tables import table
 
 
@@ -62,7 +63,7 @@ def symbol_hunks(spark, f):
 def tests_to_run(spark, f):
     """Tests of the changed callables: direct callers, then what a walk of depth 4 finds."""
     s = facts.symbols(spark, f)
-    e = facts.edges(spark, f).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst"))
+    e = cut(facts.edges(spark, f).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")), "edges")
     changed = s.where((F.conv(F.substring("symbol_id", 1, 8), 16, 10).cast("bigint") % 5 == 0) & F.col("kind").isin(*CALLABLE)).select(F.col("symbol_id").alias("seed"))
     t = s.where(F.coalesce("is_test", F.lit(False))).select(F.col("symbol_id").alias("node"))
     found = walk.reach(e, changed, 4).join(t, "node").select(F.col("seed").alias("change"), F.col("node").alias("test_id"), "depth")
