@@ -72,14 +72,17 @@ def overloads(symbols: DataFrame) -> DataFrame:
 
 def suggestions(names: DataFrame, asked: DataFrame, edits: int = 2, limit: int = 3) -> DataFrame:
     """(asked, name, distance): known names within so many edits of an asked one, nearest first, at most `limit`. An edit
-    touches at most three trigrams, so candidates share all but 3 x edits of the asked name's; asked names with no more
-    trigrams than that are compared with the names that share at least one."""
+    touches at most three trigrams, so of any 3 x edits + 1 trigrams of the asked name one is left in every such name:
+    candidates are joined by that many of its rarest trigrams (all, if it has fewer; then one must be shared), so frequent
+    trigrams are not looked up. Names are compared once each, however many symbols bear them."""
     known = names.select(F.col("name"), F.lower("name").alias("low")).distinct()
     a = asked.select("asked", F.lower("asked").alias("al")).distinct()
     grams = known.select("name", "low", F.explode(trigrams(F.col("low"))).alias("gram"))
-    n = F.size(trigrams(F.col("al")))
-    j = a.select("asked", "al", F.explode(trigrams(F.col("al"))).alias("gram")).join(grams, "gram").where(F.abs(F.length("al") - F.length("low")) <= edits)
-    j = j.groupBy("asked", "al", "name", "low").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), n - 3 * edits))
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    probe = a.select("asked", "al", F.explode(trigrams(F.col("al"))).alias("gram")).join(df, "gram", "left")
+    rare = F.row_number().over(Window.partitionBy("asked").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    probe = probe.withColumn("rn", rare).where(F.col("rn") <= 3 * edits + 1).select("asked", "al", "gram")
+    j = probe.join(grams, "gram").where(F.abs(F.length("al") - F.length("low")) <= edits).select("asked", "al", "name", "low").distinct()
     j = j.withColumn("distance", F.levenshtein("al", "low", edits)).where("distance BETWEEN 1 AND " + str(edits))
     w = Window.partitionBy("asked").orderBy("distance", "name")
     return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("asked", "name", "distance")

@@ -219,3 +219,83 @@ def merge_streams(events: DataFrame) -> DataFrame:
     event counts at the latest time of its path so far."""
     w = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("place_time", F.max("time").over(w))
+
+
+def place_sites(judged: DataFrame, hunks: DataFrame) -> DataFrame:
+    """The sites with place: in_diff where a hunk (path, start_line, end_line) of the file holds the line, else the label."""
+    h = hunks.select("path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+    inside = judged.select("path", "line").distinct().join(h, "path").where("line BETWEEN a AND b").select("path", "line", F.lit(True).alias("inside")).distinct()
+    return judged.join(inside, ["path", "line"], "left").withColumn("place", F.when(F.col("inside"), "in_diff").otherwise(F.col("label"))).drop("inside")
+
+
+def blocking(placed: DataFrame, most: int = 15) -> DataFrame:
+    """What may stop an edit: proven sites outside the diff, the first `most` of each target; nothing else ever does."""
+    w = Window.partitionBy("target").orderBy("path", "line", "name")
+    return placed.where("place = 'proven' AND target IS NOT NULL").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("target", "path", "line", "rn")
+
+
+def unique_bodies(symbols: DataFrame, texts: DataFrame, most: int = 8000) -> DataFrame:
+    """(name, symbol_id, text) of callables that are the only ones of their name, where the text has at most `most`
+    characters. texts: (symbol_id, text)."""
+    one = symbols.where(F.col("kind").isin(*CALLABLE) & F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1")
+    return one.join(texts, "symbol_id").where(F.length("text") <= most).select("name", "symbol_id", "text")
+
+
+def snippets(texts: DataFrame, word: str, around: int = 20) -> DataFrame:
+    """(symbol_id, snippet): the first place of a word in each text with some characters around it. Case does not matter."""
+    at = F.instr(F.lower("text"), word.lower())
+    start = F.greatest(F.lit(1), at - around)
+    return texts.where(at > 0).select("symbol_id", F.substring("text", start, at - start + len(word) + around).alias("snippet"))
+
+
+def receivers(lines: DataFrame) -> DataFrame:
+    """(path, line, receiver, name, uses): what stands before the dot of a call."""
+    pat = F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)\(")
+    z = F.arrays_zip(F.regexp_extract_all("text", pat, 1).alias("receiver"), F.regexp_extract_all("text", pat, 2).alias("name"))
+    return lines.select("path", "line", F.explode(z).alias("c")).groupBy("path", "line", "c.receiver", "c.name").agg(F.count("*").alias("uses"))
+
+
+def continued_chains(lines: DataFrame) -> DataFrame:
+    """(path, line): lines that go on with a chain of calls (they begin with a dot) and whose line before is not blank."""
+    w = Window.partitionBy("path").orderBy("line")
+    return lines.withColumn("before", F.lag("text").over(w)).where(F.ltrim("text").startswith(".") & (F.trim("before") != "")).select("path", "line")
+
+
+def is_lambda_name(name: Column) -> Column:
+    """Names that an extractor gives to lambdas."""
+    return F.coalesce(name.rlike(r"^lambda_\d+$"), F.lit(False))
+
+
+def variants_used(sites: DataFrame, variants: DataFrame) -> DataFrame:
+    """(owner, containing_symbol_id, variants, first_line): how many different variants (owner, name) each caller uses.
+    Names that several owners have say nothing about any of them and are left out, so a name is joined with one owner."""
+    one = variants.groupBy("name").agg(F.countDistinct("owner").alias("owners"), F.min("owner").alias("owner")).where("owners = 1").drop("owners")
+    j = sites.where("containing_symbol_id IS NOT NULL").join(one, "name")
+    return j.groupBy("owner", "containing_symbol_id").agg(F.countDistinct("name").alias("variants"), F.min("line").alias("first_line"))
+
+
+def name_rows(symbols: DataFrame, sites: DataFrame) -> DataFrame:
+    """(name, path, line, source): definitions and uses of names in one table, tagged by where they come from."""
+    d = symbols.where("name IS NOT NULL AND path IS NOT NULL").select("name", "path", F.col("start_line").alias("line"), F.lit("definition").alias("source"))
+    return d.unionByName(sites.select("name", "path", "line", F.lit("use").alias("source")))
+
+
+def most_used(names: DataFrame, uses: DataFrame, n: int = 30) -> DataFrame:
+    """The n most used of some symbols (symbol_id, name, path), unused ones last; ties by path and id."""
+    return names.join(uses, "name", "left").select("symbol_id", "name", "path", F.coalesce("uses", F.lit(0)).alias("uses")).orderBy(F.col("uses").desc(), F.col("path").asc_nulls_first(), "symbol_id").limit(n)
+
+
+def uncovered(languages: DataFrame, gaps: dict[str, str]) -> DataFrame:
+    """(language, gap): which of the languages in use (language) have a known gap in what is extracted."""
+    known = languages.sparkSession.createDataFrame(sorted(gaps.items()), "language string, gap string")
+    return known.join(languages.select("language").distinct(), "language", "left_semi")
+
+
+def fact_counts(facts: DataFrame, families: dict[str, str]) -> DataFrame:
+    """(family, patterns, facts): structural facts (pattern_id) by the family that a pattern's first part names; patterns
+    of no known family stand for themselves."""
+    head = F.split("pattern_id", "[./]")[0]
+    name = head
+    for part, family_ in families.items():
+        name = F.when(head == part, family_).otherwise(name)
+    return facts.groupBy(name.alias("family")).agg(F.countDistinct("pattern_id").alias("patterns"), F.count("*").alias("facts"))

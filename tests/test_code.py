@@ -170,3 +170,51 @@ def test_renames_need_a_unique_body(spark, rows):
     assert rows(diff.renames(b, c, p)) == [("b1", "c1")]
     assert rows(diff.changes(b, c, p)) == [("b4", "c4", "signature")]
     assert diff.pair(snap(spark), snap(spark)).count() == 0
+
+
+def test_imports(spark, rows):
+    from tessera.operators import imports
+
+    lines = spark.createDataFrame([("p/a.py", "import b"), ("p/b.py", "from x import y"), ("p/c.ts", "import { q } from './d';"), ("p/e.rs", "use crate::f;"), ("p/g.c", '#include "x/h.h"'), ("p/i.cs", "using App.J;"), ("p/k", None)], "path string, text string")
+    assert rows(imports.imported_stems(lines)) == [("p/a.py", "b"), ("p/c.ts", "d"), ("p/e.rs", "f"), ("p/g.c", "h"), ("p/i.cs", "j")]
+    files = spark.createDataFrame([("p/a.py",), ("p/sub/b.py",), ("q/b.py",)], "path string")
+    e = imports.import_edges(spark.createDataFrame([("p/a.py", "b")], "path string, stem string"), files)
+    assert rows(e) == [("p/a.py", "p/sub/b.py")]
+    chain = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"))
+    assert rows(imports.follow_imports(chain, seeds(spark, "a"), 4, 2)) == [("a", "b", 1), ("a", "c", 2)]
+
+
+def test_types_and_overrides(spark, rows):
+    from tessera.operators import imports
+
+    t = spark.createDataFrame([("1", "Base", "class", "class Base"), ("2", "Sub", "class", "class Sub extends Base implements Odd"), ("3", "Leaf", "class", "public class Leaf : Sub"), ("4", "Odd", "class", ""), ("5", "Odd", "class", None)], "symbol_id string, name string, kind string, signature string")
+    e = imports.type_edges(t)
+    assert rows(e) == [("2", "1"), ("3", "2")]
+    above = imports.hierarchy(e, seeds(spark, "3"))
+    assert rows(above) == [("3", "1", 2), ("3", "2", 1)]
+    m = spark.createDataFrame([("m1", "run", "1"), ("m2", "run", "2"), ("m3", "run", "3"), ("m4", "stop", "3")], "symbol_id string, name string, owner_id string")
+    assert rows(imports.overrides(m, above)) == [("m3", "m2", 1)]
+
+
+def test_placing_and_small_reports(spark, rows):
+    j = spark.createDataFrame([("p", 1, "n", "proven", "t"), ("p", 9, "n", "proven", "t"), ("q", 1, "m", "likely", "t")], "path string, line int, name string, label string, target string")
+    h = spark.createDataFrame([("p", 1, 3), ("p", 2, 4)], "path string, start_line int, end_line int")
+    placed = report.place_sites(j, h)
+    assert sorted(r.place for r in placed.collect()) == ["in_diff", "likely", "proven"] and rows(report.blocking(placed)) == [("t", "p", 9, 1)]
+    f = spark.createDataFrame([("sql.select",), ("sql.select",), ("route/get",), ("odd",)], "pattern_id string")
+    assert rows(report.fact_counts(f, {"sql": "sql", "route": "routes"})) == [("odd", 1, 1), ("routes", 1, 1), ("sql", 1, 2)]
+    assert rows(report.uncovered(spark.createDataFrame([("go",), ("go",)], "language string"), {"go": "x", "r": "y"})) == [("go", "x")]
+    assert spark.range(1).select(report.is_lambda_name(F.lit("lambda_12")).alias("a"), report.is_lambda_name(F.lit(None).cast("string")).alias("b")).first() == (True, False)
+
+
+def test_logs(spark, rows, tmp_path):
+    from tessera.sources import log
+
+    p = f"file://{tmp_path}/log"
+    schema = "workspace_root string, session_id string, diff_hash string, timestamp int, followed boolean, base string"
+    for r in (("w", "s", "d", 1, None, "b1"), ("w", "s", "d", 2, None, "b2"), ("w", "s", "e", 1, None, None)):
+        log.append(spark.createDataFrame([r], schema), p)
+    checks = spark.read.parquet(p)
+    got = log.follow_up(checks, spark.createDataFrame([("w", "s", "d")], "workspace_root string, session_id string, diff_hash string"))
+    assert sorted((r.diff_hash, r.timestamp, r.followed) for r in got.collect()) == [("d", 2, True), ("e", 1, False)]
+    assert rows(log.session_base(checks)) == [("s", "b2")]
