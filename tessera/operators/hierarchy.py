@@ -144,11 +144,14 @@ def components(symbols: DataFrame) -> DataFrame:
 
 
 WHITE, GREY, BLACK = 0, 1, 2
+#: Ids that a solving task collects before it hands rows on.
+FLUSH_IDS = 200_000
 
 
-def solve(ids: list[str], parents: list[str | None]) -> list[tuple]:
+def solve(ids: list[str], parents: list[str | None]) -> Iterator[tuple]:
     """One component: (symbol_id, root, depth, chain from the root to the symbol, descendants, least id of the circle,
-    on the circle) of each symbol, by iterative depth-first traversal with node colours."""
+    on the circle) of each symbol, by iterative depth-first traversal with node colours. Rows come as nodes are left, so
+    only the current line is held, however deep the tree."""
     n = len(ids)
     at = {s: i for i, s in enumerate(ids)}
     up = [at.get(p, -1) if p is not None else -1 for p in parents]
@@ -157,10 +160,7 @@ def solve(ids: list[str], parents: list[str | None]) -> list[tuple]:
         if p >= 0:
             children[p].append(i)
     colour = [WHITE] * n
-    depth = [0] * n
-    chain: list[list[str] | None] = [None] * n
     below = [0] * n
-    root: list[str | None] = [None] * n
     for top in (i for i in range(n) if up[i] < 0):
         stack, line = [top], []
         while stack:
@@ -168,16 +168,16 @@ def solve(ids: list[str], parents: list[str | None]) -> list[tuple]:
             if colour[v] == WHITE:
                 colour[v] = GREY
                 line.append(ids[v])
-                chain[v], depth[v], root[v] = list(line), len(line) - 1, ids[top]
                 stack.extend(children[v])
-            else:
-                stack.pop()
-                if colour[v] == GREY:
-                    colour[v] = BLACK
-                    line.pop()
-                    below[v] = sum(below[c] + 1 for c in children[v])
+                continue
+            stack.pop()
+            if colour[v] == GREY:
+                colour[v] = BLACK
+                if up[v] >= 0:
+                    below[up[v]] += below[v] + 1
+                yield ids[v], ids[top], len(line) - 1, list(line), below[v], None, False
+                line.pop()
     circle: list[str | None] = [None] * n
-    on = [False] * n
     for start in range(n):  # what no root reaches hangs on a circle
         if colour[start] != WHITE:
             continue
@@ -186,43 +186,49 @@ def solve(ids: list[str], parents: list[str | None]) -> list[tuple]:
             colour[v] = GREY
             trail.append(v)
             v = up[v]
+        ring: list[int] = []
         if colour[v] == GREY:  # a back edge
             ring = trail[trail.index(v):]
             least = min(ids[i] for i in ring)
-            for i in ring:
-                on[i] = True
         else:
             least = circle[v]
+        on = set(ring)
         for i in trail:
             circle[i], colour[i] = least, BLACK
-    return [(ids[i], root[i], depth[i] if root[i] is not None else None, chain[i], below[i] if root[i] is not None else None, circle[i], on[i]) for i in range(n)]
+            yield ids[i], None, None, None, None, least, i in on
 
 
 def _solve_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by component."""
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.bool_()]
     names = [c.split()[0] for c in RESULT.split(", ")]
-    out: list[tuple] = []
-
-    def flush():
+    def flush(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    now, ids, parents = None, [], []
-    for b in batches:
-        for c, i, p in zip(b.column("component").to_pylist(), b.column("symbol_id").to_pylist(), b.column("parent").to_pylist()):
-            if c != now and ids:
-                out += [(r[0], now, *r[1:]) for r in solve(ids, parents)]
-                ids, parents = [], []
-                if len(out) >= 20_000:
-                    yield flush()
-                    out = []
-            now = c
-            ids.append(i)
-            parents.append(p)
-    if ids:
-        out += [(r[0], now, *r[1:]) for r in solve(ids, parents)]
+    def components():
+        now, ids, parents = None, [], []
+        for b in batches:
+            for c, i, p in zip(b.column("component").to_pylist(), b.column("symbol_id").to_pylist(), b.column("parent").to_pylist()):
+                if c != now and ids:
+                    yield now, ids, parents
+                    ids, parents = [], []
+                now = c
+                ids.append(i)
+                parents.append(p)
+        if ids:
+            yield now, ids, parents
+
+    out: list[tuple] = []
+    size = 0
+    for name, ids, parents in components():
+        for r in solve(ids, parents):
+            out.append((r[0], name, *r[1:]))
+            size += 1 + len(r[3] or ())
+            if size >= FLUSH_IDS:
+                yield flush(out)
+                out, size = [], 0
     if out:
-        yield flush()
+        yield flush(out)
 
 
 def _solve_wide(rows: DataFrame) -> DataFrame:

@@ -299,3 +299,25 @@ def fact_counts(facts: DataFrame, families: dict[str, str]) -> DataFrame:
     for part, family_ in families.items():
         name = F.when(head == part, family_).otherwise(name)
     return facts.groupBy(name.alias("family")).agg(F.countDistinct("pattern_id").alias("patterns"), F.count("*").alias("facts"))
+
+
+def caller_rows(judged: DataFrame, sites: DataFrame) -> DataFrame:
+    """(target, caller, sites, first_line, surest): the callers of each target at depth 1, by the label of their best site.
+    sites adds containing_symbol_id."""
+    s = sites.select("file_id", "line", "name", F.col("containing_symbol_id").alias("caller")).where("caller IS NOT NULL")
+    j = judged.where("target IS NOT NULL").join(s, ["file_id", "line", "name"])
+    best = F.min(F.struct(label_rank(F.col("label")).alias("r"), F.col("label").alias("label")))
+    return j.groupBy("target", "caller").agg(F.count("*").alias("sites"), F.min("line").alias("first_line"), best.alias("b")).select("target", "caller", "sites", "first_line", F.col("b.label").alias("surest"))
+
+
+def bind_overloads(calls: DataFrame, ranges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_id, line, name, args, symbol_id): calls (file_id, line, name, args) of names that their file defines more than
+    once, bound to the one overload that takes so many arguments; calls that fit none or several are left out. Overloads
+    of a name in a file are first reduced to one row for each number of arguments."""
+    s = symbols.where(F.col("kind").isin(*CALLABLE)).select("symbol_id", "file_id", "name")
+    several = s.groupBy("file_id", "name").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    need = calls.select("file_id", "name", "args").distinct().join(several, ["file_id", "name"])
+    r = ranges.join(s, "symbol_id")
+    fit = need.join(r, ["file_id", "name"]).where((F.col("args") >= F.col("least")) & (F.col("most").isNull() | (F.col("args") <= F.col("most"))))
+    one = fit.groupBy("file_id", "name", "args").agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")
+    return calls.select("file_id", "line", "name", "args").distinct().join(one, ["file_id", "name", "args"]).select("file_id", "line", "name", "args", "symbol_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import imports, report, scan
+from tessera.operators import diff, imports, report, scan, walk
 from tessera.plans import facts, reports, snapshots
 from tessera.session import cut
 from tessera.sources.tables import table
@@ -78,7 +78,24 @@ def file_sizes(spark, f):
     return facts.files(spark, f).join(s, "file_id", "left_semi").agg(F.count("*").alias("files"), F.coalesce(F.sum("content_bytes"), F.lit(0)).alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (import_graph, import_closure, part_hierarchy, related_types, placed_sites, blocking_sites, unique_bodies, text_snippets, call_receivers, chained_lines, variant_uses, all_name_rows, most_used_symbols, file_sizes)}
+def callers(spark, f):
+    return report.caller_rows(reports._judged(spark, f), facts.identifiers(spark, f))
+
+
+def overload_bindings(spark, f):
+    s = facts.symbols(spark, f)
+    return report.bind_overloads(report.call_arguments(facts.lines(spark, f)), report.arity(s), s)
+
+
+def impact_of_hunks(spark, f):
+    """The walk from the innermost symbols of changed lines."""
+    s = facts.symbols(spark, f)
+    e = cut(facts.edges(spark, f).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")), "edges")
+    seeds = diff.touched(s.where("path IS NOT NULL"), snapshots._hunks(spark, f)).where("symbol_id IS NOT NULL").select(F.col("symbol_id").alias("seed")).distinct()
+    return walk.impact(e, s, seeds, 1).select("seed", "symbol_id", "depth", "is_test", "place")
+
+
+QUERIES = {f.__name__: f for f in (import_graph, import_closure, part_hierarchy, related_types, placed_sites, blocking_sites, unique_bodies, text_snippets, call_receivers, chained_lines, variant_uses, all_name_rows, most_used_symbols, file_sizes, callers, overload_bindings, impact_of_hunks)}
 
 _PROJECT = "regexp_extract({0}, '^(monorepo/[^/]+|[^/]+)', 1)"
 _IMPORTS = rf"""{facts.FILES_SQL}, {facts.LINES_SQL},
@@ -111,5 +128,17 @@ SQL = {
     "all_name_rows": f"""WITH {facts.IDENTIFIERS_SQL}, x AS (SELECT name, 'definition' AS source FROM s WHERE name IS NOT NULL AND path IS NOT NULL UNION ALL SELECT name, 'use' FROM i) SELECT name, source, count(*) AS n FROM x GROUP BY ALL""",
     "most_used_symbols": f"""WITH {facts.IDENTIFIERS_SQL}, nu AS (SELECT name, sum(uses)::BIGINT AS uses FROM i GROUP BY name) SELECT symbol_id, name, path, coalesce(uses, 0) AS uses FROM s LEFT JOIN nu USING (name)
       WHERE kind IN ('function', 'method') AND name IS NOT NULL ORDER BY coalesce(uses, 0) DESC, path NULLS FIRST, symbol_id LIMIT 30""",
+    "callers": f"""WITH {reports._V}, j AS (SELECT v.*, i.containing_symbol_id AS caller, {reports._RANK} AS r FROM v JOIN i USING (file_id, line, name) WHERE target IS NOT NULL AND containing_symbol_id IS NOT NULL)
+      SELECT target, caller, count(*) AS sites, min(line) AS first_line, arg_min(label, r) AS surest FROM j GROUP BY ALL""",
+    "overload_bindings": rf"""WITH {facts.SYMBOLS_SQL}, {facts.LINES_SQL}, {reports._PARAMS}, ca AS (SELECT DISTINCT file_id, line, name, CASE WHEN trim(inn) = '' THEN 0 ELSE len(string_split(trim(inn), ',')) END::INTEGER AS args FROM (
+        SELECT file_id, line, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\(([^()]*)\)', 1)) AS name, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\(([^()]*)\)', 2)) AS inn FROM l)),
+      sv AS (SELECT file_id, name FROM s WHERE kind IN ('function', 'method', 'constructor') GROUP BY ALL HAVING count(*) > 1),
+      fit AS (SELECT c.file_id, c.name, c.args, min(ar.symbol_id) AS symbol_id FROM (SELECT DISTINCT file_id, name, args FROM ca JOIN sv USING (file_id, name)) c JOIN ar USING (file_id, name) WHERE c.args >= least AND (most IS NULL OR c.args <= most) GROUP BY ALL HAVING count(*) = 1)
+      SELECT file_id, line, name, args, symbol_id FROM ca JOIN fit USING (file_id, name, args)""",
+    "impact_of_hunks": f"""WITH {facts.EDGES_SQL}, {snapshots._H}, hs AS (SELECT symbol_id AS seed FROM (SELECT s.symbol_id, row_number() OVER (PARTITION BY h.path, h.start_line ORDER BY s.end_line - s.start_line, s.symbol_id) AS rn
+        FROM (SELECT DISTINCT * FROM h) h JOIN s ON s.path = h.path AND h.start_line BETWEEN s.start_line AND s.end_line) WHERE rn = 1 GROUP BY symbol_id),
+      r AS (SELECT DISTINCT hs.seed, s.symbol_id, s.path, s.start_line, s.kind, coalesce(s.is_test, false) AS is_test FROM hs JOIN e ON e.to_symbol_id = hs.seed AND e.from_symbol_id <> hs.seed JOIN s ON s.symbol_id = e.from_symbol_id)
+      , q AS (SELECT seed, symbol_id, 1 AS depth, is_test, row_number() OVER (PARTITION BY seed, is_test ORDER BY path NULLS FIRST, start_line NULLS FIRST, symbol_id)::INTEGER AS place FROM r
+        WHERE is_test OR kind NOT IN ('import', 'field', 'property', 'variable', 'parameter', 'module', 'namespace')) SELECT * FROM q WHERE place <= 200""",
     "file_sizes": f"WITH {facts.SYMBOLS_SQL} SELECT count(*) AS files, coalesce(sum(content_bytes), 0)::BIGINT AS bytes FROM f WHERE file_id IN (SELECT file_id FROM s WHERE is_test)",
 }

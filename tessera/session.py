@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -28,12 +29,15 @@ def build_session(master: str = "local[*]", app: str = "tessera", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Where it is unset, as in tests, a
-    temporary one is made, on a local master only; on a cluster an unset folder is an error."""
+    """The folder that all executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder. Where
+    neither is set, as in tests, a temporary one is made, on a local master only; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if context.isDefined():
+        return context.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     named = "file://" + tempfile.mkdtemp(prefix="tessera-")
     spark.conf.set("spark.checkpoint.dir", named)
