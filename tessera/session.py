@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +57,31 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Applications whose Python workers know this package already.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of all executors, whatever folder and path the driver was
+    started with: the package is zipped once and added to the session. Code started with --py-files needs no call."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/tessera.zip"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    _written.append((spark, path.rsplit("/", 1)[0]))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:

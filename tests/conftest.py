@@ -11,10 +11,11 @@ os.environ.setdefault("TZ", "UTC")
 
 @pytest.fixture(scope="session")
 def spark():
-    from tessera.session import build_session
+    from tessera.session import build_session, ship
 
     s = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
 
