@@ -15,6 +15,18 @@ ALIASES = {"py": "python", "js": "javascript", "ts": "typescript", "golang": "go
 FAMILIES = {"javascript": "js", "typescript": "js", "tsx": "js", "jsx": "js", "vue": "js", "java": "jvm", "kotlin": "jvm",
             "csharp": "dotnet", "vbnet": "dotnet", "razor": "dotnet", "c": "c", "cpp": "c"}
 
+# Function words that a search leaves out as long as a content word remains.
+STOP_WORDS = tuple(
+    "was were been being has have had do does did so not no whether when what which who whom where why how another other one two same than then its their them they we you your our can could should would will may "
+    "might must also only just if else each every all any some such because while until since never always still yet more most very much many about between without within through again here there these those both "
+    "either neither nor but too via per already instead rather ever once itself".split())
+
+
+def content_words(terms: Column) -> Column:
+    """Words without the stop words; all of them where nothing else is left."""
+    rest = F.array_except(terms, F.array(*map(F.lit, STOP_WORDS)))
+    return F.when(F.size(rest) > 0, rest).otherwise(terms)
+
 
 def language(column: Column) -> Column:
     """One spelling of a language; null stays null."""

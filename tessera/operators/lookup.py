@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.names import CALLABLE, CONTAINER, tokens
+from tessera.functions.names import CALLABLE, CONTAINER, content_words, tokens
 
 #: A term counts as carried by at most so many symbols.
 DF_CAP = 20_000
@@ -106,7 +106,7 @@ def document_frequency(index: DataFrame) -> DataFrame:
 def search(symbols: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query, symbol_id, score, place): ranked search for queries of several words.
 
-    Recall: symbols whose name carries the two rarest words of the query (its only word), found by one equi join on pairs
+    Stop words count only where a query has nothing else. Recall: symbols whose name carries the two rarest words of the query (its only word), found by one equi join on pairs
     of words. Rank: each query word counts once, by the strongest field it stands in (name token 3, text 1), times
     ln(1 + N / (df + 1)); plus 100 if the words are the whole name of a callable or container (60 for other kinds), plus
     60 if all words stand in the name. Ties go by name and id.
@@ -114,7 +114,7 @@ def search(symbols: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame
     total = symbols.count()  # one number
     index = postings(symbols)
     df = document_frequency(index)
-    q = queries.select("query", F.array_distinct(tokens(F.col("query"))).alias("terms")).where("size(terms) > 0").distinct()
+    q = queries.select("query", content_words(F.array_distinct(tokens(F.col("query")))).alias("terms")).where("size(terms) > 0").distinct()
     qt = q.select("query", F.explode("terms").alias("term")).join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = qt.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, 2).alias("r"))
     key = lambda a: F.array_join(F.array_sort(a), " ")

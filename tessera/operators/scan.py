@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import folder, normal_path
 
-# Fixed values that must equal those of the fact store: folders and file name endings that are never indexed.
-EXCLUDED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "target", "build", "dist", "out", "bin", "obj", "vendor", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", ".pytest_cache",
-                    ".idea", ".vscode", ".gradle", ".next", ".nuxt", "coverage", ".cache", "bower_components", ".terraform", "Pods")
-EXCLUDED_ENDINGS = (".min.js", ".min.css", ".map", ".lock", ".png", ".jpg", ".jpeg", ".gif", ".pdf", ".zip", ".exe", ".dll", ".so", ".bundle.js")
+# Fixed values that must equal those of the fact format: folders and file name endings that are never indexed. A tool's own
+# state folders are passed by the caller.
+EXCLUDED_FOLDERS = (".git", ".hg", ".svn", ".worktrees", "worktrees", ".venv", "venv", ".env", ".tox", ".vs", "node_modules", "vendor", "target", "dist", "build", ".cache", "obj", "TestResults", ".idea", ".vscode")
+EXCLUDED_ENDINGS = (".min.js", ".bundle.js", ".generated.js", ".generated.jsx", ".generated.ts", ".generated.tsx", ".generated.d.ts", ".tmp", ".swp", "~", ".db-wal", ".db-shm", ".sqlite-wal", ".sqlite-shm")
 
 
-def excluded(path: Column) -> Column:
-    """Whether a path lies in an excluded folder or has an excluded ending."""
+def excluded(path: Column, own_folders: tuple[str, ...] = ()) -> Column:
+    """Whether a part of a path is an excluded folder's name, or the path has an excluded ending; case matters."""
     p = F.replace(path, F.lit("\\"), F.lit("/"))
-    inside = F.arrays_overlap(F.split(folder(p), "/"), F.array(*map(F.lit, EXCLUDED_FOLDERS)))
+    inside = F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, (*EXCLUDED_FOLDERS, *own_folders))))
     ends = F.lit(False)
     for e in EXCLUDED_ENDINGS:
-        ends = ends | F.endswith(F.lower(p), F.lit(e))
+        ends = ends | F.endswith(p, F.lit(e))
     return F.coalesce(inside | ends, F.lit(False))
 
 

@@ -102,7 +102,7 @@ def _list(xs) -> str:
 
 SQL = {
     "excluded_paths": f"""WITH {facts.FILES_SQL}, p AS (SELECT path FROM f WHERE path IS NOT NULL UNION ALL SELECT DISTINCT path FROM skipped_files WHERE path IS NOT NULL)
-      SELECT path, list_has_any(string_split({_FOLDER}, '/'), [{_list(scan.EXCLUDED_FOLDERS)}]) OR len(list_filter([{_list(scan.EXCLUDED_ENDINGS)}], lambda x: ends_with(lower(path), x))) > 0 AS excluded FROM p""",
+      SELECT path, list_has_any(string_split(path, '/'), [{_list(scan.EXCLUDED_FOLDERS)}]) OR len(list_filter([{_list(scan.EXCLUDED_ENDINGS)}], lambda x: ends_with(path, x))) > 0 AS excluded FROM p""",
     "text_scan": f"WITH {facts.LINES_SQL} SELECT DISTINCT path, line FROM l WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])batch($|[^A-Za-z0-9_$])')",
     "symbol_slices": f"""WITH {facts.SYMBOLS_SQL}, {_TEXT}, x AS (SELECT s.symbol_id, CASE WHEN start_byte IS NOT NULL AND end_byte IS NOT NULL THEN
         decode(array_slice(encode(content), start_byte + 1, end_byte)) ELSE array_to_string({_LINES_OF}[start_line:end_line], chr(10)) END AS text FROM s JOIN t USING (file_id))

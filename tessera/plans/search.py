@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.names import tokens
+from tessera.functions.names import STOP_WORDS, tokens
 from tessera.functions.stem import stems
 from tessera.operators import lookup
 from tessera.plans import facts
@@ -91,7 +91,8 @@ SQL = {
       SELECT asked, name, distance::INTEGER AS distance FROM o WHERE rn <= 3""",
     "document_frequencies": f"WITH {_S}, {_INDEX} SELECT term, df FROM df",
     "ranked_search": f"""WITH {_S}, {_ASKED}, {_INDEX}, total AS (SELECT count(*) AS n FROM s),
-      q AS (SELECT DISTINCT name AS query, list_distinct({_TOKENS.format("name")}) AS terms FROM a),
+      q0 AS (SELECT DISTINCT name AS query, list_distinct({_TOKENS.format("name")}) AS t FROM a),
+      q AS (SELECT query, CASE WHEN len(list_filter(t, lambda x: NOT list_contains({list(STOP_WORDS)!r}, x))) > 0 THEN list_filter(t, lambda x: NOT list_contains({list(STOP_WORDS)!r}, x)) ELSE t END AS terms FROM q0),
       qt AS (SELECT query, x.term, coalesce(df.df, 0) AS df FROM (SELECT query, unnest(terms) AS term FROM q) x LEFT JOIN df USING (term)),
       rare AS (SELECT query, list(term) AS two FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY df, term) AS rn FROM qt) WHERE rn <= 2 GROUP BY query),
       nm AS (SELECT symbol_id, name, kind, list_distinct({_TOKENS.format("name")}) AS words FROM s),

@@ -218,3 +218,12 @@ def test_logs(spark, rows, tmp_path):
     got = log.follow_up(checks, spark.createDataFrame([("w", "s", "d")], "workspace_root string, session_id string, diff_hash string"))
     assert sorted((r.diff_hash, r.timestamp, r.followed) for r in got.collect()) == [("d", 2, True), ("e", 1, False)]
     assert rows(log.session_base(checks)) == [("s", "b2")]
+
+
+def test_search_and_stop_words(spark):
+    s = spark.createDataFrame([("1", "parse_config", "function", "def parse_config()", None), ("2", "ParseConfigFile", "class", None, "Reads it."), ("3", "config_parse_all", "function", None, None), ("4", "other", "function", "parse config", None), ("5", None, "function", None, None)],
+                              "symbol_id string, name string, kind string, signature string, doc_comment string")
+    q = spark.createDataFrame([("parse config",), ("how to parse the config",), ("zzz",), ("",), (None,), ("all",)], "query string")
+    got = lookup.search(s, q).orderBy("query", "place").collect()
+    assert [r.symbol_id for r in got if r["query"] == "parse config"] == ["1", "2", "3"] and [r.symbol_id for r in got if r["query"] == "all"] == ["3"]
+    assert {r["query"] for r in got} >= {"parse config", "all"} and not [r for r in got if r["query"] in ("zzz", "")]
