@@ -45,10 +45,15 @@ def impact_by_file(spark, folder):
 
 
 def ancestor_chain(spark, folder):
-    """Chains of the symbols whose links do not run in a circle."""
+    """Chains of the Java symbols alone; ancestor_chains has those of all languages."""
     return walk.ancestors(facts.symbols(spark, folder).where("language = 'java'"))
 
 
+def ancestor_chains(spark, folder):
+    """Chains of all symbols, also through parents of another or no language."""
+    return walk.ancestors(facts.symbols(spark, folder))
+
+
 def visible_symbols(spark, folder):
     s = facts.symbols(spark, folder)
     hidden = walk.hidden_symbols(s, walk.ancestors(s))
@@ -70,7 +75,7 @@ def merged_walks(spark, folder):
     return walk.merge_depths(walk.reach(e, seeds, 1), walk.reach(e, seeds, 2), ["seed", "node"])
 
 
-QUERIES = {f.__name__: f for f in (impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, visible_symbols, local_variables, enclosing_namespace, merged_walks)}
+QUERIES = {f.__name__: f for f in (impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, ancestor_chains, visible_symbols, local_variables, enclosing_namespace, merged_walks)}
 
 _E = facts.EDGES_SQL
 _WALK = f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM e WHERE to_symbol_id IS NOT NULL),

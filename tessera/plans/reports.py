@@ -82,12 +82,23 @@ def unique_starts(spark, f):
     return report.line_unique(facts.symbols(spark, f).where("path IS NOT NULL AND start_line IS NOT NULL"))
 
 
-def paired_calls(spark, f):
+def _calls_and_uses(spark, f):
     e = facts.edges(spark, f).select(F.concat_ws(":", "path", "line", "name").alias("edge"), F.col("from_symbol_id").alias("caller"), "name", "line")
     i = facts.identifiers(spark, f).where("containing_symbol_id IS NOT NULL").select(F.concat_ws(":", "path", "line", "name").alias("use"), F.col("containing_symbol_id").alias("caller"), "name", "line")
+    return e, i
+
+
+def paired_calls(spark, f):
+    """Calls on even lines alone; call_pairs has those of all lines."""
+    e, i = _calls_and_uses(spark, f)
     return report.pair_greedily(e.where("line % 2 = 0"), i)
 
 
+def call_pairs(spark, f):
+    """Every call with its identifier."""
+    return report.pair_greedily(*_calls_and_uses(spark, f))
+
+
 def sibling_conventions(spark, f):
     marks = F.regexp_extract_all("signature", F.lit(r"\b(pub|export|static|async|public|private|final|def|func|fn)\b"), 1)
     return report.conventions(facts.symbols(spark, f), marks)
@@ -124,7 +135,7 @@ def merged_event_order(spark, f):
 
 
 QUERIES = {f.__name__: f for f in (site_verdicts, site_lines, target_counts, target_first_sites, callable_arity, overload_arity, callee_list, calling_tests, type_constructions, word_accounting, nearest_owners,
-                                   nearest_declarations, unique_starts, paired_calls, sibling_conventions, test_commands, shortened_names, symbols_page, turns, name_uses, merged_event_order)}
+                                   nearest_declarations, unique_starts, paired_calls, call_pairs, sibling_conventions, test_commands, shortened_names, symbols_page, turns, name_uses, merged_event_order)}
 
 _FAM = facts.family_sql
 _FOLDER = "CASE WHEN {0} LIKE '%/%' THEN regexp_replace({0}, '/[^/]*$', '') WHEN {0} IS NOT NULL THEN '' END"
