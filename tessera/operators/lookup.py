@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.names import CALLABLE, CONTAINER, content_words, tokens
+from tessera.functions.stem import stems
 
 #: A term counts as carried by at most so many symbols.
 DF_CAP = 20_000
 #: Credits of a term by the strongest field that it stands in, and bonuses of whole names.
-NAME_TOKEN, TEXT_HIT = 3.0, 1.0
+NAME_TOKEN, NAME_STEM, TEXT_HIT, NAME_PART = 3.0, 2.0, 1.0, 1.0
 WHOLE_NAME, WHOLE_NAME_OTHER, ALL_WORDS = 100.0, 60.0, 60.0
 
 
@@ -135,6 +136,44 @@ def search(symbols: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame
     return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "symbol_id", "score", "place")
 
 
+def credits(symbols: DataFrame, index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, symbol_id, credit) of each of the terms and each symbol that bears it in any way, by the strongest: a token of
+    the name, a token of the same stem, a word of signature or documentation, a part of the name (terms of three or more
+    characters, by their rarest trigram)."""
+    t = terms.select("term").distinct()
+    words = index.join(t, "term", "left_semi").select("term", "symbol_id", F.when(F.col("field") == "name", NAME_TOKEN).otherwise(TEXT_HIT).alias("credit"))
+    stem = lambda c: F.element_at(stems(F.array(c)), 1)
+    tokens_of = index.where("field = 'name'").select(F.col("term").alias("token"), "symbol_id")
+    alike = tokens_of.select("token").distinct().select("token", stem(F.col("token")).alias("stem")).join(t.select("term", stem(F.col("term")).alias("stem")), "stem").where("token <> term")
+    stemmed = tokens_of.join(alike, "token").select("term", "symbol_id", F.lit(NAME_STEM).alias("credit"))
+    low = symbols.where("name IS NOT NULL").select("symbol_id", F.lower("name").alias("low"))
+    grams = low.select("low").distinct().select("low", F.explode(trigrams(F.col("low"))).alias("gram"))
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    rare = t.select("term", F.explode(trigrams(F.col("term"))).alias("gram")).join(df, "gram").groupBy("term").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    parts = rare.join(grams, "gram").where(F.contains("low", "term")).select("term", "low").join(low, "low").select("term", "symbol_id", F.lit(NAME_PART).alias("credit"))
+    return words.unionByName(stemmed).unionByName(parts).groupBy("term", "symbol_id").agg(F.max("credit").alias("credit"))
+
+
+def search_all_fields(symbols: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query, symbol_id, score, place): ranked search as search(), but every symbol that bears any word of the query in any
+    way (credits()) is scored, so AND, OR, trigram and whole-name recall need no bounds of their own."""
+    total = symbols.count()  # one number
+    index = postings(symbols)
+    df = document_frequency(index)
+    q = queries.select("query", content_words(F.array_distinct(tokens(F.col("query")))).alias("terms")).where("size(terms) > 0").distinct()
+    qt = q.select("query", F.explode("terms").alias("term")).join(df, "term", "left").select("query", "term", F.log1p(F.lit(total) / (F.coalesce("df", F.lit(0)) + 1)).alias("weight"))
+    scored = qt.join(credits(symbols, index, qt), "term").groupBy("query", "symbol_id").agg(F.sum(F.col("credit") * F.col("weight")).alias("terms_score"))
+    names = symbols.select("symbol_id", "name", "kind", F.array_distinct(tokens(F.col("name"))).alias("words"))
+    j = scored.join(names, "symbol_id").join(q, "query")
+    all_words = F.coalesce(F.size(F.array_except("terms", "words")) == 0, F.lit(False))
+    whole = all_words & (F.size("terms") == F.size("words"))
+    strong = F.col("kind").isin(*CALLABLE, *CONTAINER)
+    score = F.col("terms_score") + F.when(whole, F.when(strong, WHOLE_NAME).otherwise(WHOLE_NAME_OTHER)).otherwise(0.0) + F.when(all_words, ALL_WORDS).otherwise(0.0)
+    j = j.select("query", "symbol_id", "name", F.round(score, 6).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "name", "symbol_id")
+    return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "symbol_id", "score", "place")
+
+
 def similar_files(files: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, path): files with the same stem as an asked path's file name, its ending aside."""
     stem = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), r"\.[^.]*$", ""))

@@ -49,10 +49,16 @@ def document_frequencies(spark, folder):
 
 
 def ranked_search(spark, folder):
+    """Over names that carry the two rarest words of a query; ranked_recall looks in all fields."""
     s = facts.symbols(spark, folder)
     return lookup.search(s, _asked(s).select(F.col("name").alias("query")))
 
 
+def ranked_recall(spark, folder):
+    s = facts.symbols(spark, folder)
+    return lookup.search_all_fields(s, _asked(s).select(F.col("name").alias("query")))
+
+
 def file_suggestions(spark, folder):
     f = facts.files(spark, folder)
     return lookup.similar_files(f, f.select(F.col("path").alias("asked")))
@@ -62,7 +68,7 @@ def name_stems(spark, folder):
     return facts.symbols(spark, folder).where("name IS NOT NULL").select("symbol_id", F.array_join(stems(tokens(F.col("name"))), " ").alias("stems"))
 
 
-QUERIES = {f.__name__: f for f in (lookup_names, lookup_qualified, lookup_members, overload_groups, name_suggestions, document_frequencies, ranked_search, file_suggestions, name_stems)}
+QUERIES = {f.__name__: f for f in (lookup_names, lookup_qualified, lookup_members, overload_groups, name_suggestions, document_frequencies, ranked_search, ranked_recall, file_suggestions, name_stems)}
 
 _S = facts.SYMBOLS_SQL
 _ASKED = "a AS (SELECT * FROM s WHERE ('0x' || substr(symbol_id, 1, 8))::BIGINT % 20 = 0 AND name IS NOT NULL)"

@@ -41,3 +41,23 @@ def test_call_pairs_of_all_lines(spark, con):
     assert whole != narrow
     assert same(df, con, whole) == ""
     assert {int(r.edge.rsplit(":", 2)[1]) % 2 for r in df.collect()} == {0, 1}
+
+
+def test_search_finds_words_outside_the_two_rarest(spark):
+    from tessera.operators import lookup
+
+    cols = "symbol_id string, name string, kind string, signature string, doc_comment string"
+    s = spark.createDataFrame([("a", "parseConfigFile", "function", None, None), ("b", "readThing", "function", None, "parse the config of a file"), ("c", "parsedLine", "function", None, None),
+                               ("d", "reparsed", "function", None, None), ("e", "fileConfigOther", "function", None, None), ("f", "alone", "function", None, None), ("g", None, "function", "parse(x)", None)], cols)
+    q = spark.createDataFrame([("parseConfigFile",), ("parsing",)], "query string")
+    found = {(r.query, r.symbol_id): r.score for r in lookup.search_all_fields(s, q).collect()}
+    assert {i for x, i in found if x == "parseConfigFile"} == {"a", "b", "c", "d", "e", "g"}
+    assert {i for x, i in found if x == "parsing"} == {"a", "c"}  # by stem alone
+    import math
+
+    w = {"parse": math.log1p(7 / 4), "config": math.log1p(7 / 4), "file": math.log1p(7 / 4)}  # each in three symbols
+    assert found["parseConfigFile", "a"] == pytest.approx(3 * sum(w.values()) + 160, abs=1e-5)
+    assert found["parseConfigFile", "b"] == pytest.approx(sum(w.values()), abs=1e-5)
+    assert found["parseConfigFile", "c"] == pytest.approx(2 * w["parse"], abs=1e-5)
+    assert found["parseConfigFile", "d"] == pytest.approx(w["parse"], abs=1e-5)
+    assert {r.symbol_id for r in lookup.search(s, q).where("query = 'parseConfigFile'").collect()} < {"a", "b", "c", "d", "e", "g"}
