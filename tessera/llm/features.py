@@ -63,8 +63,8 @@ def _stuffed(words: list[str], paused: bool) -> bool:
     n = len(words)
     if n < 8:
         return False
-    unique = len(set(words)) / n
-    if unique > 0.82 + 2 / n:  # a pair that covers a fifth of the words would repeat more of them
+    distinct = len(set(words))  # a pair that comes m times leaves n - m distinct words (if it is one word twice), else n - 2 (m - 1)
+    if distinct > n - 3 or distinct > max(0.925 * n, 0.85 * n + 2) + 1e-9:  # no pair comes three times and covers 0.15
         return False
     unique, top = repetition(words)
     if top * n < 6:  # a pair that comes twice proves nothing
@@ -136,11 +136,14 @@ def lines_of(text: str) -> tuple[list[list], list[str]]:
         if n <= 16 and _PRICE.search(body) and not re.search(r"[.!?。]\s+\S|[.。]$", body) or n <= 6 and not _END.search(body) and not line.startswith("#"):
             out.append([size, "label"])  # settled below, by its neighbours
             continue
-        paused = len(_PAUSE.findall(body)) * 3 * WINDOW > n * 2 if n >= 8 else True
         pieces = max(1, round(n / WINDOW))
+        low = body.lower()
+        starts = [m.start() for m in _WORD.finditer(low)] if pieces > 1 else []
         for k in range(pieces):
-            part = line_stems[k * len(own) // pieces:(k + 1) * len(own) // pieces]
-            out.append([size / pieces, "repeat" if _stuffed(part, paused) else "text"])
+            a, b = k * len(own) // pieces, (k + 1) * len(own) // pieces
+            piece = low[starts[a] if k else 0:starts[b] if k < pieces - 1 else len(low)]
+            paused = len(_PAUSE.findall(piece)) * 3 * WINDOW > _length(own[a:b]) * 2 if b - a >= 8 else True
+            out.append([size / pieces, "repeat" if _stuffed(line_stems[a:b], paused) else "text"])
     # short lines without end are labels where several lines of lists stand together
     i = 0
     while i < len(out):
