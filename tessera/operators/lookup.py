@@ -174,10 +174,45 @@ def search_all_fields(symbols: DataFrame, queries: DataFrame, limit: int = 10) -
     return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "symbol_id", "score", "place")
 
 
+def _file_stem(path: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_extract(path, r"([^/\\]*)$", 1), r"\.[^.]*$", ""))
+
+
 def similar_files(files: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, path): files with the same stem as an asked path's file name, its ending aside."""
-    stem = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), r"\.[^.]*$", ""))
-    return asked.select("asked", stem(F.col("asked")).alias("stem")).join(files.select("path", stem(F.col("path")).alias("stem")), "stem").where("asked <> path").select("asked", "path")
+    return asked.select("asked", _file_stem(F.col("asked")).alias("stem")).join(files.select("path", _file_stem(F.col("path")).alias("stem")), "stem").where("asked <> path").select("asked", "path")
+
+
+def _deletions(text: Column, edits: int) -> Column:
+    """Distinct texts that are left when up to so many characters are taken out."""
+    out = F.array(text)
+    for _ in range(edits):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda t: F.when(F.length(t) > 0, F.transform(
+            F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))))))
+    return out
+
+
+def near_files(files: DataFrame, asked: DataFrame, edits: int = 2) -> DataFrame:
+    """(asked, path, distance): files whose stem is within so many edits of an asked path's, 0 for the same stem. Exact: an
+    edit leaves a text that both have when each gives up one character, so short stems (at most 3 x edits + 3 characters)
+    meet in what deletions leave; of longer ones an edit touches at most three trigrams, so one of the asked stem's
+    3 x edits + 1 rarest is left."""
+    f = files.where("path IS NOT NULL").select("path", _file_stem(F.col("path")).alias("stem"))
+    a = asked.where("asked IS NOT NULL").select("asked", _file_stem(F.col("asked")).alias("al"))
+    known, want = f.select("stem").distinct(), a.select("al").distinct()
+    bound = 3 * edits + 3  # from here on a stem has 3 x edits + 1 places of trigrams
+    short = want.where(F.length("al") < bound).select("al", F.explode(_deletions(F.col("al"), edits)).alias("rest"))
+    short = short.join(known.where(F.length("stem") < bound + edits).select("stem", F.explode(_deletions(F.col("stem"), edits)).alias("rest")), "rest").select("al", "stem")
+    grams = known.select("stem", F.explode(trigrams(F.col("stem"))).alias("gram"))
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    probe = want.where(F.length("al") >= bound).select("al", F.explode(trigrams(F.col("al"))).alias("gram")).join(df, "gram", "left")
+    rare = F.row_number().over(Window.partitionBy("al").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    long = probe.withColumn("rn", rare).where(F.col("rn") <= 3 * edits + 1).join(grams, "gram").select("al", "stem")
+    few = want.where(F.length("al") >= bound).where(F.size(trigrams(F.col("al"))) <= 3 * edits)  # stems like aaaaaaaaaa, by length
+    few = few.select("al", F.explode(F.sequence(F.length("al") - edits, F.length("al") + edits)).alias("n")).join(known.select("stem", F.length("stem").alias("n")), "n").select("al", "stem")
+    pairs = short.unionByName(long).unionByName(few).where(F.abs(F.length("al") - F.length("stem")) <= edits).distinct()
+    near = pairs.withColumn("distance", F.levenshtein("al", "stem", edits)).where("distance >= 0")
+    return a.join(near, "al").join(f, "stem").where("asked <> path").select("asked", "path", "distance").distinct()
 
 
 def routes(symbols_facts: DataFrame, queries: DataFrame) -> DataFrame:

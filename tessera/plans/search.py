@@ -60,15 +60,22 @@ def ranked_recall(spark, folder):
 
 
 def file_suggestions(spark, folder):
+    """For paths that exist, files of the same stem alone; misspelt_files has those within two edits."""
     f = facts.files(spark, folder)
     return lookup.similar_files(f, f.select(F.col("path").alias("asked")))
 
 
+def misspelt_files(spark, folder):
+    """Paths whose file name lacks its second character."""
+    f = facts.files(spark, folder)
+    return lookup.near_files(f, f.select(F.regexp_replace("path", r"([^/\\])[^/\\]([^/\\]*)$", "$1$2").alias("asked")).distinct())
+
+
 def name_stems(spark, folder):
     return facts.symbols(spark, folder).where("name IS NOT NULL").select("symbol_id", F.array_join(stems(tokens(F.col("name"))), " ").alias("stems"))
 
 
-QUERIES = {f.__name__: f for f in (lookup_names, lookup_qualified, lookup_members, overload_groups, name_suggestions, document_frequencies, ranked_search, ranked_recall, file_suggestions, name_stems)}
+QUERIES = {f.__name__: f for f in (lookup_names, lookup_qualified, lookup_members, overload_groups, name_suggestions, document_frequencies, ranked_search, ranked_recall, file_suggestions, misspelt_files, name_stems)}
 
 _S = facts.SYMBOLS_SQL
 _ASKED = "a AS (SELECT * FROM s WHERE ('0x' || substr(symbol_id, 1, 8))::BIGINT % 20 = 0 AND name IS NOT NULL)"

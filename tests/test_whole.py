@@ -61,3 +61,26 @@ def test_search_finds_words_outside_the_two_rarest(spark):
     assert found["parseConfigFile", "c"] == pytest.approx(2 * w["parse"], abs=1e-5)
     assert found["parseConfigFile", "d"] == pytest.approx(w["parse"], abs=1e-5)
     assert {r.symbol_id for r in lookup.search(s, q).where("query = 'parseConfigFile'").collect()} < {"a", "b", "c", "d", "e", "g"}
+
+
+def test_files_within_two_edits(spark):
+    import random
+
+    from tessera.operators import lookup
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abc") for _ in range(n))
+    stems = {"a", "ab", "main", "mian", "aaaaaaaaaa", "aaaaaaaaaaaa", "configuration_loader", "configuraton_laoder"} | {word(r.randint(1, 14)) for _ in range(150)}
+    asked = {"b", "maim", "aaaaaaaaaab", "bbbbbbbbbb", "configuration_lodr"} | {word(r.randint(1, 14)) for _ in range(60)}
+    files = spark.createDataFrame([(f"src/{s}.py",) for s in sorted(stems)], "path string")
+    want = {(f"lib/{a}.py", f"src/{s}.py", distance(a, s)) for a in asked for s in stems if distance(a, s) <= 2}
+    got = lookup.near_files(files, spark.createDataFrame([(f"lib/{a}.py",) for a in sorted(asked)], "asked string")).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
