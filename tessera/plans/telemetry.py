@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import CANONICAL_ROOT_SQL
-from tessera.operators import quantiles, rolling, sessions
+from tessera.operators import rolling, sessions
 from tessera.sources.tables import table
 
 
@@ -32,19 +32,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.sessions(table(spark, folder, "tool_telemetry")).select("first_id")
 
 
-def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.duration_percentiles(quantiles.daily_sketches(table(spark, folder, "tool_telemetry")))
-
-
-def p6_daily_sketch(spark: SparkSession, folder: str) -> DataFrame:
-    return quantiles.daily_sketches(table(spark, folder, "tool_telemetry")).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p5_found, p5_sessions, p5_session_tools, p6_percentiles, p6_daily_sketch)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p5_found, p5_sessions, p5_session_tools)}
 
 _CALLS = f"""calls AS (
   SELECT id, max({CANONICAL_ROOT_SQL.format("workspace_root")}) AS ws, max(epoch_us("timestamp")) AS us,
-    max(lower(trim(replace(tool, '-', '_')))) AS tool, max(workspace_name) AS workspace_name, max(duration_ms) AS duration_ms,
+    max(lower(trim(replace(tool, '-', '_')))) AS tool,
     max(CASE WHEN est_tokens_saved_known THEN coalesce(est_tokens_saved, 0) END) AS saved
   FROM tool_telemetry WHERE id IS NOT NULL GROUP BY id),
 placed AS (SELECT *, us // 86400000000 AS day FROM calls WHERE ws IS NOT NULL AND us IS NOT NULL)"""
@@ -67,27 +59,6 @@ numbered AS (SELECT *, sum(opens) OVER (PARTITION BY ws ORDER BY us) AS session
 found AS (SELECT ws, session, min(us) AS a, max(us) AS b, count(*) AS calls, min(id) FILTER (us = first_us) AS first_id
   FROM (SELECT *, min(us) OVER (PARTITION BY ws, session) AS first_us FROM numbered) GROUP BY ws, session)"""
 
-_G = quantiles.gamma(0.01)
-_BUCKETS = f"""WITH {_CALLS},
-valid AS (SELECT tool, workspace_name, date_trunc('day', make_timestamp(us)) AS day, duration_ms AS v,
-  CASE WHEN duration_ms = 0 THEN 0 ELSE CAST(ceil(ln(CAST(duration_ms AS DOUBLE)) / ln({_G!r})) AS INTEGER) END AS bucket
-  FROM calls WHERE duration_ms >= 0 AND duration_ms NOT IN (2147483647, 4294967295, 9223372036854775807))"""
-
-
-def _percentile_sql() -> str:
-    ps = ", ".join(
-        f"max(CASE WHEN upto >= k AND upto - n < k THEN est END) FILTER (r = {r}) AS {c}" for c, r in (("p50", 5000), ("p90", 9000), ("p95", 9500), ("p99", 9900)))
-    return f"""{_BUCKETS},
-levels AS (SELECT 'tool' AS level, tool, NULL AS workspace_name, v, bucket FROM valid
-  UNION ALL SELECT 'workspace', NULL, workspace_name, v, bucket FROM valid UNION ALL SELECT 'tool_workspace', tool, workspace_name, v, bucket FROM valid),
-b AS (SELECT level, tool, workspace_name, v = 0 AS z, bucket, count(*) AS n FROM levels GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY level, tool, workspace_name ORDER BY NOT z, bucket) AS upto, sum(n) OVER (PARTITION BY level, tool, workspace_name) AS total,
-  CASE WHEN z THEN 0 ELSE 2 * pow({_G!r}, bucket) / ({_G!r} + 1) END AS est FROM b),
-k AS (SELECT u.*, r, (total * r + 9999) // 10000 AS k FROM u, (VALUES (5000), (9000), (9500), (9900)) t(r))
-SELECT level, tool, workspace_name, CAST(max(total) AS BIGINT) AS n, {ps.replace("max(CASE", "round(max(CASE").replace(") FILTER", ") FILTER").replace(" AS p", ", 6) AS p")}, 0.01::DOUBLE AS max_relative_error
-FROM k GROUP BY level, tool, workspace_name"""
-
-
 SQL = {
     "p1_found": f"{_ROLLING} SELECT ws AS workspace_root, {_DAY} AS day FROM rolled WHERE day >= first_day + 29 AND 2 * t7 > t30",
     "p1_rolling": f"""{_ROLLING} SELECT ws AS workspace_root, {_DAY} AS day, total::BIGINT AS day_total, calls::BIGINT AS day_calls,
@@ -98,7 +69,4 @@ SQL = {
       (b - a) // 1000 AS duration_ms, calls, first_id FROM found""",
     "p5_session_tools": f"""{_SESSIONS} SELECT f.ws AS workspace_root, f.first_id, n.tool, count(*) AS calls
       FROM numbered n JOIN found f ON f.ws = n.ws AND f.session = n.session GROUP BY ALL""",
-    "p6_percentiles": _percentile_sql(),
-    "p6_daily_sketch": f"""{_BUCKETS} SELECT strftime(day, '%Y-%m-%d') AS day, tool, workspace_name, CASE WHEN v = 0 THEN 0 ELSE 1 END AS sign,
-      bucket, count(*) AS n FROM valid GROUP BY ALL""",
 }
