@@ -10,12 +10,12 @@ from tessera.llm.sql import SQL
 from tessera.sources.tables import table
 
 
-def _documented(spark: SparkSession, folder: str) -> DataFrame:
-    return docpairs.documented_functions(table(spark, folder, "symbols"), table(spark, folder, "source_texts"))
+def _documented(spark: SparkSession, folder: str, with_code: bool = True) -> DataFrame:
+    return docpairs.documented_functions(table(spark, folder, "symbols"), table(spark, folder, "source_texts"), with_code)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _documented(spark, folder).select("symbol_id")
+    return _documented(spark, folder, with_code=False).select("symbol_id")
 
 
 def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +23,13 @@ def p3_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _documented(spark, folder).where("code IS NOT NULL").select("symbol_id", "language", "name", "kind", "code", "description")
 
 
+def p3_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """By language: described functions, those whose comment the lexer found, and those of them whose comment has the
+    letters of the given documentation."""
+    d = _documented(spark, folder, with_code=False)
+    return d.groupBy("language").agg(F.count("*").alias("described"), F.count("agrees").alias("lexed"), F.count_if("agrees").alias("agreeing"))
+
+
 def p4_files(spark: SparkSession, folder: str) -> DataFrame:
     return handwritten.judged_files(table(spark, folder, "files"), table(spark, folder, "source_texts"), table(spark, folder, "skipped_files"))
 
@@ -74,6 +81,6 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_scores(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_files, p6_percentiles, p6_daily_sketch, p8_ids, p8_round_trip, p9_found, p9_report, p9_mixture, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_agreement, p4_found, p4_files, p6_percentiles, p6_daily_sketch, p8_ids, p8_round_trip, p9_found, p9_report, p9_mixture, p10_found, p10_scores)}
 
 __all__ = ["QUERIES", "SQL"]

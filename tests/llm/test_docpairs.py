@@ -78,3 +78,29 @@ def test_pairs(spark):
     assert set(got) == {"a", "b", "e"} and got["a"].language == "go" and got["b"].language == "go" and got["b"].code is None
     assert got["a"].code.startswith("func (r *R) Open") and got["a"].comment.startswith("// Opens it.")
     assert docpairs.documented_functions(s.limit(0), t.limit(0)).count() == 0
+
+
+def test_the_lexed_comment_is_what_is_judged(spark):
+    """A symbol whose text says TODO is no pair, whatever its row says; one without text is judged by its row."""
+    text = "// TODO\nfunc a() {\n}\n\n// Waits for all readers.\nfunc b() {\n}\n\nfunc c() {\n}\n"
+    at = {n: text.index(f"func {n}") for n in "abc"}
+    rows = [("a", "f", "x.go", "go", "a", "function", "Real words here.", None, at["a"]), ("b", "f", "x.go", "go", "b", "function", "TODO", None, at["b"]), ("c", "f", "x.go", "go", "c", "function", "Counts what is left.", None, at["c"]),
+            ("d", "f", "x.go", "go", "d", "function", "Counts what is left.", None, None), ("e", "g", "y.go", "go", "e", "function", "Counts what is left.", None, 3), ("n", "f", "x.go", "go", "b", "function", None, None, at["b"])]
+    s = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SYM)
+    t = spark.createDataFrame([("f", "x.go", text), ("f", "x.go", text)], "file_id string, path string, content string")
+    for with_code in (True, False):
+        got = {r.symbol_id: r for r in docpairs.documented_functions(s, t, with_code).collect()}
+        assert set(got) == {"b", "c", "d", "e"} and got["b"].description == "Waits for all readers." and got["b"].agrees is False and got["c"].agrees is None
+    plan = docpairs.documented_functions(s, t, False).select("symbol_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" in plan
+
+
+def test_comments_agree_with_the_given_documentation(spark):
+    import os
+
+    from tessera.llm.plans import p3_agreement
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    r = p3_agreement(spark, "/root/testdata/sf0.001").collect()
+    assert sum(x.lexed for x in r) > 0.9 * sum(x.described for x in r) and sum(x.agreeing for x in r) == sum(x.lexed for x in r)
