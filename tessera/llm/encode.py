@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-#: Where the vocabulary files are.
+#: Where the driver finds the vocabulary files; executors get them from the session.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern by which byte_bpe_50k parts a text into words, in front of its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that share one block dictionary; a longer text has a block of its own.
 BLOCK_CHARS = 500_000
+#: Blocks whose dictionaries are joined together: a word comes at most so often under one key, however common it is.
+GROUP_BLOCKS = 4096
 
 
 @functools.cache
@@ -50,13 +53,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     words_of = regex.compile(PATTERN).findall
     block = TaskContext.get().partitionId() << 32
-    ids, numbers, sizes, known, chars = [], [], [], _Numbers(), 0
+    ids, carried, numbers, sizes, known, chars = [], [], [], [], _Numbers(), 0
 
     def flush() -> pa.RecordBatch:
         docs = pa.StructArray.from_arrays([
             pa.array(ids, pa.int64()),
+            pa.array(carried, pa.string()),
             pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(numbers) if numbers else [], pa.int32())),
-        ], names=["doc_id", "idx"])
+        ], names=["doc_id", "carried", "idx"])
         return pa.RecordBatch.from_arrays([
             pa.array([block], pa.int64()),
             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), docs),
@@ -64,14 +68,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["block", "docs", "words"])
 
     for b in batches:
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for i, text, more in zip(*(c.to_pylist() for c in b.columns)):
             text = text or ""
             if ids and chars + len(text) > BLOCK_CHARS:
                 yield flush()
                 block += 1
-                ids, numbers, sizes, known, chars = [], [], [], _Numbers(), 0
+                ids, carried, numbers, sizes, known, chars = [], [], [], [], _Numbers(), 0
             found = np.fromiter(map(known.__getitem__, words_of(text)), np.int32)
             ids.append(i)
+            carried.append(more)
             numbers.append(found)
             sizes.append(len(found))
             chars += len(text)
@@ -79,9 +84,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _encode_words(vocabulary: str):
+def _encode_words(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        from pyspark import SparkFiles
+
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             words = b.column(0)
             yield pa.RecordBatch.from_arrays([words, pa.array([enc.encode_ordinary(w) for w in words.to_pylist()], pa.list_(pa.int32()))], names=["word", "ids"])
@@ -89,6 +96,25 @@ def _encode_words(vocabulary: str):
     return run
 
 
+def _placed(documents: DataFrame, carry: str | None, value: str, vocabulary: str) -> DataFrame:
+    """(docs, table) of blocks: the block's documents with their words as numbers, and by number what an expression over
+    a word's ids gives."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)  # a file that is known already is not sent again
+    more = F.col(carry) if carry else F.lit(None)
+    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), more.cast("string").alias("carried"))
+    blocks = cut(texts.mapInArrow(_blocks, "block bigint, docs array<struct<doc_id:bigint,carried:string,idx:array<int>>>, words array<string>"), "blocks")
+    groups = -(-blocks.count() // GROUP_BLOCKS)  # one number
+    words = blocks.select("block", F.pmod(F.xxhash64("block"), F.lit(max(1, groups))).alias("group"), F.posexplode("words").alias("no", "word"))
+    encoded = words.select("word").distinct().mapInArrow(_encode_words(os.path.basename(vocabulary)), "word string, ids array<int>").select("word", F.expr(value).alias("v"))
+    if groups > 1:  # a common word first meets its groups, then in each of them its blocks
+        near, key = words.select("group", "word").distinct().join(encoded, "word"), ["group", "word"]
+    else:
+        near, key = encoded, ["word"]
+    tables = words.join(near, key).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("no", "v"))).alias("pairs"))
+    tables = tables.select("block", F.transform("pairs", lambda p: p["v"]).alias("table"))
+    return blocks.select("block", "docs").join(tables, "block", "left").select("docs", "table")
+
+
 def encode(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(doc_id, ids) of each row of documents (doc_id, text): the token ids of the whole text, without special tokens.
 
@@ -96,19 +122,23 @@ def encode(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.t
     repeated rows and null ids stay as they are; an empty table gives no rows; other columns are not touched.
 
     Scale: each task parts its texts into words and numbers them by a dictionary of its block, so a word is shuffled once
-    a block, not once a place: the commonest word of the corpus is no hot key. Each distinct word of the corpus is encoded
-    once. Blocks and their words meet again by block; ids are put in place by position. Nothing is broadcast.
+    a block, not once a place. Each distinct word of the corpus is encoded once. Words come back to their blocks through
+    groups of GROUP_BLOCKS blocks, so the commonest word has at most that many rows under one key and the table of
+    groups at most one row a group. Blocks and their words meet again by block; ids are put in place by position.
+    Nothing is broadcast.
     """
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    blocks = cut(texts.mapInArrow(_blocks, "block bigint, docs array<struct<doc_id:bigint,idx:array<int>>>, words array<string>"), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("no", "word"))
-    encoded = words.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, ids array<int>")
-    tables = words.join(encoded, "word").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("pairs"))
-    tables = tables.select("block", F.transform("pairs", lambda p: p["ids"]).alias("table"))
-    placed = blocks.select("block", "docs").join(tables, "block", "left")
     put = F.transform("docs", lambda d: F.struct(
         d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["idx"], lambda i: F.get("table", i))).alias("ids")))
-    return placed.select(F.inline(put))
+    return _placed(documents, None, "ids", vocabulary).select(F.inline(put))
+
+
+def lengths(documents: DataFrame, carry: str, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """(doc_id, carry, tokens) of each row of documents (doc_id, text, carry): the number of token ids of the whole text.
+    Null and empty texts have 0. Results and scale are those of encode(); only the numbers of ids are shuffled, and the
+    carried column goes along, so nothing is joined by doc_id."""
+    number = lambda d: F.aggregate(d["idx"], F.lit(0).cast("bigint"), lambda a, i: a + F.get("table", i))
+    put = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["carried"].alias(carry), number(d).alias("tokens")))
+    return _placed(documents, carry, "CAST(size(ids) AS BIGINT)", vocabulary).select(F.inline(put))
 
 
 def pieces(spark, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.encode import encode
+from tessera.llm.encode import lengths
 from tessera.session import cut
 
 #: Documents that one flight phase takes at a time; a source of any size is split into chunks of about so many.
 CHUNK_DOCS = 50_000
+#: Chunks whose open documents fly together before the landing.
+CHUNKS_TOGETHER = 20_000
 EPS = 1e-9
 
 
@@ -54,7 +56,7 @@ def fly(units: list[list], rng: random.Random, land: bool) -> None:
         active = [x for x in active if 0 < x[0] < 1]
 
 
-def _flights(seed: int, land: bool):
+def _flights(seed: int, level: int, land: bool = False):
     """mapInArrow over rows sorted by source, chunk and order: doc_id, source, chunk, tokens, base, p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +64,7 @@ def _flights(seed: int, land: bool):
 
         def flush(key, rows):
             units = [[r[5], float(r[3]), r] for r in rows]
-            fly(units, random.Random(f"{seed}/{key[0]}/{key[1]}/{land}"), land)
+            fly(units, random.Random(f"{seed}/{level}/{key[0]}/{key[1]}"), land)
             cols = list(zip(*[(*u[2][:5], u[0]) for u in units]))
             types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
@@ -87,13 +89,12 @@ SCHEMA = "doc_id bigint, source string, chunk int, tokens bigint, base int, p do
 
 def sized(documents: DataFrame) -> DataFrame:
     """doc_id, source and tokens (of byte_bpe_50k; 0 for null and empty texts) of each document."""
-    tokens = encode(documents).select("doc_id", F.size("ids").cast("bigint").alias("tokens"))
-    return documents.select(F.col("doc_id").cast("bigint"), "source").join(tokens, "doc_id")
+    return lengths(documents, "source")
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target source: target_share, max_repeats, documents, available_tokens, target_tokens (its share of the
-    tokens of all documents), reachable, and rate: how often each of its documents must be used on average.
+    tokens of all documents), and rate: how often each of its documents must be used on average, at most max_repeats.
 
     Target rows without a source are left out; those of one source are added up; a null share is 0, null repeats are 1.
     """
@@ -104,9 +105,8 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     j = want.join(have, "source", "left")
     j = j.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
                  F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), (F.col("target_share") * F.lit(total)).alias("target_tokens"))
-    most = F.col("available_tokens") * F.col("max_repeats")
     rate = F.when(F.col("available_tokens") > 0, F.least(F.col("target_tokens") / F.col("available_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return j.withColumn("reachable", ~(most < F.col("target_tokens"))).withColumn("rate", rate)
+    return j.withColumn("rate", rate)
 
 
 def mix(sizes: DataFrame, planned: DataFrame, seed: int = 0, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
@@ -114,8 +114,10 @@ def mix(sizes: DataFrame, planned: DataFrame, seed: int = 0, chunk_docs: int = C
     floor(rate) or floor(rate) + 1 times. Which ones get the additional copy is drawn by the cube method, so that each
     source's number of copies and its tokens match the plan up to one document or two.
 
-    Flights run over chunks of about chunk_docs documents, at most two of which stay undecided in each; these are flown
-    again by source and landed there.
+    Flights run over chunks of about chunk_docs documents, at most two of which stay undecided in each. Those of
+    CHUNKS_TOGETHER chunks fly again together, which leaves two for each such group; these are flown once more by source
+    and landed there. So a source of 10^10 documents flies 200,000 chunks, then 20 groups of at most 40,000 open
+    documents, and lands 20.
     """
     own = planned.select("source", "rate", F.greatest(F.ceil(F.col("documents") / chunk_docs), F.lit(1)).alias("chunks"))
     rows = sizes.join(own, "source")
@@ -123,20 +125,27 @@ def mix(sizes: DataFrame, planned: DataFrame, seed: int = 0, chunk_docs: int = C
     base = F.floor("rate").cast("int")
     rows = rows.select("doc_id", "source", F.pmod(order, F.col("chunks")).cast("int").alias("chunk"), "tokens", base.alias("base"), (F.col("rate") - base).alias("p"))
     sort = ["source", "chunk", F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id"]
-    flown = cut(rows.repartition("source", "chunk").sortWithinPartitions(*sort).mapInArrow(_flights(seed, False), SCHEMA), "flights")
+    fly_ = lambda df, *by: df.repartition(*by).sortWithinPartitions(*sort)
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
-    left = flown.where(open_).withColumn("chunk", F.lit(-1)).repartition("source").sortWithinPartitions(*sort).mapInArrow(_flights(seed, True), SCHEMA)
-    return flown.where(~open_).unionByName(left).select("doc_id", "source", "tokens", (F.col("base") + F.round("p").cast("int")).alias("copies"))
+    flown = cut(fly_(rows, "source", "chunk").mapInArrow(_flights(seed, 0), SCHEMA), "flights")
+    together = flown.where(open_).withColumn("chunk", F.floor(F.col("chunk") / CHUNKS_TOGETHER).cast("int"))
+    again = cut(fly_(together, "source", "chunk").mapInArrow(_flights(seed, 1), SCHEMA), "flights")
+    landed = fly_(again.where(open_).withColumn("chunk", F.lit(-1)), "source").mapInArrow(_flights(seed, 2, land=True), SCHEMA)
+    done = flown.where(~open_).unionByName(again.where(~open_)).unionByName(landed)
+    return done.select("doc_id", "source", "tokens", (F.col("base") + F.round("p").cast("int")).alias("copies"))
 
 
 def report(planned: DataFrame, mixed: DataFrame) -> DataFrame:
     """The plan with what the mixture reaches: mixture_tokens, mixture_copies, actual_share (of the tokens of the whole
-    mixture) and most_used, the greatest number of copies of one document."""
+    mixture), most_used, the greatest number of copies of one document, and reachable: false where the mixture stays below
+    the target although it uses every token max_repeats times."""
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixture_tokens"), F.sum("copies").alias("mixture_copies"), F.max("copies").alias("most_used"))
     j = planned.join(got, "source", "left").fillna(0, ["mixture_tokens", "mixture_copies", "most_used"])
     whole = F.sum("mixture_tokens").over(Window.partitionBy(F.lit(1)))  # over the target sources only
     share = F.when(whole > 0, F.col("mixture_tokens") / whole).otherwise(0.0)
-    return j.withColumn("actual_share", share).drop("rate")
+    used_up = F.col("mixture_tokens") == F.col("available_tokens") * F.col("max_repeats")
+    short = F.col("mixture_tokens") < F.col("target_tokens")
+    return j.withColumn("actual_share", share).withColumn("reachable", ~(short & used_up)).drop("rate")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:

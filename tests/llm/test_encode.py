@@ -57,3 +57,12 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = encode.encode(docs(spark, [(1, "a b"), (1, "a b"), (None, "c"), (2, None)])).collect()
     assert sorted((r.doc_id or 0, len(r.ids)) for r in got) == [(0, 1), (1, 2), (1, 2), (2, 0)]
     assert encode.encode(docs(spark, [])).count() == 0
+
+
+def test_words_meet_their_blocks_in_groups(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK_CHARS", 20)
+    monkeypatch.setattr(encode, "GROUP_BLOCKS", 2)
+    texts = [(i, f"the the word{i % 3} the {'x' * i}") for i in range(40)] + [(99, None)]
+    got = {r.doc_id: r.ids for r in encode.encode(docs(spark, texts)).collect()}
+    assert got == {i: tokenizer(t or "") for i, t in texts}
+    assert {r.doc_id: (r.block, r.tokens) for r in encode.lengths(docs(spark, texts), "block").collect()} == {i: ("clash", len(v)) for i, v in got.items()}

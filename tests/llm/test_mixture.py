@@ -77,3 +77,35 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c", "a"), (2, None, "a"), (3, "", None)], "doc_id bigint, text string, source string")
     mixed, report = mixture.mixture(docs, targets)
     assert report.first().available_tokens == 3 and mixed.count() == 2
+
+
+def test_chunks_fly_together_before_they_land(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "CHUNKS_TOGETHER", 4)
+    rng = random.Random(5)
+    rows, df = sizes(spark, rng, a=1200, b=200)
+    planned = mixture.plan(df, spark.createDataFrame([("a", 0.37, 1, 1), ("b", 0.2, 9, 1)], TARGETS))
+    mixed = mixture.mix(df, planned, chunk_docs=20)
+    assert mixed.count() == 1400
+    report = {r.source: r for r in mixture.report(planned, mixed).collect()}
+    for s in "ab":
+        assert abs(report[s].mixture_tokens - report[s].target_tokens) <= 2 * 2000
+
+
+def test_what_cannot_be_reached_is_read_off_the_mixture(spark):
+    df = spark.createDataFrame([(1, "a", 10), (2, "a", 20), (3, "b", 30), (4, "c", 0), (5, None, 40), (6, "d", 25)], SIZES)
+    targets = [("a", 0.8, 3, 1), ("b", 0.6, 2, 1), ("c", 0.1, 5, 1), ("d", 0.4, 2, 1), ("none", 0.0, 1, 1), ("gone", 0.2, 1, 1)]  # of 125 tokens
+    planned = mixture.plan(df, spark.createDataFrame(targets, TARGETS))
+    got = {r.source: r.reachable for r in mixture.report(planned, mixture.mix(df, planned)).collect()}
+    assert got == {"a": False, "b": False, "c": False, "d": True, "none": True, "gone": False}
+
+
+def test_found_comes_from_the_report(spark, tmp_path):
+    from tessera.llm import plans
+
+    docs = spark.createDataFrame([(1, "a b c", "a"), (1, "a b c", "a"), (None, "d e", "b"), (2, None, "a"), (3, "", None)], "doc_id bigint, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 0.5, 2), ("b", 0.9, 2)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    found = plans.p9_found(spark, str(tmp_path))
+    assert [r.source for r in found.collect()] == ["b"]  # 2 of 8 tokens, twice
+    assert "flights" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.source: r.available_tokens for r in plans.p9_report(spark, str(tmp_path)).collect()} == {"a": 6, "b": 2}
