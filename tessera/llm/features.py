@@ -1,4 +1,4 @@
-"""Content and link features of pages: which share of a text is links, tags, lists or repeated keywords."""
+"""The share of a text that is links, tags, lists or repeated keywords, judged line by line."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from collections import Counter
 
 #: Words of running text that are looked at together for repetition.
 WINDOW = 40
+#: Words up to which the text of a link is no text of its own.
+LINK_WORDS = 25
 
-_MD = re.compile(r"!?\[[^\]\n]{0,300}\]\([^)\s]{1,500}\)")
-_ANCHOR = re.compile(r"<a\b[^>]{0,500}>.{0,300}?</a>", re.I)
+# Bounded by what may stand inside them, not by length: each start ends at the next bracket or tag, so none is quadratic.
+_MD = re.compile(r"!?\[(?P<text>[^\[\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))+\)")
+_ANCHOR = re.compile(r"<a\b[^<>]*>(?P<text>[^<]*(?:<(?!/?a\b)[^<]*)*)</a>", re.I)
 _URL = re.compile(r"(?:https?://|www\.)[^\s)>\]\"'|]+", re.I)
-_HOST = re.compile(r"(?:https?://|www\.)([^\s/)>\]\"'|?#:]+)", re.I)
-_MARKUP = re.compile(r"</?[a-zA-Z][^>]{0,200}>|&[a-z]+;")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|&[a-z]+;")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_]+(?:['’][^\W_]+)?")
 _TAG = re.compile(r"(?<!\w)#\w+")
 _LIST_MARK = re.compile(r"^\s*(?:[-*+•>]+|\d{1,4}[.)]|#{1,6}(?=\s))\s*")
@@ -26,9 +28,6 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
 
 _MARKS = ",;|>/»·•、，–—-"
 _ONE_DIGIT = str.maketrans("123456789", "000000000")
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-FEATURES = ("share", "link", "tag", "item", "repeat", "links", "words", "unique", "top_word", "ends", "upper", "digits", "markup", "lines", "short_lines", "anchor")
 
 
 def _words(s: str) -> list[str]:
@@ -76,14 +75,25 @@ def _stuffed(words: list[str], paused: bool) -> bool:
     return top >= 0.3 or unique <= 0.33
 
 
-def lines_of(text: str) -> tuple[list[list], list[str]]:
-    """([size, kind] of each non-blank line, stems of all words outside links and code); kinds: link, tag, item (a list of
-    labels), repeat, code, text. Long running text is judged in pieces of about WINDOW words, so a line may give several."""
+def _unlinked(pattern: re.Pattern, line: str) -> tuple[list[str], str]:
+    """(the links of a form, the line without them); of a link with more than LINK_WORDS words its own text stays."""
+    links = []
+
+    def text(m: re.Match) -> str:
+        links.append(m.group())
+        own = m.group("text")
+        return f" {own} " if len(own) > 2 * LINK_WORDS and _length(_words(_MARKUP.sub(" ", own))) > LINK_WORDS else " "
+
+    return links, pattern.sub(text, line)
+
+
+def lines_of(text: str) -> list[list]:
+    """[size, kind] of each non-blank line; kinds: link, tag, item (a list of labels), repeat, code, text. Long running
+    text is judged in pieces of about WINDOW words, so a line may give several."""
     out: list[list] = []
-    stems: list[str] = []
     code = False
     raw = text.splitlines()
-    plain = [x.strip().lower().translate(_ONE_DIGIT) if len(x) < 200 else "" for x in raw]  # only short lines are compared
+    plain = [x.strip().lower().translate(_ONE_DIGIT) for x in raw]
     often = Counter(p for p in plain if p)
     for line, norm in zip(raw, plain):
         s = line.strip()
@@ -98,11 +108,12 @@ def lines_of(text: str) -> tuple[list[list], list[str]]:
             continue
         links, rest = [], s
         if "](" in rest:
-            links += _MD.findall(rest)
-            rest = _MD.sub(" ", rest)
+            links, rest = _unlinked(_MD, rest)
+            if "](" in rest:  # an image inside a link
+                rest = _unlinked(_MD, rest)[1]
         if "<" in rest:
-            links += _ANCHOR.findall(rest)
-            rest = _ANCHOR.sub(" ", rest)
+            more, rest = _unlinked(_ANCHOR, rest)
+            links += more
         if "://" in rest or "www." in rest.lower():
             links += _URL.findall(rest)
             rest = _URL.sub(" ", rest)
@@ -115,7 +126,6 @@ def lines_of(text: str) -> tuple[list[list], list[str]]:
             out.append([size, "link"])
             continue
         line_stems = list(map(_stem, own))
-        stems += line_stems
         tags = _TAG.findall(rest) if "#" in rest else ()
         if len(tags) >= 3 and n <= 2 * sum(len(_words(t.replace("_", " "))) for t in tags):
             out.append([size, "tag"])
@@ -154,31 +164,12 @@ def lines_of(text: str) -> tuple[list[list], list[str]]:
             if out[k][1] == "label":
                 out[k][1] = "item" if j - i >= 4 else "text"
         i = max(j, i + 1)
-    return out, stems
+    return out
 
 
-def features(text: str | None) -> list[float]:
-    """FEATURES of a text; all 0 for null and blank ones."""
-    t = text or ""
-    parts, words = lines_of(t)
+def spam_share(text: str | None) -> float:
+    """The share of a text's characters that stand in links, tags, lists of labels or repeated keywords; 0 for null and
+    blank texts."""
+    parts = lines_of(text or "")
     total = sum(n for n, _ in parts)
-    if not total:
-        return [0.0] * len(FEATURES)
-    size = Counter()
-    for n, kind in parts:
-        size[kind] += n
-    n = max(1, len(words))
-    unique = len(set(words)) / n
-    top = max(Counter(words).values(), default=0) / n
-    spam = sum(size[k] for k in ("link", "tag", "item", "repeat"))
-    return [
-        spam / total, size["link"] / total, size["tag"] / total, size["item"] / total, size["repeat"] / total, t.count("://") * 10 / n, float(len(words)), unique, top,
-        sum(map(t.count, ".!?。！？")) * 10 / n, sum(map(t.count, _UPPER)) / total, sum(map(t.count, "0123456789")) / total,
-        t.count("<") * 10 / n, float(len(parts)), sum(k < 40 for k, _ in parts) / len(parts), t.lower().count("<a ") * 10 / n,
-    ]
-
-
-def host(text: str | None) -> str | None:
-    """The host that the text links to most often (of several the first by name), None without links."""
-    found = Counter(h.lower().rstrip(".") for h in _HOST.findall(text or ""))
-    return min(found, key=lambda h: (-found[h], h)) if found else None
+    return sum(n for n, kind in parts if kind in ("link", "tag", "item", "repeat")) / total if total else 0.0

@@ -6,10 +6,11 @@ import numpy as np
 
 
 class Tree:
-    """A binary classification tree: splits by the greatest fall of the Gini index over quantile cuts."""
+    """A binary classification tree: splits by the greatest fall of the Gini index over quantile cuts, each split over
+    some features drawn anew."""
 
-    def __init__(self, depth: int = 6, least: int = 10):
-        self.depth, self.least = depth, least
+    def __init__(self, depth: int, least: int, tried: int, rng: np.random.Generator):
+        self.depth, self.least, self.tried, self.rng = depth, least, tried, rng
         self.nodes: list[tuple] = []  # (feature, cut, left, right) or (value,)
 
     def fit(self, x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray]) -> "Tree":
@@ -23,7 +24,8 @@ class Tree:
             return at
         best, n, total = (0.0, -1, 0.0), len(y), y.sum()
         base = total * (n - total) / n
-        for f, c in enumerate(cuts):
+        for f in np.sort(self.rng.permutation(len(cuts))[: self.tried]):
+            c = cuts[f]
             if not len(c):
                 continue
             place = np.searchsorted(c, x[:, f], side="left")  # x <= c[k] goes left for k >= place
@@ -60,21 +62,24 @@ class Tree:
 
 
 class Bag:
-    """Trees on bootstrap samples; the prediction is their mean."""
+    """Trees on bootstrap samples with as many rows of each label; the prediction is their mean. Rows of the rarer label
+    are drawn more than once, so a rare kind of page is not outvoted."""
 
-    def __init__(self, trees: int = 15, depth: int = 6, seed: int = 0):
-        self.size, self.depth, self.seed = trees, depth, seed
+    def __init__(self, trees: int = 31, depth: int = 8, least: int = 5, tried: int = 8, seed: int = 0):
+        self.size, self.depth, self.least, self.tried, self.seed = trees, depth, least, tried, seed
         self.trees: list[Tree] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Bag":
+        """y holds both labels, 0 and 1."""
         rng = np.random.default_rng(self.seed)
+        labels = [np.flatnonzero(y == v) for v in (0, 1)]
         cuts = []
         for f in range(x.shape[1]):
-            q = np.unique(np.quantile(x[:, f], np.linspace(0, 1, 129)))
+            q = np.unique(np.concatenate([np.quantile(x[rows, f], np.linspace(0, 1, 129)) for rows in labels]))
             cuts.append((q[1:] + q[:-1]) / 2)
         for _ in range(self.size):
-            rows = rng.integers(0, len(x), len(x))
-            self.trees.append(Tree(self.depth).fit(x[rows], y[rows], cuts))
+            rows = np.concatenate([rng.choice(rows, max(1, len(y) // 2)) for rows in labels])
+            self.trees.append(Tree(self.depth, self.least, self.tried, rng).fit(x[rows], y[rows], cuts))
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

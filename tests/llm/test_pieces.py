@@ -19,8 +19,8 @@ def _dump(n):
 def test_dump_behind_prose_in_one_line():
     line = PROSE * 4 + _dump(400)
     assert len(line.splitlines()) == 1
-    assert f.features(line)[0] > 0.5
-    assert f.features(PROSE.strip())[0] == 0.0
+    assert f.spam_share(line) > 0.5
+    assert f.spam_share(PROSE.strip()) == 0.0
 
 
 def test_cjk_pair_that_comes_three_times():
@@ -54,3 +54,22 @@ def test_exit_changes_nothing(base):
                 words[j + 1] = words[i + 1] if k == 1 else words[i]
         for paused in (False, True):
             assert f._stuffed(words, paused) == _without_exit(words, paused)
+
+
+def test_no_length_switches_a_rule_off():
+    long_ = "x" * 400
+    assert f.spam_share(f"[{PROSE.strip()}](http://x.example/a)") == 0.0  # a link with much text of its own is no link line
+    assert f.spam_share(f"[{long_}](http://x.example/{long_ * 3})") == 1.0
+    assert f.spam_share(f'<a href="http://x.example/{long_ * 3}">{long_}</a>') == 1.0
+    assert f.spam_share("\n".join([f"Buy {long_} now"] * 8)) == 1.0  # repeated, however long
+
+
+@pytest.mark.parametrize("text", ["[" * 50_000, "](" * 50_000, "<a>" * 50_000, "<a" * 50_000, "<" * 50_000, "[x](" * 30_000, "#" * 50_000, "http://" * 20_000, "a" * 300_000, ", " * 50_000])
+def test_long_broken_texts_take_no_square_time(text):
+    import time
+
+    from tessera.llm.pages import host, page_features
+
+    start = time.time()
+    f.spam_share(text), page_features(text), host(text)
+    assert time.time() - start < 5
