@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 from collections.abc import Iterator
 
@@ -221,8 +222,21 @@ class _Part:
         return [sorted(o.items()) for o in out]
 
 
-def shred(ids: list, payloads: list[bytes]) -> list[tuple]:
-    """The rows (columns of ROW) of some payloads."""
+def whole_number(text: str | None) -> int | None:
+    """A whole number of any size that may be written with a fraction of zero or an exponent; None for anything else."""
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        pass
+    try:
+        return int(decimal.Decimal(text))
+    except (TypeError, ValueError, OverflowError, decimal.InvalidOperation):
+        return None
+
+
+def shred(ids: list, payloads: list[bytes], kinds: frozenset | None = None) -> list[tuple]:
+    """The rows (columns of ROW) of some payloads, of the given kinds or of all."""
+    wanted = lambda *k: kinds is None or not kinds.isdisjoint(k)
     ix = Index(payloads)
     roots = _Part(ix, ix.roots, [""] * len(ids), list(range(len(ids))))
     has = (ix.member(roots.boxes, "case_id") >= 0) | (ix.member(roots.boxes, "receipt") >= 0)
@@ -237,11 +251,8 @@ def shred(ids: list, payloads: list[bytes]) -> list[tuple]:
         numbers = []
         case, rep = ix.member(part.boxes, "case_id"), ix.member(part.boxes, "repeat")
         for k, doc in enumerate(part.entries):
-            r = ix.text(int(rep[k])) if rep[k] >= 0 and ix.inner[rep[k]] < 0 else None
-            try:
-                r = int(float(r)) if r is not None else None
-            except (ValueError, OverflowError):
-                r = None
+            r = whole_number(ix.text(int(rep[k]))) if rep[k] >= 0 and ix.inner[rep[k]] < 0 else None
+            r = r if r is not None and -(1 << 63) <= r < 1 << 63 else None
             c = ix.text(int(case[k])) if case[k] >= 0 and ix.inner[case[k]] < 0 else None
             numbers.append(len(entries))
             entries.append((ids[doc], part.paths[k], c, r))
@@ -249,13 +260,15 @@ def shred(ids: list, payloads: list[bytes]) -> list[tuple]:
         todo.append(_Part(ix, ix.inner_if(slots, OPEN[0]), [f"{p}.receipt" for p in part.paths], numbers))
         strings += [(ix.text(int(s)).encode(), numbers[k]) for k, s in enumerate(slots) if s >= 0 and ix.kind[s] == QUOTE]
         part.entries = numbers
-        fields = part.scalars()
-        for k, e in enumerate(numbers):
-            rows.append((e, part.paths[k], "", "entry", None, fields[k]))
-        _cleanups(rows, part.child("indexing", OPEN[0]), "indexing")
-    for _ in range(3):  # a receipt may be written as a JSON string, even twice
-        if not strings:
-            break
+        if wanted("entry"):
+            fields = part.scalars()
+            for k, e in enumerate(numbers):
+                rows.append((e, part.paths[k], "", "entry", None, fields[k]))
+        if wanted("step", "cleanup"):
+            indexing = part.child("indexing", OPEN[0])
+            _plain(rows, indexing, "step", "indexing")
+            _cleanups(rows, indexing, "indexing")
+    while strings:  # a receipt may be written as a JSON string, and that as another; each round strips one of them
         inner = Index([s for s, _ in strings])
         todo.append(_Part(inner, inner.roots, [entries[e][1] + ".receipt" for _, e in strings], [e for _, e in strings]))
         again = []
@@ -273,31 +286,35 @@ def shred(ids: list, payloads: list[bytes]) -> list[tuple]:
         status = part.ix.member(part.boxes, "status")
         cleanup = part.ix.inner_if(part.ix.member(part.boxes, "process_cleanup"), OPEN[0])
         complete = part.ix.member(cleanup, "complete")
-        fields = part.scalars()
+        fields = part.scalars() if wanted("receipt") else [[]] * len(part.entries)
         for k, e in enumerate(part.entries):
             s = part.ix.text(int(status[k])) if status[k] >= 0 and part.ix.inner[status[k]] < 0 else None
             c = truth(part.ix.text(int(complete[k]))) if complete[k] >= 0 and part.ix.inner[complete[k]] < 0 else None
             about[e] = (s, c)
             rows.append((e, part.paths[k], entries[e][1], "receipt", None, fields[k]))
-        _cleanups(rows, part, "receipt")
-        commands = part.child("runtime_setup", OPEN[1]).elements()
-        _plain(rows, commands, "command", None)
-        _cleanups(rows, commands, "command")
-        for key in ("stdout_redaction", "stderr_redaction"):
-            _plain(rows, part.child(key, OPEN[0]), "trace", "receipt")
-        _plain(rows, part.child("retained_traces", OPEN[0]).members(), "trace", "receipt")
-        _plain(rows, commands.child("retained_traces", OPEN[0]).members(), "trace", "command")
-        tests = part.child("added_tests", OPEN[0])
-        _plain(rows, tests, "tests", None)
-        _cleanups(rows, tests.child("receipt", OPEN[0]), "tests")
-        names = tests.child("observed_names", OPEN[1])
-        who, slots = names.ix.slots_of(names.boxes)
-        for w, s in zip(who, slots):
-            if names.ix.kind[s] == QUOTE:
-                path = names.paths[w]
-                rows.append((names.entries[w], f"{path}[{names.ix.order[s]}]", path.rsplit(".", 1)[0], "test", None, [("name", names.ix.text(int(s)))]))
+        if wanted("cleanup"):
+            _cleanups(rows, part, "receipt")
+        if wanted("command", "cleanup", "trace", "output"):
+            commands = part.child("runtime_setup", OPEN[1]).elements()
+            _plain(rows, commands, "command", None)
+            _cleanups(rows, commands, "command")
+            _texts(rows, commands.child("expected_output_missing", OPEN[1]), "output", "command")
+            _plain(rows, commands.child("retained_traces", OPEN[0]).members(), "trace", "command")
+        if wanted("trace"):
+            for key in ("stdout_redaction", "stderr_redaction"):
+                _plain(rows, part.child(key, OPEN[0]), "trace", "receipt")
+            _plain(rows, part.child("retained_traces", OPEN[0]).members(), "trace", "receipt")
+        if wanted("tests", "step", "cleanup", "test"):
+            tests = part.child("added_tests", OPEN[0])
+            _plain(rows, tests, "tests", None)
+            run_ = tests.child("receipt", OPEN[0])
+            _plain(rows, run_, "step", "tests")
+            _cleanups(rows, run_, "tests")
+            _texts(rows, tests.child("observed_names", OPEN[1]), "test", None)
     out = []
     for e, path, parent, kind, owner, fields in rows:
+        if kinds is not None and kind not in kinds:
+            continue
         record, entry, case, repeat = entries[e]
         s, c = about.get(e, (None, None))
         out.append((record, path, parent, entry, kind, owner, case, repeat, s, c, fields))
@@ -307,22 +324,31 @@ def shred(ids: list, payloads: list[bytes]) -> list[tuple]:
 def _plain(rows: list, part: _Part, kind: str, owner: str | None) -> None:
     for path, e, f in zip(part.paths, part.entries, part.scalars()):
         parent = path.rsplit(".", 1)[0]
-        if parent.endswith((".retained_traces", ".indexing", ".added_tests.receipt")):  # these are no rows of their own
+        if parent.endswith(".retained_traces"):  # this is no row of its own
             parent = parent.rsplit(".", 1)[0]
         rows.append((e, path, parent, kind, owner, f))
 
 
+def _texts(rows: list, part: _Part, kind: str, owner: str | None) -> None:
+    """A row for each text in arrays of them, below the object that holds the array."""
+    who, slots = part.ix.slots_of(part.boxes)
+    for w, s in zip(who, slots):
+        if part.ix.kind[s] == QUOTE:
+            path = part.paths[w]
+            rows.append((part.entries[w], f"{path}[{part.ix.order[s]}]", path.rsplit(".", 1)[0], kind, owner, [("name", part.ix.text(int(s)))]))
+
+
 def _cleanups(rows: list, owners: _Part, owner: str) -> None:
     _plain(rows, owners.child("process_cleanup", OPEN[0]), "cleanup", owner)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterator[pa.RecordBatch], kinds: frozenset | None) -> Iterator[pa.RecordBatch]:
     field = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
     types = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.bool_(), field]
     names = [c.strip().split()[0] for c in ROW.split(",")[:11]]
 
     def emit(ids, texts):
-        rows = shred(ids, texts)
+        rows = shred(ids, texts, kinds)
         if rows:
             cols = list(zip(*rows))
             cols[10] = [[{"name": k, "value": v} for k, v in f] for f in cols[10]]
@@ -344,21 +370,24 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from emit(ids, texts)
 
 
-def rows(records: DataFrame) -> DataFrame:
-    """All rows that the payloads nest, linked: record_id, row_id (the row's place in the payload, unique in a record),
-    parent_id (row_id of the row that it belongs to, '' for entries), entry_id, kind (entry, receipt, cleanup, command,
-    trace, tests, test), owner (whose cleanup or trace it is), case_id, repeat, receipt_status and cleanup_complete of
-    the entry's own receipt, and the row's own scalar fields.
+def rows(records: DataFrame, *kinds: str) -> DataFrame:
+    """All rows that the payloads nest, or those of some kinds, linked: record_id, row_id (the row's place in the payload,
+    unique in a record), parent_id (row_id of the row that it belongs to, '' for entries), entry_id, kind (entry, receipt,
+    cleanup, command, output: one that a command missed, trace, tests, test, step: indexing or a run of tests with a
+    status of its own), owner (whose cleanup, trace or step it is), case_id, repeat, receipt_status and cleanup_complete
+    of the entry's own receipt, and the row's own scalar fields.
 
     Defined results: null, empty and cut-off payloads give no rows; a receipt written as a JSON string is read like any
     other; missing parts give null columns; of a repeated key the last counts; redelivered records count once (rows are
     unique by record_id and row_id; if copies differ the greatest row stays); records with a null id are left out; other
     columns of the table are not touched.
 
-    Scale: each payload is shredded where it is read, in chunks of bounded size; only the flat rows are shuffled.
+    Scale: each payload is shredded where it is read, in chunks of bounded size; only the flat rows of the kinds asked
+    for leave the shredder and are shuffled.
     """
+    which = frozenset(kinds) or None
     texts = records.where("record_id IS NOT NULL AND payload IS NOT NULL").select(F.col("record_id").cast("bigint"), F.col("payload").cast("string"))
-    flat = texts.mapInArrow(_run, ROW)
+    flat = texts.mapInArrow(lambda batches: _run(batches, which), ROW)
     rest = [c for c in flat.columns if c not in ("record_id", "row_id")]
     return flat.groupBy("record_id", "row_id").agg(F.max(F.struct(*rest)).alias("r")).select("record_id", "row_id", "r.*")
 
@@ -374,6 +403,8 @@ TABLES = {
               "path": "string", "raw_retained": "boolean"},
     "tests": {"executed": "boolean"},
     "test": {"name": "string"},
+    "step": {"status": "string"},
+    "output": {"name": "string"},
 }
 
 

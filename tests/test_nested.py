@@ -88,3 +88,24 @@ def test_long_payloads_and_empty_table(spark):
     got = nested.failed_without_cleanup(nested.rows(records(spark, [(1, json.dumps(big))]))).count()
     assert got == sum(c["receipt"]["status"] == "failed" and c["receipt"]["process_cleanup"]["complete"] is False for c in big["cases"])
     assert nested.rows(records(spark, [])).count() == 0
+
+
+def test_steps_and_missing_outputs_are_rows_with_links(spark):
+    entry = {"case_id": "x", "repeat": 2**60 + 1, "indexing": {"status": "ok", "process_cleanup": {"complete": True}},
+             "receipt": receipt(added_tests={"receipt": receipt("partial")}, runtime_setup=[{"command_id": "c", "expected_output_missing": ["a", None, "b"]}])}
+    linked = nested.rows(records(spark, [(1, json.dumps({"cases": [entry, {"case_id": "y", "repeat": "3.0"}, {"case_id": "z", "repeat": "x"}]}))]))
+    by = {r.row_id: r for r in linked.collect()}
+    assert by["cases[0].indexing.process_cleanup"].parent_id == "cases[0].indexing" and by["cases[0].indexing"].parent_id == "cases[0]"
+    assert by["cases[0].receipt.added_tests.receipt.process_cleanup"].parent_id == "cases[0].receipt.added_tests.receipt"
+    assert {(r.owner, r.status) for r in nested.flat_table(linked, "step").collect()} == {("indexing", "ok"), ("tests", "partial")}
+    assert {(r.parent_id, r.name) for r in nested.flat_table(linked, "output").collect()} == {("cases[0].receipt.runtime_setup[0]", "a"), ("cases[0].receipt.runtime_setup[0]", "b")}
+    assert [by[f"cases[{k}]"].repeat for k in range(3)] == [2**60 + 1, 3, None]
+    assert {r.kind for r in nested.rows(records(spark, [(1, json.dumps(entry))]), "output", "step").collect()} == {"output", "step"}
+
+
+def test_receipts_inside_many_strings(spark, rows):
+    text = receipt()
+    for _ in range(7):
+        text = json.dumps(text)
+    linked = nested.rows(records(spark, [(1, json.dumps({"case_id": "a", "repeat": 1, "receipt": text}))]), "receipt")
+    assert rows(nested.failed_without_cleanup(linked)) == [(1, "a", 1)]
