@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-_LINK = re.compile(r"\]\([^()\s]+|(?:https?://|www\.)[^\s)>\]\"'|]+|<a\b[^<>]*", re.I)
-_HOST = re.compile(r"(?:https?://|www\.)([^\s/)>\]\"'|?#:]+)", re.I)
+_LINK = re.compile(r"\]\([^()\s]+|(?:https?://|www\.)[^\s)>\]\"'|]+|<a\b[^<>]*")
+_HOST = re.compile(r"(?:https?://|www\.)([^\s/)>\]\"'|?#:]+)")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]{1,3}|[^\W_]+")
-_SENTENCE = re.compile(r"[.!?。！？]+(?=\s|$|[\"')\]»”])|[。！？]|\n+")
 _LIST_MARK = re.compile(r"^[ \t]*(?:[-*+•>]|\d+[.)])", re.M)
 
 _UPPER, _DIGITS, _SEPARATORS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b",;|>/"
 _MORE_SEPARATORS = "»·•、，–"
+_NO_WORD = bytes(i if i < 128 and chr(i).isalnum() else 32 for i in range(256))
 #: Words whose variety is measured together.
 WINDOW = 40
 
@@ -33,7 +33,8 @@ def page_features(text: str | None) -> list[float]:
     t = text or ""
     low = t.lower()
     links = _LINK.findall(low) if "](" in low or "://" in low or "www." in low or "<a" in low else []
-    words = _WORD.findall(_LINK.sub(" ", low) if links else low)
+    bare = _LINK.sub(" ", low) if links else low
+    words = bare.encode().translate(_NO_WORD).split() if bare.isascii() else _WORD.findall(bare)
     n = len(words)
     if not n and not links:
         return [0.0] * len(PAGE_FEATURES)
@@ -43,12 +44,13 @@ def page_features(text: str | None) -> list[float]:
     counts = Counter(words)
     pairs = Counter(zip(words, words[1:]))
     lines = [x for x in low.split("\n") if x and not x.isspace()]
-    sizes = [len(x.split()) for x in lines]
-    parts = [len(x.split()) for x in _SENTENCE.split(low)]
+    sizes = [x.strip().count(" ") + 1 for x in lines]
+    ended = low if low.isascii() else low.replace("。", ". ").replace("！", ". ").replace("？", ". ")
+    parts = [x.strip().count(" ") + 1 for x in ended.replace("! ", ". ").replace("? ", ". ").replace("\n", ". ").split(". ")]
     windows = range(0, max(1, n - WINDOW // 2), WINDOW)
     return [
         sum(map(len, links)) / chars, 10 * len(links) / k, len(counts) / k, sum(len(set(words[i:i + WINDOW])) / max(1, len(words[i:i + WINDOW])) for i in windows) / len(windows),
-        max(counts.values(), default=0) / k, 2 * max(pairs.values(), default=0) / k, sum([c for c in pairs.values() if c > 2]) / k, sum([c for w, c in counts.items() if len(w) < 4 and w < "\u3000"]) / k,
+        max(counts.values(), default=0) / k, 2 * max(pairs.values(), default=0) / k, sum([c for c in pairs.values() if c > 2]) / k, sum([c for w, c in counts.items() if len(w) < 4 and w[-1:].isascii()]) / k,
         sum([p for p in parts if p > 6]) / max(1, sum(parts)), 10 * (among(_SEPARATORS) + (0 if t.isascii() else sum(map(t.count, _MORE_SEPARATORS)))) / k, 10 * t.count("#") / k, 10 * sum(map(t.count, "$€£¥")) / k,
         among(_DIGITS) / chars, among(_UPPER) / chars, 10 * t.count("<") / k, n / len(lines), sum([s < 7 for s in sizes]) / len(sizes), len(_LIST_MARK.findall(t)) / len(lines), len(set(lines)) / len(lines), float(n),
     ]
@@ -56,5 +58,6 @@ def page_features(text: str | None) -> list[float]:
 
 def host(text: str | None) -> str | None:
     """The host that the text links to most often (of several the first by name), None without links."""
-    found = Counter(h.lower().rstrip(".") for h in _HOST.findall(text or ""))
+    low = (text or "").lower()
+    found = Counter(h.rstrip(".") for h in _HOST.findall(low)) if "://" in low or "www." in low else None
     return min(found, key=lambda h: (-found[h], h)) if found else None

@@ -16,7 +16,7 @@ from tessera.llm.trees import Bag
 from tessera.session import cut
 
 #: Bound of the training sample: pages that are weakly labelled, drawn by a hash of doc_id; about so many, or all if fewer.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 #: Weak labels: shares of spam lines from which a page is labelled spam, and up to which it is not; others have no label.
 SPAM_FROM, GOOD_TO = 0.6, 0.4
 #: Pages that a host's spam rate is smoothed by, the weight of that rate in the log odds of its pages, and the most that it

@@ -65,7 +65,7 @@ class Bag:
     """Trees on bootstrap samples with as many rows of each label; the prediction is their mean. Rows of the rarer label
     are drawn more than once, so a rare kind of page is not outvoted."""
 
-    def __init__(self, trees: int = 31, depth: int = 8, least: int = 5, tried: int = 8, seed: int = 0):
+    def __init__(self, trees: int = 61, depth: int = 10, least: int = 3, tried: int = 4, seed: int = 0):
         self.size, self.depth, self.least, self.tried, self.seed = trees, depth, least, tried, seed
         self.trees: list[Tree] = []
 
