@@ -17,15 +17,18 @@ _OWNER = re.compile(
     r"|part of (?:the )?(?P<b>[\w./-]+?)(?: project| library| package|[.,\s]|$)|(?:file|code|module) belongs to (?:the )?(?P<c>[\w./-]+?)[.,\s]"
     r"|\(c\) (?:\d{4}(?:\s*[-–,]\s*\d{4})* )?(?:the )?(?P<d>[\w./-]+?) (?:contributors|authors|project|developers|team)\b", re.I)
 _BANNER = re.compile(r"^/\*!\s*(?P<n>[\w.-]+) v?\d+(?:\.\d+)*\b")
-_COMMENT = re.compile(r"^\s*(?://|/\*|\*|#(?!include|define|pragma|if|endif)|--|;|<!--|\"\"\"|''')")
+# A comment where code could stand: to the end of its line, or to its closing mark.
+_LEADING = re.compile(
+    r"\s*(?:/\*[\s\S]*?(?:\*/|\Z)|<!--[\s\S]*?(?:-->|\Z)|--\[\[[\s\S]*?(?:\]\]|\Z)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\(\*[\s\S]*?(?:\*\)|\Z)|\{-[\s\S]*?(?:-\}|\Z)"
+    r"|(?://|#(?!include|define|pragma|if|endif)|--|;)[^\n]*)")
+_TRAILING = re.compile(r"\s*(?://|/\*|\*|#(?!include|define|pragma|if|endif)|--|;|<!--|\"\"\"|''')")
+_CLOSING = re.compile(r"[\s})\];,]*")
 _DATA = re.compile(r"^[\s\[\](){},;:\"'0-9a-fA-FxXuULl.+\\/=_-]*$")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[uUlLfF]*(?!\w)")
 _BLOB = re.compile(r"[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){8,}|[0-9a-fA-F]{32,}")
 _QUOTED = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 _NAMES = re.compile(r"[A-Za-z_$][\w$]*")
 
-HEAD_LINES, TAIL_LINES = 8, 3
-
 
 def own_names(path: str) -> set[str]:
     """Names by which a file's own project may be called: its first folder, below monorepo/ also the second."""
@@ -39,13 +42,28 @@ def own_names(path: str) -> set[str]:
 
 
 def comments(text: str) -> tuple[list[str], list[str]]:
-    lines = [x for x in text.splitlines() if x.strip()]
-    head = []
-    for x in lines[:HEAD_LINES]:
-        if not _COMMENT.match(x):
+    """The lines of the comments that a text begins with, however many, and of those that it ends with, closing brackets
+    aside."""
+    at, head = 0, []
+    while m := _LEADING.match(text, at):
+        head += m.group().split("\n")
+        at = m.end()
+    tail, end = [], len(text)
+    while end > at:
+        start = text.rfind("\n", at, end)
+        start = at if start < 0 else start + 1
+        line = text[start:end].rstrip()
+        if line.endswith("*/"):
+            start = max(at, text.rfind("/*", at, end))
+            if text[text.rfind("\n", 0, start) + 1:start].strip():
+                break  # code stands in front of it
+            tail += text[start:end].split("\n")
+        elif _TRAILING.match(line):
+            tail.append(line)
+        elif not _CLOSING.fullmatch(line):
             break
-        head.append(x.strip()[:400])
-    return head, [x.strip()[:400] for x in lines[-TAIL_LINES:] if _COMMENT.match(x)]
+        end = max(at, start - 1)
+    return [x.strip() for x in head if x.strip()], [x.strip() for x in tail if x.strip()]
 
 
 def data_share(text: str) -> float:
@@ -71,9 +89,13 @@ def data_share(text: str) -> float:
     return data / total if total else 0.0
 
 
+#: Characters from which nobody types a line of code.
+LONG_LINE = 400
+
+
 def minified(text: str) -> bool:
-    """Most of the text stands in very long lines that hardly have blanks."""
-    long_ = [x for x in text.splitlines() if len(x) > 400]
+    """Most of the text stands in lines longer than LONG_LINE that hardly have blanks."""
+    long_ = [x for x in text.splitlines() if len(x) > LONG_LINE]
     size = sum(map(len, long_))
     if size * 2 <= len(text):
         return False
@@ -81,15 +103,35 @@ def minified(text: str) -> bool:
     return _NUMBER.sub("", code).count(" ") < 0.1 * size and len(_NAMES.findall(code)) > 20 and data_share(text) < 0.5
 
 
-_DECLARES = re.compile(r"([A-Za-z_$][\w$]*)\s*(?:<[^<>]*>)?\([^()]*\)[^(){}]*(?:\{|:|=>|=)\s*$")
 _HEADS = set("if for while switch catch elif with match return".split())
+_OPENS = ("{", ":", "=>", "=")
+
+
+def declared_name(line: str) -> str | None:
+    """The name in front of the last brackets of a line that opens a body, None where there is none."""
+    s = line.rstrip()
+    if not s.endswith(_OPENS):
+        return None
+    close = s.rfind(")")
+    open_ = s.rfind("(", 0, close)
+    if close < 0 or open_ < 0 or "{" in s[close:-1] or "}" in s[close:]:
+        return None
+    if ")" in s[open_ + 1:close]:
+        return None
+    head = s[:open_].rstrip()
+    if head.endswith(">") and "<" in head:
+        head = head[: head.rfind("<")].rstrip()
+    k = len(head)
+    while k and (head[k - 1].isalnum() or head[k - 1] in "_$"):
+        k -= 1
+    name = head[k:].lstrip("0123456789")
+    return name if name and name not in _HEADS else None
 
 
 def accessors(text: str) -> float:
     """The share of numbered stubs among the functions that a text declares, 0 for fewer than six: their names end in
     running numbers."""
-    ends = (x for x in text.splitlines() if len(x) < 400 and x.rstrip().endswith(("{", ":", "=>", "=")))
-    names = [m.group(1) for m in map(_DECLARES.search, ends) if m and m.group(1) not in _HEADS]
+    names = [n for n in map(declared_name, text.splitlines()) if n]
     return sum(n[-1].isdigit() for n in names) / len(names) if len(names) >= 6 else 0.0
 
 
