@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import intervals
+from tessera.operators.intervals import innermost
+
 KEY = ["path", "owner", "kind", "name"]
 
 
@@ -88,18 +91,17 @@ def member_changes(base: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def touched(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
-    """(path, line, symbol_id): for each hunk (path, start_line, end_line) the innermost symbol that holds its first line,
-    null where none does. An equi join by file with a range."""
-    s = symbols.where("start_line IS NOT NULL AND end_line IS NOT NULL").select("path", F.col("start_line").alias("a"), F.col("end_line").alias("b"), "symbol_id")
-    j = hunks.select("path", F.col("start_line").alias("line")).join(s, "path").where("line BETWEEN a AND b")
-    inner = j.groupBy("path", "line").agg(F.min(F.struct((F.col("b") - F.col("a")).alias("size"), "symbol_id")).alias("m"))
-    return hunks.select("path", F.col("start_line").alias("line")).distinct().join(inner, ["path", "line"], "left").select("path", "line", F.col("m.symbol_id").alias("symbol_id"))
+    """(path, line, symbol_id): for each line of each hunk (path, start_line, end_line) the innermost symbol that holds it,
+    the shortest one, null where none does."""
+    at = hunks.where("end_line >= start_line").select("path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    spans = symbols.select("path", "start_line", "end_line", F.col("symbol_id").alias("span"))
+    return at.join(innermost(at, spans, "path", F.col("end_line") - F.col("start_line")), ["path", "line"], "left").select("path", "line", F.col("span").alias("symbol_id"))
 
 
 def overlapping(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
     """(symbol_id, hunks): how many hunks of its file overlap each symbol's lines."""
-    h = hunks.select("path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    j = symbols.where("start_line IS NOT NULL AND end_line IS NOT NULL").select("symbol_id", "path", "start_line", "end_line").join(h, "path").where("a <= end_line AND start_line <= b")
+    h = hunks.select("path", F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
+    j = intervals.overlapping(symbols.select("symbol_id", "path", "start_line", "end_line"), h, "path")
     return j.groupBy("symbol_id").agg(F.count("*").alias("hunks"))
 
 
@@ -112,8 +114,11 @@ def tests_to_run(direct: DataFrame, walked: DataFrame, limit: int = 50) -> DataF
 
 
 def content_digest(files: DataFrame) -> DataFrame:
-    """One row: a digest of all (path, content) in the order of paths, from digests of the files."""
-    one = files.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("h"))
-    # a digest of digests by range of paths keeps the ordered list of one row short
-    part = one.withColumn("p", F.substring(F.sha2("path", 256), 1, 2)).groupBy("p").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    """One row: a digest of all (path, content) in the order of the paths' digests, from digests of the files. Files are
+    digested by the first six digits of their path's digest, these by the first three, and these 4,096 into one: with 10^9
+    files a row holds some 60, 4,096 and 4,096 digests."""
+    level = files.select(F.sha2("path", 256).alias("p"), F.sha2(F.concat(F.sha2("path", 256), F.sha2(F.coalesce("content", F.lit("")), 256)), 256).alias("h"))
+    of = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), ""), 256).alias("h")
+    for digits in (6, 3):
+        level = level.groupBy(F.substring("p", 1, digits).alias("q")).agg(of).select(F.col("q").alias("p"), "h")
+    return level.agg(of).select(F.col("h").alias("digest"))

@@ -21,21 +21,31 @@ def trigrams(text: Column) -> Column:
     return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
+def grams(text: Column, n: Column | int) -> Column:
+    """Distinct runs of n characters; none for shorter texts."""
+    n = F.lit(n) if isinstance(n, int) else n
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
 def by_name(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query, symbol_id, match, place): symbols whose name equals a query, begins with it or contains it, in that order
     and then by name length, name and id, the first `limit` of each query. Case does not matter.
 
     Containment goes through an index of trigrams: a query is joined by its rarest trigram alone, and the hits are
-    verified, so no query meets all names. Queries of fewer than three characters match whole names only.
+    verified, so no query meets all names. Queries of one or two characters are joined with the runs of so many
+    characters. Names are looked up once each, however many symbols bear them.
     """
     s = symbols.where("name IS NOT NULL").select("symbol_id", "name", F.lower("name").alias("low"))
     q = queries.where("query IS NOT NULL AND query <> ''").select("query", F.lower("query").alias("ql")).distinct()
-    posting = s.select(F.col("low").alias("hit"), F.explode(trigrams(F.col("low"))).alias("gram")).distinct()
+    known = s.select(F.col("low").alias("hit")).distinct()
+    posting = known.select("hit", F.explode(trigrams(F.col("hit"))).alias("gram"))
     df = posting.groupBy("gram").agg(F.count("*").alias("df"))
-    rare = q.select("query", "ql", F.explode(trigrams(F.col("ql"))).alias("gram")).join(df, "gram")  # a query with an unknown trigram has no hit but is caught below
+    rare = q.select("query", "ql", F.explode(trigrams(F.col("ql"))).alias("gram")).join(df, "gram")  # no hit without all of them, which is verified below
     rare = rare.groupBy("query", "ql").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
     names = rare.join(posting, "gram").where(F.contains("hit", F.col("ql"))).select("query", "ql", "hit")
-    short = q.where(F.length("ql") < 3).select("query", "ql", F.col("ql").alias("hit"))
+    runs = known.select("hit", F.explode(F.concat(grams(F.col("hit"), 1), grams(F.col("hit"), 2))).alias("gram"))
+    short = q.where(F.length("ql") < 3).join(runs, F.col("ql") == F.col("gram")).select("query", "ql", "hit")
     j = names.unionByName(short).join(s, F.col("hit") == F.col("low"))
     match = F.when(F.col("low") == F.col("ql"), "exact").when(F.startswith("low", F.col("ql")), "prefix").otherwise("contains")
     rank = F.when(match == "exact", 0).when(match == "prefix", 1).otherwise(2)
@@ -45,13 +55,14 @@ def by_name(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFram
 
 def qualified(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, symbol_id, candidates) for names such as A::b or A.b: every segment but the last must be the name of the
-    next enclosing symbol. candidates says how many symbols fit; more than one is ambiguous. Up to four segments."""
+    next enclosing symbol, however many there are. candidates says how many symbols fit; more than one is ambiguous."""
     parts = F.split("query", "::|\\.")
-    q = queries.select("query", parts.alias("parts"), F.element_at(parts, -1).alias("name"), F.size(parts).alias("n")).where(F.col("n").between(2, 4)).distinct()
+    q = queries.select("query", parts.alias("parts"), F.element_at(parts, -1).alias("name"), F.size(parts).alias("n")).where("n >= 2").distinct()
+    longest = q.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]  # one number
     s = symbols.select("symbol_id", "name", "parent_symbol_id")
     j = q.join(s, "name").select("query", "parts", "n", "symbol_id", F.col("parent_symbol_id").alias("up"))
-    for k in range(2, 5):
-        p = symbols.select(F.col("symbol_id").alias("up"), F.col("name").alias("pname"), F.col("parent_symbol_id").alias("next"))
+    p = symbols.select(F.col("symbol_id").alias("up"), F.col("name").alias("pname"), F.col("parent_symbol_id").alias("next"))
+    for k in range(2, longest + 1):
         fits = (F.col("n") < k) | (F.try_element_at("parts", F.lit(-k)) == F.col("pname"))
         j = j.join(p, "up", "left").where(F.coalesce(fits, F.lit(False))).select("query", "parts", "n", "symbol_id", F.col("next").alias("up"))
     return j.select("query", "symbol_id", F.count("*").over(Window.partitionBy("query")).alias("candidates"))
@@ -71,21 +82,47 @@ def overloads(symbols: DataFrame) -> DataFrame:
     return symbols.where(F.col("kind").isin(*CALLABLE)).select("symbol_id", F.count("*").over(w).alias("group_size")).where("group_size > 1")
 
 
+def _deletions(text: Column, edits: int) -> Column:
+    """Distinct texts that are left when up to so many characters are taken out."""
+    out = F.array(text)
+    for _ in range(edits):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda t: F.when(F.length(t) > 0, F.transform(
+            F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))))))
+    return out
+
+
+def near_texts(known: DataFrame, want: DataFrame, edits: int = 2) -> DataFrame:
+    """(want, known, distance): all distinct known texts within so many edits of each distinct wanted one, 0 for equal ones.
+
+    Exact: an edit leaves a text that both have when each gives up one character, so short texts (fewer than
+    3 x edits + 3 characters) meet in what deletions leave; of longer ones an edit touches at most three trigrams, so one
+    of the wanted text's 3 x edits + 1 rarest is left; those that repeat so few trigrams that this says nothing meet all
+    texts of about their length."""
+    known, want = known.select("known").where("known IS NOT NULL").distinct(), want.select("want").where("want IS NOT NULL").distinct()
+    bound = 3 * edits + 3  # from here on a text has 3 x edits + 1 places of trigrams
+    short = want.where(F.length("want") < bound).select("want", F.explode(_deletions(F.col("want"), edits)).alias("rest"))
+    short = short.join(known.where(F.length("known") < bound + edits).select("known", F.explode(_deletions(F.col("known"), edits)).alias("rest")), "rest").select("want", "known")
+    gram = known.select("known", F.explode(trigrams(F.col("known"))).alias("gram"))
+    df = gram.groupBy("gram").agg(F.count("*").alias("df"))
+    long_ = want.where(F.length("want") >= bound)
+    probe = long_.select("want", F.explode(trigrams(F.col("want"))).alias("gram")).join(df, "gram", "left")
+    rare = F.row_number().over(Window.partitionBy("want").orderBy(F.coalesce("df", F.lit(0)), "gram"))
+    long = probe.withColumn("rn", rare).where(F.col("rn") <= 3 * edits + 1).join(gram, "gram").select("want", "known")
+    few = long_.where(F.size(trigrams(F.col("want"))) <= 3 * edits)  # texts like aaaaaaaaaa
+    few = few.select("want", F.explode(F.sequence(F.length("want") - edits, F.length("want") + edits)).alias("n")).join(known.select("known", F.length("known").alias("n")), "n").select("want", "known")
+    pairs = short.unionByName(long).unionByName(few).where(F.abs(F.length("want") - F.length("known")) <= edits).distinct()
+    return pairs.withColumn("distance", F.levenshtein("want", "known", edits)).where("distance >= 0")
+
+
 def suggestions(names: DataFrame, asked: DataFrame, edits: int = 2, limit: int = 3) -> DataFrame:
-    """(asked, name, distance): known names within so many edits of an asked one, nearest first, at most `limit`. An edit
-    touches at most three trigrams, so of any 3 x edits + 1 trigrams of the asked name one is left in every such name:
-    candidates are joined by that many of its rarest trigrams (all, if it has fewer; then one must be shared), so frequent
-    trigrams are not looked up. Names are compared once each, however many symbols bear them."""
-    known = names.select(F.col("name"), F.lower("name").alias("low")).distinct()
-    a = asked.select("asked", F.lower("asked").alias("al")).distinct()
-    grams = known.select("name", "low", F.explode(trigrams(F.col("low"))).alias("gram"))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    probe = a.select("asked", "al", F.explode(trigrams(F.col("al"))).alias("gram")).join(df, "gram", "left")
-    rare = F.row_number().over(Window.partitionBy("asked").orderBy(F.coalesce("df", F.lit(0)), "gram"))
-    probe = probe.withColumn("rn", rare).where(F.col("rn") <= 3 * edits + 1).select("asked", "al", "gram")
-    j = probe.join(grams, "gram").where(F.abs(F.length("al") - F.length("low")) <= edits).select("asked", "al", "name", "low").distinct()
-    j = j.withColumn("distance", F.levenshtein("al", "low", edits)).where("distance BETWEEN 1 AND " + str(edits))
-    w = Window.partitionBy("asked").orderBy("distance", "name")
+    """(asked, name, distance): known names within so many edits of an asked one, case aside, nearest first, at most
+    `limit`; of equally near ones those of definitions come before those of imports alone (names: name and, if there,
+    kind). Every such name is found, short ones included (near_texts)."""
+    imported = F.bool_and(F.coalesce(F.col("kind") == "import", F.lit(False))) if "kind" in names.columns else F.lit(False)
+    known = names.where("name IS NOT NULL").groupBy("name").agg(imported.alias("imported")).withColumn("known", F.lower("name"))
+    a = asked.where("asked IS NOT NULL").select("asked", F.lower("asked").alias("want")).distinct()
+    j = a.join(near_texts(known, a, edits).where("distance > 0"), "want").join(known, "known")
+    w = Window.partitionBy("asked").orderBy("distance", "imported", "name")
     return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("asked", "name", "distance")
 
 
@@ -183,36 +220,11 @@ def similar_files(files: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("asked", _file_stem(F.col("asked")).alias("stem")).join(files.select("path", _file_stem(F.col("path")).alias("stem")), "stem").where("asked <> path").select("asked", "path")
 
 
-def _deletions(text: Column, edits: int) -> Column:
-    """Distinct texts that are left when up to so many characters are taken out."""
-    out = F.array(text)
-    for _ in range(edits):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda t: F.when(F.length(t) > 0, F.transform(
-            F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))))))
-    return out
-
-
 def near_files(files: DataFrame, asked: DataFrame, edits: int = 2) -> DataFrame:
-    """(asked, path, distance): files whose stem is within so many edits of an asked path's, 0 for the same stem. Exact: an
-    edit leaves a text that both have when each gives up one character, so short stems (at most 3 x edits + 3 characters)
-    meet in what deletions leave; of longer ones an edit touches at most three trigrams, so one of the asked stem's
-    3 x edits + 1 rarest is left."""
-    f = files.where("path IS NOT NULL").select("path", _file_stem(F.col("path")).alias("stem"))
-    a = asked.where("asked IS NOT NULL").select("asked", _file_stem(F.col("asked")).alias("al"))
-    known, want = f.select("stem").distinct(), a.select("al").distinct()
-    bound = 3 * edits + 3  # from here on a stem has 3 x edits + 1 places of trigrams
-    short = want.where(F.length("al") < bound).select("al", F.explode(_deletions(F.col("al"), edits)).alias("rest"))
-    short = short.join(known.where(F.length("stem") < bound + edits).select("stem", F.explode(_deletions(F.col("stem"), edits)).alias("rest")), "rest").select("al", "stem")
-    grams = known.select("stem", F.explode(trigrams(F.col("stem"))).alias("gram"))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    probe = want.where(F.length("al") >= bound).select("al", F.explode(trigrams(F.col("al"))).alias("gram")).join(df, "gram", "left")
-    rare = F.row_number().over(Window.partitionBy("al").orderBy(F.coalesce("df", F.lit(0)), "gram"))
-    long = probe.withColumn("rn", rare).where(F.col("rn") <= 3 * edits + 1).join(grams, "gram").select("al", "stem")
-    few = want.where(F.length("al") >= bound).where(F.size(trigrams(F.col("al"))) <= 3 * edits)  # stems like aaaaaaaaaa, by length
-    few = few.select("al", F.explode(F.sequence(F.length("al") - edits, F.length("al") + edits)).alias("n")).join(known.select("stem", F.length("stem").alias("n")), "n").select("al", "stem")
-    pairs = short.unionByName(long).unionByName(few).where(F.abs(F.length("al") - F.length("stem")) <= edits).distinct()
-    near = pairs.withColumn("distance", F.levenshtein("al", "stem", edits)).where("distance >= 0")
-    return a.join(near, "al").join(f, "stem").where("asked <> path").select("asked", "path", "distance").distinct()
+    """(asked, path, distance): files whose stem is within so many edits of an asked path's, 0 for the same stem."""
+    f = files.where("path IS NOT NULL").select("path", _file_stem(F.col("path")).alias("known"))
+    a = asked.where("asked IS NOT NULL").select("asked", _file_stem(F.col("asked")).alias("want"))
+    return a.join(near_texts(f, a, edits), "want").join(f, "known").where("asked <> path").select("asked", "path", "distance").distinct()
 
 
 def routes(symbols_facts: DataFrame, queries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import CALLABLE, TYPES, family
 from tessera.functions.paths import folder
+from tessera.operators.intervals import holding
 
 #: Labels in report order.
 LABELS = ("proven", "likely", "unresolved", "excluded", "external")
@@ -55,7 +56,7 @@ def verdicts(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """One label and basis for each site (file_id, path, line, name, language of its file): the first that holds of
     external (no definition of the name), excluded (definitions in other language families only), proven (one definition
     in the same file; else one in the same folder), likely (one definition in the family: name only), unresolved (several).
-    target is the one definition that the verdict ties the site to, else null.
+    target is the one definition that the verdict ties the site to, else null; fam is the site's language family.
 
     Each name's definitions are counted once, by file, folder and family, so a name with many definitions and many sites
     is never paired out.
@@ -68,7 +69,7 @@ def verdicts(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     out = (F.when(F.col("n_all").isNull(), say("external", "no definition")).when(F.col("n_fam").isNull(), say("excluded", "other language"))
            .when(F.col("n_file_id") == 1, say("proven", "same file", "id_file_id")).when(F.col("n_folder") == 1, say("proven", "same package", "id_folder"))
            .when(F.col("n_fam") == 1, say("likely", "name only", "id_fam")).otherwise(say("unresolved", F.format_string("%d definitions", "n_fam"))))
-    return j.select("file_id", "path", "line", "name", out.alias("v")).select("file_id", "path", "line", "name", "v.label", "v.basis", "v.target")
+    return j.select("file_id", "path", "line", "name", "fam", out.alias("v")).select("file_id", "path", "line", "name", "fam", "v.label", "v.basis", "v.target")
 
 
 def exclude_by_arguments(judged: DataFrame, calls: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -83,15 +84,62 @@ def exclude_by_arguments(judged: DataFrame, calls: DataFrame, ranges: DataFrame)
     return k.select("file_id", "path", "line", "name", F.when(wrong, "excluded").otherwise(F.col("label")).alias("label"), F.when(wrong, "argument count").otherwise(F.col("basis")).alias("basis"), "target")
 
 
-def merge_sites(judged: DataFrame) -> DataFrame:
-    """One site for each (path, line): the best label, of equal ones the least name; and how many names the line uses."""
-    best = F.struct(label_rank(F.col("label")).alias("r"), F.col("name").alias("name"), F.col("label").alias("label"), F.col("basis").alias("basis"))
-    return judged.groupBy("path", "line").agg(F.min(best).alias("b"), F.count("*").alias("names")).select("path", "line", "b.name", "b.label", "b.basis", "names")
+def merge_sites(rows: DataFrame) -> DataFrame:
+    """One site for each (path, line) with its greatest end_line: the row that comes first by label, then one that binds
+    another overload, one that is claimed, one that is a call, by column and by name; and how many rows the line has.
+    rows: path, line, name, label, basis, other_overload, claimed, call, column, end_line."""
+    last = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    best = F.struct(label_rank(F.col("label")).alias("r"), last("other_overload").alias("o"), last("claimed").alias("c"), last("call").alias("k"), F.col("column").alias("column"),
+                    F.col("name").alias("name"), F.col("label").alias("label"), F.col("basis").alias("basis"))
+    return rows.groupBy("path", "line").agg(F.min(best).alias("b"), F.count("*").alias("names"), F.max("end_line").alias("end_line")).select("path", "line", "b.name", "b.label", "b.basis", "b.column", "names", "end_line")
 
 
-def label_counts(judged: DataFrame) -> DataFrame:
-    """(target, proven, likely, unresolved, excluded): sites of each target."""
-    return judged.where("target IS NOT NULL").groupBy("target").agg(*[F.count_if(F.col("label") == x).alias(x) for x in ("proven", "likely", "excluded")])
+def label_counts(judged: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(target, proven, likely, unresolved, excluded): the sites that are tied to each callable, and those of its name in
+    its language family that are tied to none of several. Unresolved sites are counted by name first, so a name with many
+    definitions and many sites is not paired out. Callables without any site have no row."""
+    tied = judged.where("target IS NOT NULL").groupBy("target").agg(*[F.count_if(F.col("label") == x).alias(x) for x in ("proven", "likely", "excluded")])
+    open_ = judged.where("label = 'unresolved'").groupBy("name", "fam").agg(F.count("*").alias("unresolved"))
+    s = symbols.where(F.col("kind").isin(*CALLABLE) & F.col("name").isNotNull()).select(F.col("symbol_id").alias("target"), "name", family(F.col("language")).alias("fam"))
+    j = s.join(open_, ["name", "fam"]).select("target", "unresolved").join(tied, "target", "full")
+    return j.select("target", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("proven", "likely", "unresolved", "excluded")])
+
+
+#: Ways in which a line uses a field, in report order.
+ACCESSES = ("write", "read_write", "read")
+
+
+def access_counts(sites: DataFrame) -> DataFrame:
+    """One row: writes, read_writes, reads and unclassified of sites (access)."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    a = F.col("access")
+    return sites.agg(n(a == "write").alias("writes"), n(a == "read_write").alias("read_writes"), n(a == "read").alias("reads"), F.count_if(a.isNull()).alias("unclassified"))
+
+
+def line_access(rows: DataFrame) -> DataFrame:
+    """(path, line, access): how each line uses a field, from its rows (path, line, label, access). Excluded rows say
+    nothing, unless the whole line is excluded."""
+    kept = F.coalesce(F.col("label") != "excluded", F.lit(True))
+    of = lambda c: merge_access(F.collect_set(F.when(c, F.col("access"))))
+    g = rows.groupBy("path", "line").agg(F.bool_or(kept).alias("some"), of(kept).alias("a"), of(F.lit(True)).alias("b"))
+    return g.select("path", "line", F.when(F.col("some"), F.col("a")).otherwise(F.col("b")).alias("access"))
+
+
+def access_rank(access: Column) -> Column:
+    """The place of an access inside a label: writes first, unknown last."""
+    out = F.lit(len(ACCESSES))
+    for i, x in enumerate(ACCESSES):
+        out = F.when(access == x, i).otherwise(out)
+    return out
+
+
+def report_order(sites: DataFrame, key: str = "target") -> DataFrame:
+    """sites with place: their number in their report, by label, access (where known), path, line and column; and first:
+    the place of the first site of their file in it."""
+    known = access_rank(F.col("access")) if "access" in sites.columns else F.lit(0)
+    w = Window.partitionBy(key).orderBy(label_rank(F.col("label")), known, "path", "line", "column", "name")
+    placed = sites.withColumn("place", F.row_number().over(w))
+    return placed.withColumn("first", F.min("place").over(Window.partitionBy(key, "path")))
 
 
 def first_per_label(judged: DataFrame, k: int = 8) -> DataFrame:
@@ -153,11 +201,15 @@ def nearest_owner(wanted: DataFrame, owners: DataFrame) -> DataFrame:
 
 def nearest_preceding(sites: DataFrame, declarations: DataFrame) -> DataFrame:
     """(site, declaration): for each site (site, scope, name, line) the declaration (declaration, scope, name, line) of the
-    scope that stands last at or before it, else the first after it."""
-    d = declarations.select("declaration", "scope", "name", F.col("line").alias("d_line"))
-    j = sites.join(d, ["scope", "name"])
-    key = F.struct((F.col("d_line") > F.col("line")).alias("after"), F.abs(F.col("d_line") - F.col("line")).alias("far"), F.col("declaration").alias("declaration"))
-    return j.groupBy("site").agg(F.min(key).alias("k")).select("site", "k.declaration")
+    scope that stands last at or before it, else the first after it. Sites and declarations are sorted together, so none
+    meets all others of its name."""
+    # both in one order of lines: the last declaration carried forward, else the first one carried back
+    d = declarations.groupBy("scope", "name", "line").agg(F.min("declaration").alias("declaration")).select("scope", "name", "line", F.lit(0).alias("is_site"), F.lit(None).cast("string").alias("site"), "declaration")
+    rows = sites.select("scope", "name", "line", F.lit(1).alias("is_site"), F.col("site").cast("string"), F.lit(None).cast("string").alias("declaration")).unionByName(d)
+    w = Window.partitionBy("scope", "name").orderBy("line", "is_site", "site")
+    before = F.last("declaration", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("declaration", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumn("b", before).withColumn("a", after).where("is_site = 1").select("site", F.coalesce("b", "a").alias("declaration")).where("declaration IS NOT NULL")
 
 
 def line_unique(rows: DataFrame) -> DataFrame:
@@ -166,12 +218,23 @@ def line_unique(rows: DataFrame) -> DataFrame:
 
 
 def pair_greedily(edges: DataFrame, uses: DataFrame) -> DataFrame:
-    """Pairs calls with identifiers of the same caller and name in source order, each identifier once: the k-th call with
-    the k-th identifier. edges: (edge, caller, name, line), uses: (use, caller, name, line)."""
-    w = lambda i: Window.partitionBy("caller", "name").orderBy("line", i)
-    a = edges.select("edge", "caller", "name", F.row_number().over(w("edge")).alias("k"))
-    b = uses.select("use", "caller", "name", F.row_number().over(w("use")).alias("k"))
-    return a.join(b, ["caller", "name", "k"]).select("edge", "use")
+    """(edge, use): pairs calls (edge, caller, name, line, caller_end) with identifiers (use, caller, name, line) of the same
+    caller and name. Calls take their turn in source order; each takes the first identifier that is not taken yet and
+    stands between the call's line and the end of the caller (null: no end). Calls without one are left out.
+
+    As lines only grow, an identifier that is passed over is never taken later: call k (from 0) takes number
+    max over j <= k of (p_j - j), plus k, where p_j identifiers stand before call j. So two windows do what a loop would.
+    """
+    e = edges.select("caller", "name", "line", F.lit(0).alias("is_use"), F.col("edge").alias("id"), F.greatest("caller_end", "line").alias("upto"))
+    u = uses.select("caller", "name", "line", F.lit(1).alias("is_use"), F.col("use").alias("id"), F.lit(None).cast("int").alias("upto"))
+    group = Window.partitionBy("caller", "name")
+    sorted_ = group.orderBy("line", "is_use", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = e.unionByName(u).withColumn("uses", F.sum("is_use").over(sorted_)).withColumn("calls", F.sum(1 - F.col("is_use")).over(sorted_))
+    k = F.col("calls") - 1
+    calls = rows.where("is_use = 0").withColumn("slot", F.max(F.col("uses") - k).over(group.orderBy("calls").rowsBetween(Window.unboundedPreceding, 0)) + k)
+    taken = rows.where("is_use = 1").select("caller", "name", (F.col("uses") - 1).alias("slot"), F.col("id").alias("use"), F.col("line").alias("use_line"))
+    j = calls.join(taken, ["caller", "name", "slot"]).where("upto IS NULL OR use_line <= upto")
+    return j.select(F.col("id").alias("edge"), "use")
 
 
 def conventions(symbols: DataFrame, marks: Column) -> DataFrame:
@@ -223,8 +286,7 @@ def merge_streams(events: DataFrame) -> DataFrame:
 
 def place_sites(judged: DataFrame, hunks: DataFrame) -> DataFrame:
     """The sites with place: in_diff where a hunk (path, start_line, end_line) of the file holds the line, else the label."""
-    h = hunks.select("path", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    inside = judged.select("path", "line").distinct().join(h, "path").where("line BETWEEN a AND b").select("path", "line", F.lit(True).alias("inside")).distinct()
+    inside = holding(judged.select("path", "line").distinct(), hunks.select("path", "start_line", "end_line"), "path").select("path", "line", F.lit(True).alias("inside")).distinct()
     return judged.join(inside, ["path", "line"], "left").withColumn("place", F.when(F.col("inside"), "in_diff").otherwise(F.col("label"))).drop("inside")
 
 

@@ -37,9 +37,23 @@ def find_word(lines: DataFrame, word: str) -> DataFrame:
 
 
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    """The text between two offsets in its UTF-8 bytes; null where an offset is null. Offsets inside a character give its
-    replacement character, as no text ends there."""
-    return F.decode(F.substring(F.encode(text, "utf-8"), start + 1, end - start), "utf-8")
+    """The text between two offsets in its UTF-8 bytes. An offset inside a character is moved outwards: the start to where
+    the character begins, the end to where it ends; offsets beyond the text are cut to its length. Null where an offset is
+    null or the start comes after the end."""
+    raw, size = F.encode(text, "utf-8"), F.octet_length(text)
+    at = lambda i: F.substring(raw, i + 1, F.lit(1))
+    inside = lambda i: (i < size) & (at(i) >= F.unhex(F.lit("80"))) & (at(i) <= F.unhex(F.lit("BF")))  # noqa: E731  # not a first byte
+    a, b = F.least(start, size), F.least(end, size)
+    back = F.when(~inside(a), 0).when(~inside(a - 1), 1).when(~inside(a - 2), 2).otherwise(3)
+    on = F.when(~inside(b), 0).when(~inside(b + 1), 1).when(~inside(b + 2), 2).otherwise(3)
+    return F.when(start <= end, F.decode(F.substring(raw, a - back + 1, b + on - a + back), "utf-8"))
+
+
+def hash_matches(content: Column, stored: Column) -> Column:
+    """Whether a content has a stored SHA-256, with or without its `sha256:` prefix; null where the stored value is of
+    another kind."""
+    plain = F.lower(F.regexp_replace(stored, "^sha256:", ""))
+    return F.when(plain.rlike("^[0-9a-f]{64}$"), F.sha2(content, 256) == plain)
 
 
 def line_slice(text: Column, first: Column, last: Column) -> Column:
@@ -47,6 +61,17 @@ def line_slice(text: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), first, last - first + 1), "\n")
 
 
+def body_text(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """(symbol_id, text): a symbol's body by its bytes or, where those are null, by its lines; symbols without a body have
+    no row."""
+    one = texts.groupBy("file_id").agg(F.max("content").alias("content"))
+    cols = [f"body_{e}_{u}" for u in ("byte", "line") for e in ("start", "end")]
+    j = symbols.select("symbol_id", "file_id", *cols).join(one, "file_id")
+    bytes_ = byte_slice(F.col("content"), F.col(cols[0]), F.col(cols[1]))
+    lines_ = F.when(F.col(cols[2]) <= F.col(cols[3]), line_slice(F.col("content"), F.col(cols[2]), F.col(cols[3])))
+    return j.select("symbol_id", F.coalesce(bytes_, lines_).alias("text")).where("text IS NOT NULL")
+
+
 def symbol_text(symbols: DataFrame, texts: DataFrame) -> DataFrame:
     """(symbol_id, text): a symbol's byte span of its file's text or, where that is null, its lines."""
     one = texts.groupBy("file_id").agg(F.max("content").alias("content"))

@@ -53,9 +53,18 @@ def retained(log: DataFrame, days: int, now: Column) -> DataFrame:
     return log.where(F.col("timestamp").isNull() | (F.col("timestamp") >= now - F.expr(f"INTERVAL {days} DAYS")))
 
 
-def mask_error(text: Column, size: int = 500) -> Column:
-    """An error text in one line, bars escaped, cut at size characters."""
-    return F.substring(F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("|"), F.lit("\\|")), 1, size)
+def mask_error(text: Column, homes: tuple[str, ...] = (), size: int = 500) -> Column:
+    """An error text without the home folders (each in both spellings of its separators becomes ~), in one line, bars
+    escaped, cut at size characters and not inside an escaped bar."""
+    for home in homes:
+        for spelling in dict.fromkeys((home, home.replace("\\", "/"), home.replace("/", "\\"))):
+            text = F.replace(text, F.lit(spelling), F.lit("~"))
+    for ends in ("\r\n", "\n", "\r"):
+        text = F.replace(text, F.lit(ends), F.lit(" "))
+    text = F.replace(text, F.lit("|"), F.lit("\\|"))
+    short = F.substring(text, 1, size)
+    half = F.endswith(short, F.lit("\\")) & ~F.endswith(short, F.lit("\\\\"))
+    return F.when(F.length(text) <= size, text).when(half, F.substring(text, 1, size - 1)).otherwise(short)
 
 
 def saved_tokens(baseline_bytes: Column, est_tokens: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.names import HIDDEN, LOW_SIGNAL
+from tessera.functions.names import CALLABLE, HIDDEN, LOW_SIGNAL
+from tessera.operators.hierarchy import follow
 from tessera.session import cut
 
 MAX_DEPTH, CEILING = 5, 200
@@ -24,8 +25,6 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     Defined results: null ends are no edges; repeated edges and seeds count once; no seeds give no rows.
     """
     step = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
-    if depth > 1:  # each level reads the edges; they are made once
-        step = cut(step, "edges")
     frontier = seeds.select(F.col("seed"), F.col("seed").alias("node")).where("seed IS NOT NULL").distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for d in range(1, depth + 1):
@@ -57,17 +56,25 @@ def impact(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int =
 def impact_flags(edges: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = CEILING) -> DataFrame:
     """For each seed with callers: impacted, tests (numbers found), the flags impacted_truncated, tests_truncated and
     ceiling_reached, stopped_at_depth (the depth, if callers exist beyond it and it could be greater), and
-    tests_past_depth: further tests that a walk of MAX_DEPTH finds."""
+    tests_past_depth: further tests that a walk of MAX_DEPTH finds.
+
+    The walk goes to the depth asked for. Whether there is more is one further join of its last level; only seeds for
+    which there is are walked on, to count the tests past the depth.
+    """
     d = clamp_depth(depth)
-    deep = reach(edges, seeds, MAX_DEPTH)
     s = symbols.select(F.col("symbol_id").alias("node"), F.coalesce("is_test", F.lit(False)).alias("is_test"))
-    rows = deep.join(s, "node")
-    near, test = F.col("depth") <= d, F.col("is_test")
+    near = cut(reach(edges, seeds, d), "near")
     n = lambda c: F.count_if(c)
-    out = rows.groupBy("seed").agg(n(near & ~test).alias("impacted"), n(near & test).alias("tests"), n(F.col("depth") > d).alias("beyond"), n((F.col("depth") > d) & test).alias("tests_past_depth"))
-    return out.select("seed", "impacted", "tests", (F.col("impacted") > limit).alias("impacted_truncated"), (F.col("tests") > limit).alias("tests_truncated"),
-                      (F.col("impacted") + F.col("tests") > CEILING).alias("ceiling_reached"),
-                      F.when((F.col("beyond") > 0) & F.lit(d < MAX_DEPTH), F.lit(d)).alias("stopped_at_depth"), "tests_past_depth")
+    test = F.col("is_test")
+    counts = near.join(s, "node").groupBy("seed").agg(n(~test).alias("impacted"), n(test).alias("tests"))
+    step = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    next_ = near.where(F.col("depth") == d).select("seed", F.col("node").alias("dst")).join(step, "dst").select("seed", F.col("src").alias("node")).where("seed <> node")
+    beyond = cut(next_.distinct().join(near, ["seed", "node"], "left_anti").select("seed").distinct(), "beyond")
+    far = reach(edges, beyond, MAX_DEPTH).where(F.col("depth") > d).join(s, "node").where("is_test").groupBy("seed").agg(F.count("*").alias("tests_past_depth"))
+    j = counts.join(beyond.withColumn("more", F.lit(True)), "seed", "left").join(far, "seed", "left")
+    return j.select("seed", "impacted", "tests", (F.col("impacted") > limit).alias("impacted_truncated"), (F.col("tests") > limit).alias("tests_truncated"),
+                    (F.col("impacted") + F.col("tests") > CEILING).alias("ceiling_reached"),
+                    F.when(F.col("more") & F.lit(d < MAX_DEPTH), F.lit(d)).alias("stopped_at_depth"), F.coalesce("tests_past_depth", F.lit(0)).alias("tests_past_depth"))
 
 
 def open_ends(edges: DataFrame, found: DataFrame) -> DataFrame:
@@ -100,25 +107,22 @@ def hidden_symbols(symbols: DataFrame, up: DataFrame) -> DataFrame:
 
 
 def local_variables(symbols: DataFrame) -> DataFrame:
-    """symbol_id of variables with a callable ancestor, climbing only through variables; circles are no locals."""
-    s = symbols.select("symbol_id", "kind", "parent_symbol_id")
-    start = s.where((F.col("kind") == "variable") & F.col("parent_symbol_id").isNotNull()).select("symbol_id", F.col("parent_symbol_id").alias("at"))
-    parents = s.select(F.col("symbol_id").alias("at"), F.col("kind").alias("above"), F.col("parent_symbol_id").alias("next"))
-    found, level = None, start
-    for _ in range(31):
-        level = cut(level.join(parents, "at"), "locals")
-        hit = level.where(F.col("above").isin("function", "method", "constructor")).select("symbol_id")
-        found = hit if found is None else found.unionByName(hit)
-        level = level.where((F.col("above") == "variable") & F.col("next").isNotNull() & (F.col("next") != F.col("symbol_id"))).select("symbol_id", F.col("next").alias("at"))
-        if level.isEmpty():
-            break
-    return found.distinct()
+    """symbol_id of variables with a callable ancestor, climbing only through variables, however deep; circles are no
+    locals. Chains of variables are followed by pointer doubling."""
+    links = symbols.where("kind = 'variable' AND parent_symbol_id IS NOT NULL").select(F.col("symbol_id").alias("node"), F.col("parent_symbol_id").alias("parent"))
+    inside = symbols.where(F.col("kind").isin(*CALLABLE)).select(F.col("symbol_id").alias("top"))
+    return follow(links).where("NOT circular").join(inside, "top", "left_semi").select(F.col("node").alias("symbol_id"))
 
 
 def namespace_of(up: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol_id, namespace): the name of the nearest enclosing container of a kind."""
-    boxes = symbols.where(F.col("kind").isin("namespace", "module", "class", "struct", "interface")).select(F.col("symbol_id").alias("ancestor_id"), "name")
-    return up.join(boxes, "ancestor_id").groupBy("symbol_id").agg(F.min_by("name", F.struct("depth", "ancestor_id")).alias("namespace"))
+    """(symbol_id, namespace): the name of the nearest namespace, from the symbol itself upwards; else that of the file's
+    only namespace; symbols in neither have no row."""
+    spaces = symbols.where("kind = 'namespace'").select(F.col("symbol_id").alias("ancestor_id"), "name", "path")
+    own = symbols.select("symbol_id", F.col("symbol_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    around = own.unionByName(up).join(spaces.drop("path"), "ancestor_id").groupBy("symbol_id").agg(F.min_by("name", F.struct("depth", "ancestor_id")).alias("around"))
+    single = spaces.where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("n"), F.min("name").alias("single")).where("n = 1").drop("n")
+    j = symbols.select("symbol_id", "path").join(around, "symbol_id", "left").join(single, "path", "left")
+    return j.select("symbol_id", F.coalesce("around", "single").alias("namespace")).where("namespace IS NOT NULL")
 
 
 def merge_depths(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ def import_graph(spark, f):
 
 def import_closure(spark, f):
     e = cut(import_graph(spark, f), "imports")
-    return imports.follow_imports(e, e.select(F.col("src").alias("seed")).distinct(), 3, 20)
+    return imports.follow_imports(e, e.select(F.col("src").alias("seed")).distinct())
 
 
 def part_hierarchy(spark, f):
@@ -32,7 +32,7 @@ def related_types(spark, f):
 
 
 def placed_sites(spark, f):
-    return report.place_sites(reports._judged(spark, f), snapshots._hunks(spark, f))
+    return report.place_sites(reports._judged(spark, f).drop("fam"), snapshots._hunks(spark, f))
 
 
 def blocking_sites(spark, f):
@@ -82,20 +82,15 @@ def callers(spark, f):
     return report.caller_rows(reports._judged(spark, f), facts.identifiers(spark, f))
 
 
-def overload_bindings(spark, f):
-    s = facts.symbols(spark, f)
-    return report.bind_overloads(report.call_arguments(facts.lines(spark, f)), report.arity(s), s)
-
-
 def impact_of_hunks(spark, f):
     """The walk from the innermost symbols of changed lines."""
     s = facts.symbols(spark, f)
-    e = cut(facts.edges(spark, f).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")), "edges")
+    e = facts.resolved(spark, f)
     seeds = diff.touched(s.where("path IS NOT NULL"), snapshots._hunks(spark, f)).where("symbol_id IS NOT NULL").select(F.col("symbol_id").alias("seed")).distinct()
-    return walk.impact(e, s, seeds, 1).select("seed", "symbol_id", "depth", "is_test", "place")
+    return walk.impact(e, s, seeds).select("seed", "symbol_id", "depth", "is_test", "place")
 
 
-QUERIES = {f.__name__: f for f in (import_graph, import_closure, part_hierarchy, related_types, placed_sites, blocking_sites, unique_bodies, text_snippets, call_receivers, chained_lines, variant_uses, all_name_rows, most_used_symbols, file_sizes, callers, overload_bindings, impact_of_hunks)}
+QUERIES = {f.__name__: f for f in (import_graph, import_closure, part_hierarchy, related_types, placed_sites, blocking_sites, unique_bodies, text_snippets, call_receivers, chained_lines, variant_uses, all_name_rows, most_used_symbols, file_sizes, callers, impact_of_hunks)}
 
 _PROJECT = "regexp_extract({0}, '^(monorepo/[^/]+|[^/]+)', 1)"
 _IMPORTS = rf"""{facts.FILES_SQL}, {facts.LINES_SQL},
@@ -108,8 +103,8 @@ st AS (SELECT s.symbol_id, CASE WHEN start_byte IS NOT NULL AND end_byte IS NOT
 _PLACED = f"""{reports._V}, {snapshots._H}, pl AS (SELECT v.*, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.path = v.path AND v.line BETWEEN h.start_line AND h.start_line + 9) THEN 'in_diff' ELSE label END AS place FROM v)"""
 SQL = {
     "import_graph": f"WITH {_IMPORTS} SELECT src, dst FROM ie",
-    "import_closure": f"""WITH RECURSIVE {_IMPORTS}, w AS (SELECT DISTINCT src AS seed, src AS node, 0 AS depth FROM ie UNION SELECT w.seed, ie.dst, w.depth + 1 FROM w JOIN ie ON ie.src = w.node WHERE w.depth < 3),
-      b AS (SELECT seed, node, min(depth) AS depth FROM w WHERE seed <> node GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS rn FROM b) SELECT seed, node, depth FROM r WHERE rn <= 20""",
+    "import_closure": f"""WITH RECURSIVE {_IMPORTS}, w AS (SELECT DISTINCT src AS seed, src AS node, 0 AS depth FROM ie UNION SELECT w.seed, ie.dst, w.depth + 1 FROM w JOIN ie ON ie.src = w.node WHERE w.depth < 4),
+      b AS (SELECT seed, node, min(depth) AS depth FROM w WHERE seed <> node GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS rn FROM b) SELECT seed, node, depth FROM r WHERE rn <= 64""",
     "part_hierarchy": """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 13 + 7) % n AS dst FROM part, n UNION SELECT p_partkey, (p_partkey * 31 + 11) % n FROM part, n),
       w AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 20 = 0 UNION SELECT w.seed, e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 5),
       b AS (SELECT seed, node, min(depth) AS depth FROM w WHERE seed <> node GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS rn FROM b) SELECT seed, node, depth FROM r WHERE rn <= 50""",
@@ -130,15 +125,11 @@ SQL = {
       WHERE kind IN ('function', 'method') AND name IS NOT NULL ORDER BY coalesce(uses, 0) DESC, path NULLS FIRST, symbol_id LIMIT 30""",
     "callers": f"""WITH {reports._V}, j AS (SELECT v.*, i.containing_symbol_id AS caller, {reports._RANK} AS r FROM v JOIN i USING (file_id, line, name) WHERE target IS NOT NULL AND containing_symbol_id IS NOT NULL)
       SELECT target, caller, count(*) AS sites, min(line) AS first_line, arg_min(label, r) AS surest FROM j GROUP BY ALL""",
-    "overload_bindings": rf"""WITH {facts.SYMBOLS_SQL}, {facts.LINES_SQL}, {reports._PARAMS}, ca AS (SELECT DISTINCT file_id, line, name, CASE WHEN trim(inn) = '' THEN 0 ELSE len(string_split(trim(inn), ',')) END::INTEGER AS args FROM (
-        SELECT file_id, line, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\(([^()]*)\)', 1)) AS name, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\(([^()]*)\)', 2)) AS inn FROM l)),
-      sv AS (SELECT file_id, name FROM s WHERE kind IN ('function', 'method', 'constructor') GROUP BY ALL HAVING count(*) > 1),
-      fit AS (SELECT c.file_id, c.name, c.args, min(ar.symbol_id) AS symbol_id FROM (SELECT DISTINCT file_id, name, args FROM ca JOIN sv USING (file_id, name)) c JOIN ar USING (file_id, name) WHERE c.args >= least AND (most IS NULL OR c.args <= most) GROUP BY ALL HAVING count(*) = 1)
-      SELECT file_id, line, name, args, symbol_id FROM ca JOIN fit USING (file_id, name, args)""",
-    "impact_of_hunks": f"""WITH {facts.EDGES_SQL}, {snapshots._H}, hs AS (SELECT symbol_id AS seed FROM (SELECT s.symbol_id, row_number() OVER (PARTITION BY h.path, h.start_line ORDER BY s.end_line - s.start_line, s.symbol_id) AS rn
-        FROM (SELECT DISTINCT * FROM h) h JOIN s ON s.path = h.path AND h.start_line BETWEEN s.start_line AND s.end_line) WHERE rn = 1 GROUP BY symbol_id),
-      r AS (SELECT DISTINCT hs.seed, s.symbol_id, s.path, s.start_line, s.kind, coalesce(s.is_test, false) AS is_test FROM hs JOIN e ON e.to_symbol_id = hs.seed AND e.from_symbol_id <> hs.seed JOIN s ON s.symbol_id = e.from_symbol_id)
-      , q AS (SELECT seed, symbol_id, 1 AS depth, is_test, row_number() OVER (PARTITION BY seed, is_test ORDER BY path NULLS FIRST, start_line NULLS FIRST, symbol_id)::INTEGER AS place FROM r
+    "impact_of_hunks": f"""WITH RECURSIVE {facts.EDGES_SQL}, {snapshots._H}, {snapshots._TOUCHED}, g AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM e WHERE to_symbol_id IS NOT NULL),
+      w AS (SELECT DISTINCT symbol_id AS seed, symbol_id AS node, 0 AS depth FROM th WHERE symbol_id IS NOT NULL UNION SELECT w.seed, g.src, w.depth + 1 FROM w JOIN g ON g.dst = w.node WHERE w.depth < 2),
+      best AS (SELECT seed, node, min(depth) AS depth FROM w WHERE seed <> node GROUP BY ALL),
+      r AS (SELECT best.seed, s.symbol_id, s.path, s.start_line, s.kind, best.depth, coalesce(s.is_test, false) AS is_test FROM best JOIN s ON s.symbol_id = best.node),
+      q AS (SELECT seed, symbol_id, depth, is_test, row_number() OVER (PARTITION BY seed, is_test ORDER BY depth, path NULLS FIRST, start_line NULLS FIRST, symbol_id)::INTEGER AS place FROM r
         WHERE is_test OR kind NOT IN ('import', 'field', 'property', 'variable', 'parameter', 'module', 'namespace')) SELECT * FROM q WHERE place <= 200""",
     "file_sizes": f"WITH {facts.SYMBOLS_SQL} SELECT count(*) AS files, coalesce(sum(content_bytes), 0)::BIGINT AS bytes FROM f WHERE file_id IN (SELECT file_id FROM s WHERE is_test)",
 }

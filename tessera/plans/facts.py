@@ -7,10 +7,12 @@ the innermost callable around it; if exactly one callable of that name is known
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.names import CALLABLE, family, language
+from tessera.operators.intervals import innermost
+from tessera.session import once
 from tessera.sources.tables import table
 
 #: Words in front of a bracket that are no calls.
@@ -23,11 +25,17 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
-    """Each symbol once, with its file's path and one spelling of its language. Copies of a row differ in nulls alone."""
+    """Each symbol once, with its file's path and one spelling of its language. Copies of a row differ in nulls alone.
+    Written once, as are identifiers and edges: they are the index that all queries share."""
+    return once(spark, folder, "symbols", ("symbols", "files"), lambda: _symbols(spark, folder))
+
+
+def _symbols(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "symbols")
     parent = F.when(F.trim("parent_symbol_id") != "", F.col("parent_symbol_id")).alias("parent_symbol_id")
     doc = F.when(F.trim("doc_comment") != "", F.col("doc_comment")).alias("doc_comment")
-    cols = ["file_id", "name", "kind", "signature", "visibility", "start_line", "end_line", "start_byte", "end_byte", "body_start_line", "body_end_line", "body_hash", "is_test", "test_container"]
+    cols = ["file_id", "name", "kind", "signature", "visibility", "start_line", "end_line", "start_byte", "end_byte", "body_start_line", "body_end_line", "body_start_byte", "body_end_byte", "body_hash",
+            "is_test", "test_container", "metadata_json", "test_lifecycle"]
     s = s.select("symbol_id", *cols, parent, doc, language(F.col("language")).alias("language"))
     one = s.groupBy("symbol_id").agg(*[F.max(c).alias(c) for c in s.columns if c != "symbol_id"])
     return one.join(files(spark, folder).select("file_id", "path"), "file_id", "left")
@@ -41,21 +49,31 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def identifiers(spark: SparkSession, folder: str) -> DataFrame:
-    """file_id, path, line, name, uses, containing_symbol_id (the innermost callable around the line, null outside)."""
-    used = lines(spark, folder).select("file_id", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1)).alias("name"))
-    used = used.where(~F.col("name").isin(*NO_CALLS)).groupBy("file_id", "path", "line", "name").agg(F.count("*").alias("uses"))
+    """file_id, path, line, name, uses, column (of its first use, from 0), containing_symbol_id (the innermost callable
+    around the line, null outside)."""
+    return once(spark, folder, "identifiers", ("symbols", "files", "source_texts"), lambda: _identifiers(spark, folder))
+
+
+def _identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    found = F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1)
+    used = lines(spark, folder).select("file_id", "path", "line", "text", F.explode(found).alias("name"))
+    used = used.where(~F.col("name").isin(*NO_CALLS)).groupBy("file_id", "path", "line", "name").agg(
+        F.count("*").alias("uses"), F.min(F.expr("instr(text, concat(name, '('))") - 1).alias("column"))
     defs = symbols(spark, folder).select("file_id", "symbol_id", F.col("name").alias("def_name"), "kind", "start_line", "end_line")
     own = defs.select("file_id", F.col("start_line").alias("line"), F.col("def_name").alias("name"))
     used = used.join(own, ["file_id", "line", "name"], "left_anti")
-    inside = defs.where(F.col("kind").isin(*CALLABLE)).select("file_id", "symbol_id", "start_line", "end_line")
-    j = used.join(inside, "file_id").where("line BETWEEN start_line AND end_line")
-    inner = j.groupBy("file_id", "line", "name").agg(F.min(F.struct((-F.col("start_line")).alias("a"), F.col("end_line").alias("b"), "symbol_id")).alias("m"))
-    return used.join(inner, ["file_id", "line", "name"], "left").select("file_id", "path", "line", "name", "uses", F.col("m.symbol_id").alias("containing_symbol_id"))
+    inside = defs.where(F.col("kind").isin(*CALLABLE)).select("file_id", F.col("symbol_id").alias("span"), "start_line", "end_line")
+    inner = innermost(used, inside, "file_id").withColumnRenamed("span", "containing_symbol_id")
+    return used.join(inner, ["file_id", "line"], "left").select("file_id", "path", "line", "name", "uses", "column", "containing_symbol_id")
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     """from_symbol_id, name, path, file_id, line, to_symbol_id (null: pending), candidates (callables of that name in the
     language family)."""
+    return once(spark, folder, "edges", ("symbols", "files", "source_texts"), lambda: _edges(spark, folder))
+
+
+def _edges(spark: SparkSession, folder: str) -> DataFrame:
     s = symbols(spark, folder).where(F.col("kind").isin(*CALLABLE))
     defs = s.select("name", family(F.col("language")).alias("fam"), "symbol_id").groupBy("name", "fam").agg(F.count("*").alias("candidates"), F.min("symbol_id").alias("one"))
     i = identifiers(spark, folder).where("containing_symbol_id IS NOT NULL")
@@ -65,6 +83,12 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
                     F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
+def resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, dst): who calls whom, each pair once."""
+    e = lambda: edges(spark, folder).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")).distinct()
+    return once(spark, folder, "resolved", ("symbols", "files", "source_texts"), e)
+
+
 _LANG = "CASE lower(trim(language)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (("py", "python"), ("js", "javascript"), ("ts", "typescript"), ("golang", "go"), ("c#", "csharp"))) + " ELSE lower(trim(language)) END"
 
 
@@ -78,14 +102,15 @@ FILES_SQL = "f AS (SELECT file_id, max(path) AS path, max(language) AS language,
 SYMBOLS_SQL = f"""{FILES_SQL},
 s0 AS (SELECT symbol_id, max(file_id) AS file_id, max(name) AS name, max(kind) AS kind, max(signature) AS signature, max(visibility) AS visibility, max(start_line) AS start_line, max(end_line) AS end_line,
   max(start_byte) AS start_byte, max(end_byte) AS end_byte, max(body_start_line) AS body_start_line, max(body_end_line) AS body_end_line, max(body_hash) AS body_hash, max(is_test) AS is_test, max(test_container) AS test_container,
+  max(body_start_byte) AS body_start_byte, max(body_end_byte) AS body_end_byte, max(metadata_json) AS metadata_json, max(test_lifecycle) AS test_lifecycle,
   max(CASE WHEN trim(parent_symbol_id) <> '' THEN parent_symbol_id END) AS parent_symbol_id, max(CASE WHEN trim(doc_comment) <> '' THEN doc_comment END) AS doc_comment, max({_LANG}) AS language
   FROM symbols GROUP BY symbol_id),
 s AS (SELECT s0.*, f.path FROM s0 LEFT JOIN f USING (file_id))"""
 LINES_SQL = r"""l AS (SELECT file_id, path, unnest(parts) AS text, generate_subscripts(parts, 1)::INTEGER AS line
   FROM (SELECT file_id, max(path) AS path, string_split(replace(max(content), chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM source_texts GROUP BY file_id))"""
 IDENTIFIERS_SQL = rf"""{SYMBOLS_SQL}, {LINES_SQL},
-u0 AS (SELECT file_id, path, line, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM l),
-u1 AS (SELECT file_id, path, line, name, count(*) AS uses FROM u0 WHERE name NOT IN ({", ".join(f"'{x}'" for x in NO_CALLS)}) GROUP BY ALL),
+u0 AS (SELECT file_id, path, line, text, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS name FROM l),
+u1 AS (SELECT file_id, path, line, name, count(*) AS uses, min(strpos(text, name || '('))::INTEGER - 1 AS "column" FROM u0 WHERE name NOT IN ({", ".join(f"'{x}'" for x in NO_CALLS)}) GROUP BY ALL),
 u AS (SELECT * FROM u1 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.file_id = u1.file_id AND s.start_line = u1.line AND s.name = u1.name)),
 i AS (SELECT u.*, c.symbol_id AS containing_symbol_id FROM u LEFT JOIN (
   SELECT u.file_id, u.line, u.name, s.symbol_id, row_number() OVER (PARTITION BY u.file_id, u.line, u.name ORDER BY s.start_line DESC, s.end_line, s.symbol_id) AS rn

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import walk
 from tessera.plans import facts
-from tessera.session import cut
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
-    return cut(facts.edges(spark, folder).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")), "edges")
+    return facts.resolved(spark, folder)
 
 
 def _seeds(e: DataFrame) -> DataFrame:
@@ -25,8 +24,10 @@ def impact_walk(spark, folder):
 
 
 def impact_flags(spark, folder):
+    """Every twentieth symbol that is called, by the number in its id."""
     e = _edges(spark, folder)
-    return walk.impact_flags(e, facts.symbols(spark, folder), _seeds(e), depth=1, limit=1)
+    seeds = _seeds(e).where(F.conv(F.substring("seed", 1, 8), 16, 10).cast("bigint") % 20 == 0)
+    return walk.impact_flags(e, facts.symbols(spark, folder), seeds, limit=3)
 
 
 def impact_open_ends(spark, folder):
@@ -45,11 +46,6 @@ def impact_by_file(spark, folder):
 
 
 def ancestor_chain(spark, folder):
-    """Chains of the Java symbols alone; ancestor_chains has those of all languages."""
-    return walk.ancestors(facts.symbols(spark, folder).where("language = 'java'"))
-
-
-def ancestor_chains(spark, folder):
     """Chains of all symbols, also through parents of another or no language."""
     return walk.ancestors(facts.symbols(spark, folder))
 
@@ -75,7 +71,7 @@ def merged_walks(spark, folder):
     return walk.merge_depths(walk.reach(e, seeds, 1), walk.reach(e, seeds, 2), ["seed", "node"])
 
 
-QUERIES = {f.__name__: f for f in (impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, ancestor_chains, visible_symbols, local_variables, enclosing_namespace, merged_walks)}
+QUERIES = {f.__name__: f for f in (impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, visible_symbols, local_variables, enclosing_namespace, merged_walks)}
 
 _E = facts.EDGES_SQL
 _WALK = f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM e WHERE to_symbol_id IS NOT NULL),
@@ -83,31 +79,29 @@ w AS (SELECT DISTINCT dst AS seed, dst AS node, 0 AS depth FROM g UNION SELECT w
 best AS (SELECT seed, node, min(depth) AS depth FROM w WHERE seed <> node GROUP BY ALL)"""
 _UP = f"""WITH RECURSIVE {facts.SYMBOLS_SQL}, up AS (SELECT a.symbol_id, b.symbol_id AS ancestor_id, 1 AS depth FROM s a JOIN s b ON a.parent_symbol_id = b.symbol_id
   UNION ALL SELECT u.symbol_id, p.symbol_id, u.depth + 1 FROM up u JOIN s c ON c.symbol_id = u.ancestor_id JOIN s p ON p.symbol_id = c.parent_symbol_id WHERE u.depth < 31 AND u.symbol_id <> u.ancestor_id)"""
-_BOX = "kind IN ('namespace', 'module', 'class', 'struct', 'interface')"
 
 SQL = {
     "impact_walk": f"""{_WALK}, r AS (SELECT b.seed, s.symbol_id, s.name, s.kind, s.path, s.start_line, b.depth, coalesce(s.is_test, false) AS is_test FROM best b JOIN s ON s.symbol_id = b.node WHERE b.depth <= 2),
       q AS (SELECT *, row_number() OVER (PARTITION BY seed, is_test ORDER BY depth, path NULLS FIRST, start_line NULLS FIRST, symbol_id)::INTEGER AS place
         FROM r WHERE is_test OR kind NOT IN ('import', 'field', 'property', 'variable', 'parameter', 'module', 'namespace'))
       SELECT seed, symbol_id, name, kind, path, start_line, depth, is_test, CASE WHEN depth = 1 THEN 'direct caller' ELSE 'indirect caller [depth ' || depth || ']' END AS reason, place FROM q WHERE place <= 200""",
-    "impact_flags": f"""{_WALK}, r AS (SELECT b.*, coalesce(s.is_test, false) AS t FROM best b JOIN s ON s.symbol_id = b.node),
-      a AS (SELECT seed, count(*) FILTER (depth <= 1 AND NOT t) AS impacted, count(*) FILTER (depth <= 1 AND t) AS tests, count(*) FILTER (depth > 1) AS beyond, count(*) FILTER (depth > 1 AND t) AS tests_past_depth FROM r GROUP BY seed)
-      SELECT seed, impacted, tests, impacted > 1 AS impacted_truncated, tests > 1 AS tests_truncated, impacted + tests > 200 AS ceiling_reached,
-        CASE WHEN beyond > 0 THEN 1 END AS stopped_at_depth, tests_past_depth FROM a""",
+    "impact_flags": f"""{_WALK}, r AS (SELECT b.*, coalesce(s.is_test, false) AS t FROM best b JOIN s ON s.symbol_id = b.node WHERE ('0x' || substr(b.seed, 1, 8))::BIGINT % 20 = 0),
+      a AS (SELECT seed, count(*) FILTER (depth <= 2 AND NOT t) AS impacted, count(*) FILTER (depth <= 2 AND t) AS tests, count(*) FILTER (depth > 2) AS beyond, count(*) FILTER (depth > 2 AND t) AS tests_past_depth FROM r GROUP BY seed)
+      SELECT seed, impacted, tests, impacted > 3 AS impacted_truncated, tests > 3 AS tests_truncated, impacted + tests > 200 AS ceiling_reached,
+        CASE WHEN beyond > 0 THEN 2 END AS stopped_at_depth, tests_past_depth FROM a""",
     "impact_open_ends": f"{_WALK} SELECT seed, node FROM best WHERE depth <= 2 AND node NOT IN (SELECT dst FROM g)",
     "impact_by_file": f"""{_WALK} SELECT a.file_id AS seed_file, b.node, min(b.depth) AS depth FROM best b JOIN s a ON a.symbol_id = b.seed JOIN s c ON c.symbol_id = b.node
       WHERE b.depth <= 2 AND a.file_id <> c.file_id GROUP BY ALL""",
-    "ancestor_chain": f"""WITH RECURSIVE {facts.SYMBOLS_SQL}, j AS (SELECT * FROM s WHERE language = 'java'),
-      up AS (SELECT a.symbol_id, b.symbol_id AS ancestor_id, 1 AS depth FROM j a JOIN j b ON a.parent_symbol_id = b.symbol_id
-        UNION ALL SELECT u.symbol_id, p.symbol_id, u.depth + 1 FROM up u JOIN j c ON c.symbol_id = u.ancestor_id JOIN j p ON p.symbol_id = c.parent_symbol_id WHERE u.depth < 31 AND u.symbol_id <> u.ancestor_id)
-      SELECT symbol_id, ancestor_id, depth FROM up""",
+    "ancestor_chain": f"{_UP} SELECT symbol_id, ancestor_id, depth FROM up",
     "visible_symbols": f"""{_UP}, low AS (SELECT symbol_id FROM s WHERE lower(visibility) IN ('private', 'protected', 'fileprivate')),
       hid AS (SELECT symbol_id FROM low UNION SELECT symbol_id FROM up WHERE ancestor_id IN (SELECT symbol_id FROM low))
       SELECT kind, count(*) AS n FROM s WHERE symbol_id NOT IN (SELECT symbol_id FROM hid) GROUP BY kind""",
     "local_variables": f"""WITH RECURSIVE {facts.SYMBOLS_SQL}, v AS (SELECT symbol_id, parent_symbol_id AS at, 1 AS d FROM s WHERE kind = 'variable' AND parent_symbol_id IS NOT NULL
-      UNION ALL SELECT v.symbol_id, p.parent_symbol_id, d + 1 FROM v JOIN s p ON p.symbol_id = v.at WHERE p.kind = 'variable' AND p.parent_symbol_id IS NOT NULL AND p.parent_symbol_id <> v.symbol_id AND d < 31)
+      UNION ALL SELECT v.symbol_id, p.parent_symbol_id, d + 1 FROM v JOIN s p ON p.symbol_id = v.at WHERE p.kind = 'variable' AND p.parent_symbol_id IS NOT NULL AND p.parent_symbol_id <> v.symbol_id AND d < 1000)
       SELECT DISTINCT v.symbol_id FROM v JOIN s p ON p.symbol_id = v.at WHERE p.kind IN ('function', 'method', 'constructor')""",
-    "enclosing_namespace": f"""{_UP}, n AS (SELECT up.symbol_id, s.name, row_number() OVER (PARTITION BY up.symbol_id ORDER BY up.depth, up.ancestor_id) AS rn FROM up JOIN s ON s.symbol_id = up.ancestor_id WHERE s.{_BOX})
-      SELECT symbol_id, name AS namespace FROM n WHERE rn = 1""",
+    "enclosing_namespace": f"""{_UP}, c AS (SELECT symbol_id, symbol_id AS ancestor_id, 0 AS depth FROM s UNION ALL SELECT symbol_id, ancestor_id, depth FROM up),
+      n AS (SELECT c.symbol_id, s.name, row_number() OVER (PARTITION BY c.symbol_id ORDER BY c.depth, c.ancestor_id) AS rn FROM c JOIN s ON s.symbol_id = c.ancestor_id WHERE s.kind = 'namespace'),
+      o AS (SELECT path, min(name) AS name FROM s WHERE kind = 'namespace' AND path IS NOT NULL GROUP BY path HAVING count(*) = 1)
+      SELECT s.symbol_id, coalesce(n.name, o.name) AS namespace FROM s LEFT JOIN n ON n.symbol_id = s.symbol_id AND n.rn = 1 LEFT JOIN o ON o.path = s.path WHERE coalesce(n.name, o.name) IS NOT NULL""",
     "merged_walks": f"{_WALK} SELECT seed, node, depth FROM best WHERE depth <= 2",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tessera.functions.names import display_kind, in_path, is_test_name, is_test_path, last_segment, plain_identifier, tokens
@@ -16,8 +18,13 @@ def excluded_paths(spark, folder_):
     return p.where("path IS NOT NULL").select("path", scan.excluded(F.col("path")).alias("excluded"))
 
 
+WORDS = ("batch", "return", "get_id", "i")
+
+
 def text_scan(spark, folder_):
-    return scan.find_word(facts.lines(spark, folder_), "batch")
+    """Several words, among them a common one and one letter."""
+    found = [scan.find_word(facts.lines(spark, folder_), w).select(F.lit(w).alias("word"), "path", "line") for w in WORDS]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
 
 
 def symbol_slices(spark, folder_):
@@ -26,9 +33,7 @@ def symbol_slices(spark, folder_):
 
 
 def body_slices(spark, folder_):
-    s = facts.symbols(spark, folder_).where("body_start_line IS NOT NULL AND body_end_line >= body_start_line")
-    t = table(spark, folder_, "source_texts").groupBy("file_id").agg(F.max("content").alias("content"))
-    return s.join(t, "file_id").select("symbol_id", F.md5(scan.line_slice(F.col("content"), F.col("body_start_line"), F.col("body_end_line"))).alias("digest"))
+    return scan.body_text(facts.symbols(spark, folder_), table(spark, folder_, "source_texts")).select("symbol_id", F.md5("text").alias("digest"))
 
 
 def file_lookup(spark, folder_):
@@ -55,10 +60,12 @@ def folder_rollup(spark, folder_):
 
 
 def content_hashes(spark, folder_):
-    """Whether the text of a file still has its recorded length."""
+    """Whether the text of a file still has its recorded length and hash; the recorded hashes are of a kind that is not
+    known here, so each is also compared as the SHA-256 of its own text."""
     t = table(spark, folder_, "source_texts").groupBy("file_id").agg(F.max("content").alias("content"))
     j = facts.files(spark, folder_).join(t, "file_id")
-    return j.select("file_id", F.sha2("content", 256).alias("sha256"), F.coalesce(F.octet_length("content") == F.col("content_bytes"), F.lit(False)).alias("same_size"))
+    return j.select("file_id", F.sha2("content", 256).alias("sha256"), F.coalesce(F.octet_length("content") == F.col("content_bytes"), F.lit(False)).alias("same_size"),
+                    scan.hash_matches(F.col("content"), F.col("content_hash")).alias("same_hash"), scan.hash_matches(F.col("content"), F.concat(F.lit("sha256:"), F.sha2("content", 256))).alias("own_hash"))
 
 
 def path_facts(spark, folder_):
@@ -103,12 +110,12 @@ def _list(xs) -> str:
 SQL = {
     "excluded_paths": f"""WITH {facts.FILES_SQL}, p AS (SELECT path FROM f WHERE path IS NOT NULL UNION ALL SELECT DISTINCT path FROM skipped_files WHERE path IS NOT NULL)
       SELECT path, list_has_any(string_split(path, '/'), [{_list(scan.EXCLUDED_FOLDERS)}]) OR len(list_filter([{_list(scan.EXCLUDED_ENDINGS)}], lambda x: ends_with(path, x))) > 0 AS excluded FROM p""",
-    "text_scan": f"WITH {facts.LINES_SQL} SELECT DISTINCT path, line FROM l WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])batch($|[^A-Za-z0-9_$])')",
+    "text_scan": f"WITH {facts.LINES_SQL} SELECT DISTINCT word, path, line FROM l, (SELECT unnest({list(WORDS)!r}) AS word) WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])' || word || '($|[^A-Za-z0-9_$])')",
     "symbol_slices": f"""WITH {facts.SYMBOLS_SQL}, {_TEXT}, x AS (SELECT s.symbol_id, CASE WHEN start_byte IS NOT NULL AND end_byte IS NOT NULL THEN
         decode(array_slice(encode(content), start_byte + 1, end_byte)) ELSE array_to_string({_LINES_OF}[start_line:end_line], chr(10)) END AS text FROM s JOIN t USING (file_id))
       SELECT symbol_id, strlen(text)::INTEGER AS bytes, md5(text) AS digest FROM x""",
-    "body_slices": f"""WITH {facts.SYMBOLS_SQL}, {_TEXT} SELECT symbol_id, md5(array_to_string({_LINES_OF}[body_start_line:body_end_line], chr(10))) AS digest
-      FROM s JOIN t USING (file_id) WHERE body_start_line IS NOT NULL AND body_end_line >= body_start_line""",
+    "body_slices": f"""WITH {facts.SYMBOLS_SQL}, {_TEXT} SELECT symbol_id, md5(CASE WHEN body_start_byte <= body_end_byte THEN decode(array_slice(encode(content), body_start_byte + 1, body_end_byte)) ELSE array_to_string({_LINES_OF}[body_start_line:body_end_line], chr(10)) END) AS digest
+      FROM s JOIN t USING (file_id) WHERE body_start_byte <= body_end_byte OR body_end_line >= body_start_line""",
     "file_lookup": f"""WITH {facts.FILES_SQL}, a AS (SELECT DISTINCT path AS asked FROM symbols WHERE path IS NOT NULL),
       j AS (SELECT asked, file_id, f.path, max((asked = f.path)::INT) OVER (PARTITION BY asked) AS best FROM a JOIN f ON {_NORM.format("asked")} = {_NORM.format("f.path")})
       SELECT asked, file_id, path FROM j WHERE (asked = path)::INT = best""",
@@ -120,7 +127,8 @@ SQL = {
     "folder_rollup": f"""WITH {facts.FILES_SQL}, p AS (SELECT string_split({_FOLDER}, '/') AS parts, content_bytes FROM f),
       x AS (SELECT array_to_string(parts[1:i], '/') AS folder, content_bytes FROM p, generate_series(1, 3) g(i) WHERE i <= len(parts))
       SELECT folder, count(*) AS files, sum(content_bytes)::BIGINT AS bytes FROM x GROUP BY folder""",
-    "content_hashes": f"WITH {facts.FILES_SQL}, {_TEXT} SELECT file_id, sha256(content) AS sha256, coalesce(strlen(content) = content_bytes, false) AS same_size FROM f JOIN t USING (file_id)",
+    "content_hashes": f"""WITH {facts.FILES_SQL}, {_TEXT} SELECT file_id, sha256(content) AS sha256, coalesce(strlen(content) = content_bytes, false) AS same_size,
+      CASE WHEN regexp_matches(content_hash, '^(sha256:)?[0-9a-f]{{64}}$') THEN regexp_replace(content_hash, '^sha256:', '') = sha256(content) END AS same_hash, true AS own_hash FROM f JOIN t USING (file_id)""",
     "path_facts": f"""WITH {facts.FILES_SQL}, p AS (SELECT path, {_FOLDER} AS folder, regexp_extract(path, '([^/]*)$', 1) AS name FROM f)
       SELECT path, folder, coalesce(regexp_matches(path, '(^|/)(test|tests|__tests__|autotests)/') OR regexp_matches(name, '^test_.*\\.(py|rb)$') OR regexp_matches(name, '_test\\.|\\.test\\.|\\.spec\\.|^tests?\\.rs$|^tst_') OR regexp_matches(name, 'Tests\\.cs$'), false) AS is_test,
         CASE WHEN folder = '' THEN 0 ELSE coalesce(len(list_filter(generate_series(1, 3), lambda i: string_split(folder, '/')[1:i] = ['monorepo', 'exact-frontier-4', 'src'][1:i] AND len(string_split(folder, '/')) >= i)), 0) END::INTEGER AS shared FROM p""",

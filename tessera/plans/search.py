@@ -16,9 +16,9 @@ def _asked(s):
 
 
 def lookup_names(spark, folder):
-    """Parts of names, without the first two characters, as queries."""
+    """Parts of names, without the first two characters, and their first one and two characters as queries."""
     s = facts.symbols(spark, folder)
-    q = _asked(s).select(F.substring("name", 3, 12).alias("query")).distinct()
+    q = _asked(s).select(F.explode(F.array(F.substring("name", 3, 12), F.substring("name", 1, 1), F.substring("name", 1, 2))).alias("query")).distinct()
     return lookup.by_name(s, q)
 
 
@@ -38,10 +38,10 @@ def overload_groups(spark, folder):
 
 
 def name_suggestions(spark, folder):
-    """Names that lack their fourth character."""
+    """Names that lack their second character, short ones included."""
     s = facts.symbols(spark, folder)
-    asked = _asked(s).where(F.length("name") > 8).select(F.concat(F.substring("name", 1, 3), F.substring("name", 5, 100)).alias("asked"))
-    return lookup.suggestions(s.where("name IS NOT NULL"), asked)
+    asked = _asked(s).select(F.concat(F.substring("name", 1, 1), F.expr("substring(name, 3)")).alias("asked"))
+    return lookup.suggestions(s, asked)
 
 
 def document_frequencies(spark, folder):
@@ -85,9 +85,9 @@ _INDEX = f"""px AS (SELECT DISTINCT symbol_id, unnest({_TOKENS.format("name")})
 cr AS (SELECT term, symbol_id, max(credit) AS credit FROM px GROUP BY ALL), df AS (SELECT term, least(count(*), 20000) AS df FROM cr GROUP BY term)"""
 _STEM = "lower(regexp_replace(regexp_extract({0}, '([^/]*)$', 1), '\\.[^.]*$', ''))"
 SQL = {
-    "lookup_names": f"""WITH {_S}, {_ASKED}, q AS (SELECT DISTINCT substr(name, 3, 12) AS query FROM a WHERE substr(name, 3, 12) <> ''),
+    "lookup_names": f"""WITH {_S}, {_ASKED}, q AS (SELECT DISTINCT query FROM (SELECT unnest([substr(name, 3, 12), substr(name, 1, 1), substr(name, 1, 2)]) AS query FROM a) WHERE query <> ''),
       m AS (SELECT query, symbol_id, name, CASE WHEN lower(name) = lower(query) THEN 0 WHEN starts_with(lower(name), lower(query)) THEN 1 ELSE 2 END AS r FROM q, s
-        WHERE CASE WHEN len(query) < 3 THEN lower(name) = lower(query) ELSE contains(lower(name), lower(query)) END),
+        WHERE contains(lower(name), lower(query))),
       o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY r, len(name), name, symbol_id)::INTEGER AS place FROM m)
       SELECT query, symbol_id, CASE r WHEN 0 THEN 'exact' WHEN 1 THEN 'prefix' ELSE 'contains' END AS match, place FROM o WHERE place <= 20""",
     "lookup_qualified": f"""WITH {_S}, {_ASKED}, q AS (SELECT DISTINCT p.name || '::' || a.name AS query, p.name AS owner, a.name AS name FROM a JOIN s p ON a.parent_symbol_id = p.symbol_id)
@@ -96,11 +96,9 @@ SQL = {
       FROM s c JOIN s p ON c.parent_symbol_id = p.symbol_id WHERE p.kind IN ('class', 'struct', 'enum', 'interface', 'trait', 'record', 'union', 'module', 'namespace')""",
     "overload_groups": f"""WITH {_S}, c AS (SELECT symbol_id, count(*) OVER (PARTITION BY name, file_id, kind, parent_symbol_id) AS group_size FROM s WHERE kind IN ('function', 'method', 'constructor'))
       SELECT * FROM c WHERE group_size > 1""",
-    "name_suggestions": f"""WITH {_S}, {_ASKED}, q AS (SELECT DISTINCT substr(name, 1, 3) || substr(name, 5, 100) AS asked FROM a WHERE len(name) > 8), n AS (SELECT DISTINCT name FROM s WHERE name IS NOT NULL),
-      g AS (SELECT name, list_distinct([lower(name)[i:i+2] for i in generate_series(1, len(name) - 2)]) AS gs FROM n),
-      qg AS (SELECT asked, list_distinct([lower(asked)[i:i+2] for i in generate_series(1, len(asked) - 2)]) AS gs FROM q),
-      m AS (SELECT asked, name, levenshtein(lower(asked), lower(name)) AS distance, len(list_intersect(qg.gs, g.gs)) AS shared, len(qg.gs) AS n FROM qg, g WHERE abs(len(asked) - len(name)) <= 2),
-      o AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY distance, name) AS rn FROM m WHERE distance BETWEEN 1 AND 2 AND shared >= greatest(1, n - 6))
+    "name_suggestions": f"""WITH {_S}, {_ASKED}, q AS (SELECT DISTINCT substr(name, 1, 1) || substr(name, 3) AS asked FROM a), n AS (SELECT name, bool_and(coalesce(kind = 'import', false)) AS imported FROM s WHERE name IS NOT NULL GROUP BY name),
+      m AS (SELECT asked, name, imported, levenshtein(lower(asked), lower(name)) AS distance FROM q, n WHERE abs(len(asked) - len(name)) <= 2),
+      o AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY distance, imported, name) AS rn FROM m WHERE distance BETWEEN 1 AND 2)
       SELECT asked, name, distance::INTEGER AS distance FROM o WHERE rn <= 3""",
     "document_frequencies": f"WITH {_S}, {_INDEX} SELECT term, df FROM df",
     "ranked_search": f"""WITH {_S}, {_ASKED}, {_INDEX}, total AS (SELECT count(*) AS n FROM s),

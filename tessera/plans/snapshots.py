@@ -63,7 +63,7 @@ def symbol_hunks(spark, f):
 def tests_to_run(spark, f):
     """Tests of the changed callables: direct callers, then what a walk of depth 4 finds."""
     s = facts.symbols(spark, f)
-    e = cut(facts.edges(spark, f).where("to_symbol_id IS NOT NULL").select(F.col("from_symbol_id").alias("src"), F.col("to_symbol_id").alias("dst")), "edges")
+    e = facts.resolved(spark, f)
     changed = s.where((F.conv(F.substring("symbol_id", 1, 8), 16, 10).cast("bigint") % 5 == 0) & F.col("kind").isin(*CALLABLE)).select(F.col("symbol_id").alias("seed"))
     t = s.where(F.coalesce("is_test", F.lit(False))).select(F.col("symbol_id").alias("node"))
     found = walk.reach(e, changed, 4).join(t, "node").select(F.col("seed").alias("change"), F.col("node").alias("test_id"), "depth")
@@ -104,6 +104,10 @@ def _alone(keys: str) -> str:
     return f"x1 AS ({one.format(keys, 'bb', 'base_id', 'current_id')}), x2 AS ({one.format(keys, 'cc', 'current_id', 'base_id')})"
 
 
+# the innermost symbol of each line of each hunk
+_TOUCHED = """hl AS (SELECT DISTINCT path, unnest(generate_series(start_line, start_line + 9))::INTEGER AS line FROM h),
+th AS (SELECT hl.path, hl.line, r.symbol_id FROM hl LEFT JOIN (SELECT hl.path, hl.line, s.symbol_id, row_number() OVER (PARTITION BY hl.path, hl.line ORDER BY s.end_line - s.start_line, s.symbol_id) AS rn
+  FROM hl JOIN s ON s.path = hl.path AND hl.line BETWEEN s.start_line AND s.end_line) r ON r.path = hl.path AND r.line = hl.line AND rn = 1)"""
 _H = "h AS (SELECT path, unnest(generate_series(5, greatest(line_count, 5), 40))::INTEGER AS start_line FROM f WHERE path IS NOT NULL AND line_count >= 1)"
 SQL = {
     "snapshot_pairs": f"WITH {_pair_sql()} SELECT * FROM pr",
@@ -114,8 +118,7 @@ SQL = {
     "snapshot_members": f"""WITH {_pair_sql()}, m1 AS (SELECT path, owner, list_distinct(list(name)) AS b FROM bb WHERE kind IN ('field', 'property', 'enum_member') AND owner <> '' AND path IS NOT NULL GROUP BY ALL), m2 AS (SELECT path, owner, list_distinct(list(name)) AS c FROM cc WHERE kind IN ('field', 'property', 'enum_member') AND owner <> '' AND path IS NOT NULL GROUP BY ALL),
       o AS (SELECT path, owner, array_to_string(list_sort(list_filter(coalesce(c, []), lambda x: NOT list_contains(coalesce(b, []), x))), ',') AS added, array_to_string(list_sort(list_filter(coalesce(b, []), lambda x: NOT list_contains(coalesce(c, []), x))), ',') AS removed FROM m1 FULL JOIN m2 USING (path, owner))
       SELECT * FROM o WHERE added <> '' OR removed <> ''""",
-    "hunk_symbols": f"""WITH {facts.SYMBOLS_SQL}, {_H}, r AS (SELECT h.path, h.start_line AS line, s.symbol_id, row_number() OVER (PARTITION BY h.path, h.start_line ORDER BY s.end_line - s.start_line, s.symbol_id) AS rn FROM h JOIN s ON s.path = h.path AND h.start_line BETWEEN s.start_line AND s.end_line)
-      SELECT h.path, h.start_line AS line, r.symbol_id FROM (SELECT DISTINCT * FROM h) h LEFT JOIN r ON r.path = h.path AND r.line = h.start_line AND rn = 1""",
+    "hunk_symbols": f"WITH {facts.SYMBOLS_SQL}, {_H}, {_TOUCHED} SELECT path, line, symbol_id FROM th",
     "symbol_hunks": f"WITH {facts.SYMBOLS_SQL}, {_H} SELECT s.symbol_id, count(*) AS hunks FROM s JOIN h ON h.path = s.path AND h.start_line <= s.end_line AND s.start_line <= h.start_line + 9 GROUP BY ALL",
     "tests_to_run": f"""WITH RECURSIVE {facts.EDGES_SQL}, g AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM e WHERE to_symbol_id IS NOT NULL),
       ch AS (SELECT symbol_id FROM s WHERE {_NO} % 5 = 0 AND kind IN ('function', 'method', 'constructor')), w AS (SELECT symbol_id AS seed, symbol_id AS node, 0 AS depth FROM ch UNION SELECT w.seed, g.src, depth + 1 FROM w JOIN g ON g.dst = w.node WHERE depth < 4),
@@ -123,6 +126,6 @@ SQL = {
       dr AS (SELECT node AS test_id, min(turn) AS turn FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY node) AS turn FROM fd WHERE depth = 1) GROUP BY node),
       al AS (SELECT test_id, 'direct' AS why, 0 AS g, turn FROM dr UNION ALL SELECT DISTINCT node, 'walked', 1, 0 FROM fd WHERE depth > 1 AND node NOT IN (SELECT test_id FROM dr))
       SELECT test_id, why FROM al ORDER BY g, turn, test_id LIMIT 50""",
-    "corpus_digest": """WITH t AS (SELECT path, max(content) AS content FROM source_texts GROUP BY path), o AS (SELECT path, sha256(coalesce(content, '')) AS h, substr(sha256(path), 1, 2) AS p FROM t),
-      q AS (SELECT p, sha256(string_agg(h, '' ORDER BY path)) AS h FROM o GROUP BY p) SELECT sha256(string_agg(h, '' ORDER BY p)) AS digest FROM q""",
+    "corpus_digest": """WITH t AS (SELECT path, max(content) AS content FROM source_texts GROUP BY path), o AS (SELECT sha256(path) AS p, sha256(sha256(path) || sha256(coalesce(content, ''))) AS h FROM t),
+      a AS (SELECT substr(p, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY p, h)) AS h FROM o GROUP BY ALL), b AS (SELECT substr(p, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY p, h)) AS h FROM a GROUP BY ALL) SELECT sha256(string_agg(h, '' ORDER BY p, h)) AS digest FROM b""",
 }

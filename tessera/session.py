@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables written by cut(); removed when the driver's Python ends.
+#: Tables written by cut(); removed when their scratch() ends, else when the driver's Python does.
 _written: list[tuple[SparkSession, str]] = []
+#: Folders of local applications that name none.
+_temporary: dict[str, str] = {}
 
 
 def build_session(master: str = "local[*]", app: str = "tessera", **conf: str) -> SparkSession:
@@ -33,7 +37,8 @@ def build_session(master: str = "local[*]", app: str = "tessera", **conf: str) -
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder. Where
-    neither is set, as in tests, a temporary one is made, on a local master only; on a cluster that is an error."""
+    neither is set, as in tests, a temporary one is made, on a local master only; on a cluster that is an error. The
+    session's settings stay as they are."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -42,9 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
         return context.get()
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    named = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _temporary:
+        _temporary[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        _written.append((spark, _temporary[app]))
+    return _temporary[app]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -57,6 +64,47 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that cut() writes inside are removed at the end; for long sessions that have read or written their results by
+    then. Tables that once() keeps are removed too, and made anew when they are asked for."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        mine = _written[before:]
+        del _written[before:]
+        gone = {path for _, path in mine}
+        for key in [k for k, (_, path) in _made.items() if path in gone]:
+            del _made[key]
+        _remove(mine)
+
+
+#: Derived tables by application, folder and name, with the state of the folder's files that they were made from.
+_made: dict[tuple, tuple[DataFrame, str]] = {}
+
+
+def stamp(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple:
+    """The files of some tables of a folder with their sizes and times; another stamp means other data."""
+    hadoop = spark._jsc.hadoopConfiguration()
+    out = []
+    for name in names:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        fs = p.getFileSystem(hadoop)
+        if fs.exists(p):
+            out += sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+    return tuple(out)
+
+
+def once(spark: SparkSession, folder: str, name: str, sources: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """build(), written once for this application and this state of the source tables, like an index: later calls read it."""
+    key = (spark.sparkContext.applicationId, folder, name, stamp(spark, folder, sources))
+    if key not in _made:
+        df = cut(build(), name)
+        _made[key] = df, _written[-1][1]
+    return _made[key][0]
+
+
 #: Applications whose Python workers know this package already.
 _shipped: set[str] = set()
 
@@ -82,8 +130,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def _remove(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -92,4 +140,4 @@ def _remove_written() -> None:
             return
 
 
-atexit.register(_remove_written)
+atexit.register(lambda: _remove(_written))

