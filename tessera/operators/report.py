@@ -224,17 +224,20 @@ def pair_greedily(edges: DataFrame, uses: DataFrame) -> DataFrame:
 
     As lines only grow, an identifier that is passed over is never taken later: call k (from 0) takes number
     max over j <= k of (p_j - j), plus k, where p_j identifiers stand before call j. So two windows do what a loop would.
+    Calls behind the end of their caller can only take identifiers of their own line, so each such line is on its own.
     """
-    e = edges.select("caller", "name", "line", F.lit(0).alias("is_use"), F.col("edge").alias("id"), F.greatest("caller_end", "line").alias("upto"))
-    u = uses.select("caller", "name", "line", F.lit(1).alias("is_use"), F.col("use").alias("id"), F.lit(None).cast("int").alias("upto"))
-    group = Window.partitionBy("caller", "name")
+    e = edges.select("caller", "name", "line", F.lit(0).alias("is_use"), F.col("edge").alias("id"), "caller_end")
+    u = uses.select("caller", "name", "line", F.lit(1).alias("is_use"), F.col("use").alias("id"), F.lit(None).cast("int").alias("caller_end"))
+    end = F.max("caller_end").over(Window.partitionBy("caller", "name"))
+    rows = e.unionByName(u).withColumn("part", F.when(F.col("line") > end, F.col("line")).otherwise(-1)).drop("caller_end")
+    keys = ["caller", "name", "part"]
+    group = Window.partitionBy(*keys)
     sorted_ = group.orderBy("line", "is_use", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = e.unionByName(u).withColumn("uses", F.sum("is_use").over(sorted_)).withColumn("calls", F.sum(1 - F.col("is_use")).over(sorted_))
+    rows = rows.withColumn("uses", F.sum("is_use").over(sorted_)).withColumn("calls", F.sum(1 - F.col("is_use")).over(sorted_))
     k = F.col("calls") - 1
     calls = rows.where("is_use = 0").withColumn("slot", F.max(F.col("uses") - k).over(group.orderBy("calls").rowsBetween(Window.unboundedPreceding, 0)) + k)
-    taken = rows.where("is_use = 1").select("caller", "name", (F.col("uses") - 1).alias("slot"), F.col("id").alias("use"), F.col("line").alias("use_line"))
-    j = calls.join(taken, ["caller", "name", "slot"]).where("upto IS NULL OR use_line <= upto")
-    return j.select(F.col("id").alias("edge"), "use")
+    taken = rows.where("is_use = 1").select(*keys, (F.col("uses") - 1).alias("slot"), F.col("id").alias("use"))
+    return calls.join(taken, [*keys, "slot"]).select(F.col("id").alias("edge"), "use")
 
 
 def conventions(symbols: DataFrame, marks: Column) -> DataFrame:

@@ -93,10 +93,10 @@ def impact_of_hunks(spark, f):
 QUERIES = {f.__name__: f for f in (import_graph, import_closure, part_hierarchy, related_types, placed_sites, blocking_sites, unique_bodies, text_snippets, call_receivers, chained_lines, variant_uses, all_name_rows, most_used_symbols, file_sizes, callers, impact_of_hunks)}
 
 _PROJECT = "regexp_extract({0}, '^(monorepo/[^/]+|[^/]+)', 1)"
-_IMPORTS = rf"""{facts.FILES_SQL}, {facts.LINES_SQL},
-im AS (SELECT DISTINCT path, lower(coalesce(nullif(regexp_extract(text, '^\s*import\s.*from\s+[''"][^''"]*?([A-Za-z0-9_]+)[''"]', 1), ''), nullif(regexp_extract(text, '^\s*#include\s+"(?:[^"]*/)?([A-Za-z0-9_]+)\.\w+"', 1), ''),
+_IMPORT_EDGES = rf"""im AS (SELECT DISTINCT path, lower(coalesce(nullif(regexp_extract(text, '^\s*import\s.*from\s+[''"][^''"]*?([A-Za-z0-9_]+)[''"]', 1), ''), nullif(regexp_extract(text, '^\s*#include\s+"(?:[^"]*/)?([A-Za-z0-9_]+)\.\w+"', 1), ''),
   nullif(regexp_extract(text, '^\s*(?:import|use|using)\s+(?:[\w.:]*[.:])?([A-Za-z0-9_]+);?\s*$', 1), ''))) AS stem FROM l),
 ie AS (SELECT DISTINCT im.path AS src, f.path AS dst FROM im JOIN f ON {_PROJECT.format("im.path")} = {_PROJECT.format("f.path")} AND im.stem = lower(regexp_extract(f.path, '([^/.]*)[^/]*$', 1)) WHERE im.path <> f.path AND im.stem IS NOT NULL)"""
+_IMPORTS = f"{facts.FILES_SQL}, {facts.LINES_SQL}, {_IMPORT_EDGES}"
 _TEXTS = r"""tx AS (SELECT file_id, max(content) AS content FROM source_texts GROUP BY file_id),
 st AS (SELECT s.symbol_id, CASE WHEN start_byte IS NOT NULL AND end_byte IS NOT NULL THEN decode(array_slice(encode(content), start_byte + 1, end_byte))
   ELSE array_to_string(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))[start_line:end_line], chr(10)) END AS text FROM s JOIN tx USING (file_id))"""

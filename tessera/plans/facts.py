@@ -89,6 +89,37 @@ def resolved(spark: SparkSession, folder: str) -> DataFrame:
     return once(spark, folder, "resolved", ("symbols", "files", "source_texts"), e)
 
 
+def calls(spark: SparkSession, folder: str) -> DataFrame:
+    """The calls with what stands in front of their names: site, file_id, path, line, name, receiver (after the last dot),
+    namespace (names in front of `::`, and of the receiver), args (commas and one, 0 for empty brackets; null where brackets nest), from_symbol_id, language."""
+    return once(spark, folder, "calls", ("symbols", "files", "source_texts"), lambda: _calls(spark, folder))
+
+
+def _calls(spark: SparkSession, folder: str) -> DataFrame:
+    pat = F.lit(r"((?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*)([A-Za-z_][A-Za-z0-9_]*)\(([^()]*\))?")
+    group = lambda k, name: F.regexp_extract_all("text", pat, k).alias(name)
+    z = lines(spark, folder).select("file_id", "path", "line", F.explode(F.arrays_zip(group(1, "front"), group(2, "name"), group(3, "inner"))).alias("z")).select("file_id", "path", "line", "z.*")
+    args = F.when(F.col("inner") == "", None).when(F.trim(F.expr("substring(inner, 1, length(inner) - 1)")) == "", 0).otherwise(F.length("inner") - F.length(F.replace("inner", F.lit(","))) + 1)
+    z = z.select("file_id", "path", "line", "front", "name", args.cast("int").alias("args")).groupBy("file_id", "path", "line", "front", "name").agg(F.when(F.count("*") == F.count("args"), F.max("args")).alias("args"))
+    i = identifiers(spark, folder).where("containing_symbol_id IS NOT NULL").select("file_id", "line", "name", F.col("containing_symbol_id").alias("from_symbol_id"))
+    parts = F.filter(F.split("front", r"\.|::"), lambda x: x != "")
+    dotted = F.endswith("front", F.lit("."))
+    receiver = F.when(dotted, F.element_at(parts, -1))
+    namespace = F.when(dotted, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    lang = files(spark, folder).select("file_id", language(F.col("language")).alias("language"))
+    j = z.join(i, ["file_id", "line", "name"]).join(lang, "file_id")
+    return j.select(F.concat_ws(":", "path", "line", "front", "name").alias("site"), "file_id", "path", "line", "name", receiver.alias("receiver"), namespace.alias("namespace"), "args", "from_symbol_id", "language")
+
+
+def variables(spark: SparkSession, folder: str) -> DataFrame:
+    """(scope, name, type): parameters of callables with a type of their own, as their signatures declare them: name: Type
+    or Type name."""
+    s = symbols(spark, folder).where(F.col("kind").isin(*CALLABLE))
+    one = lambda pat, a, b: F.arrays_zip(F.regexp_extract_all("signature", F.lit(pat), a).alias("name"), F.regexp_extract_all("signature", F.lit(pat), b).alias("type"))
+    both = F.concat(one(r"([a-z_][A-Za-z0-9_]*)\s*:\s*&?([A-Z][A-Za-z0-9_]*)", 1, 2), one(r"[(,]\s*(?:const |final )?([A-Z][A-Za-z0-9_]*)[ *&]+([a-z_][A-Za-z0-9_]*)", 2, 1))
+    return s.select(F.col("symbol_id").alias("scope"), F.explode(both).alias("v")).select("scope", "v.name", "v.type").distinct()
+
+
 _LANG = "CASE lower(trim(language)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in (("py", "python"), ("js", "javascript"), ("ts", "typescript"), ("golang", "go"), ("c#", "csharp"))) + " ELSE lower(trim(language)) END"
 
 
@@ -120,3 +151,14 @@ EDGES_SQL = f"""{IDENTIFIERS_SQL},
 d AS (SELECT name, {family_sql("language")} AS fam, count(*) AS candidates, min(symbol_id) AS one FROM s WHERE kind IN {_CALL} AND name IS NOT NULL GROUP BY ALL),
 e AS (SELECT i.containing_symbol_id AS from_symbol_id, i.name, i.path, i.file_id, i.line, CASE WHEN d.candidates = 1 THEN d.one END AS to_symbol_id, coalesce(d.candidates, 0) AS candidates
   FROM i JOIN s ON s.symbol_id = i.containing_symbol_id LEFT JOIN d ON d.name = i.name AND d.fam = {family_sql("s.language")})"""
+CALLS_SQL = rf"""{IDENTIFIERS_SQL},
+c0 AS (SELECT file_id, path, line, unnest(regexp_extract_all(text, '((?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*)([A-Za-z_][A-Za-z0-9_]*)\(([^()]*\))?', 1)) AS front,
+  unnest(regexp_extract_all(text, '((?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*)([A-Za-z_][A-Za-z0-9_]*)\(([^()]*\))?', 2)) AS name,
+  unnest(regexp_extract_all(text, '((?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*)([A-Za-z_][A-Za-z0-9_]*)\(([^()]*\))?', 3)) AS inn FROM l),
+c1 AS (SELECT file_id, path, line, front, name, CASE WHEN count(*) = count(args) THEN max(args) END AS args FROM (SELECT *, CASE WHEN inn = '' OR inn IS NULL THEN NULL WHEN trim(inn[:-2]) = '' THEN 0 ELSE len(inn) - len(replace(inn, ',', '')) + 1 END::INTEGER AS args FROM c0) GROUP BY ALL),
+c AS (SELECT concat_ws(':', c1.path, c1.line, front, c1.name) AS site, c1.file_id, c1.path, c1.line, c1.name, CASE WHEN ends_with(front, '.') THEN pa[-1] END AS receiver, CASE WHEN ends_with(front, '.') THEN pa[:-2] ELSE pa END AS namespace, args,
+    i.containing_symbol_id AS from_symbol_id, CASE lower(trim(f.language)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'golang' THEN 'go' WHEN 'c#' THEN 'csharp' ELSE lower(trim(f.language)) END AS language
+  FROM (SELECT *, list_filter(regexp_split_to_array(front, '\.|::'), lambda x: x <> '') AS pa FROM c1) c1 JOIN i ON i.file_id = c1.file_id AND i.line = c1.line AND i.name = c1.name AND i.containing_symbol_id IS NOT NULL JOIN f ON f.file_id = c1.file_id),
+vr AS (SELECT DISTINCT scope, name, type FROM (
+  SELECT symbol_id AS scope, unnest(regexp_extract_all(signature, '([a-z_][A-Za-z0-9_]*)\s*:\s*&?([A-Z][A-Za-z0-9_]*)', 1)) AS name, unnest(regexp_extract_all(signature, '([a-z_][A-Za-z0-9_]*)\s*:\s*&?([A-Z][A-Za-z0-9_]*)', 2)) AS type FROM s WHERE kind IN {_CALL}
+  UNION ALL SELECT symbol_id, unnest(regexp_extract_all(signature, '[(,]\s*(?:const |final )?([A-Z][A-Za-z0-9_]*)[ *&]+([a-z_][A-Za-z0-9_]*)', 2)), unnest(regexp_extract_all(signature, '[(,]\s*(?:const |final )?([A-Z][A-Za-z0-9_]*)[ *&]+([a-z_][A-Za-z0-9_]*)', 1)) FROM s WHERE kind IN {_CALL}))"""

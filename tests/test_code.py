@@ -66,7 +66,11 @@ def test_ancestors_locals_and_hidden(spark, rows):
     assert ("w", "m", 4) in rows(up) and ("x", "x", 1) in rows(up) and not [r for r in rows(up) if r[0] == "o"]
     assert rows(walk.local_variables(s)) == [("v",), ("w",)]
     assert rows(walk.hidden_symbols(s, up)) == [("c",), ("f",), ("v",), ("w",)]
-    assert ("f", "c") in rows(walk.namespace_of(up, s)) and ("v", "c") in rows(walk.namespace_of(up, s))
+    assert rows(walk.namespace_of(up, s)) == []
+    n = symbols(spark, fn("n1", kind="namespace", path="a"), fn("n2", kind="namespace", parent="n1", path="a"), fn("k", kind="class", parent="n2", path="a"), fn("free", path="a"), fn("n3", kind="namespace", path="b"), fn("alone", path="b"))
+    assert rows(walk.namespace_of(walk.ancestors(n), n)) == [("alone", "n3"), ("k", "n2"), ("n1", "n1"), ("n2", "n2"), ("n3", "n3")]
+    deep = symbols(spark, fn("top"), *[fn(f"d{k}", kind="variable", parent=f"d{k - 1}" if k else "top") for k in range(70)], fn("r1", kind="variable", parent="r2"), fn("r2", kind="variable", parent="r1"))
+    assert walk.local_variables(deep).count() == 70
 
 
 def test_paths_and_names(spark):
@@ -101,7 +105,7 @@ def test_reconcile(spark, rows):
 def test_lookup(spark, rows):
     s = symbols(spark, fn("1", "Parse"), fn("2", "parse_file"), fn("3", "reparse"), fn("4", "other"), fn("5", None), fn("6", "p"))
     q = spark.createDataFrame([("parse",), ("p",), ("nothing",), ("",), (None,)], "query string")
-    assert rows(lookup.by_name(s, q)) == [("p", "6", "exact", 1), ("parse", "1", "exact", 1), ("parse", "2", "prefix", 2), ("parse", "3", "contains", 3)]
+    assert rows(lookup.by_name(s, q)) == [("p", "1", "prefix", 2), ("p", "2", "prefix", 3), ("p", "3", "contains", 4), ("p", "6", "exact", 1), ("parse", "1", "exact", 1), ("parse", "2", "prefix", 2), ("parse", "3", "contains", 3)]
 
 
 def test_qualified_and_suggestions(spark, rows):

@@ -52,8 +52,56 @@ def test_git(spark, rows, tmp_path):
     lines[4] = "changed\n"
     del lines[10:12]
     (tmp_path / "f.txt").write_text("".join(lines))
-    (tmp_path / "new.txt").write_text("a\nb\n")
-    assert rows(git.changed_hunks(spark, str(tmp_path))) == [("f.txt", 10, 10), ("f.txt", 5, 5), ("new.txt", 1, 2)]
+    (tmp_path / "new.txt").write_text("a\nb")
+    (tmp_path / "t\u00e4b\t.txt").write_text("++ x\n-- y\n")
+    assert rows(git.changed_hunks(spark, str(tmp_path))) == [("f.txt", 5, 5), ("new.txt", 1, 2), ("t\u00e4b\t.txt", 1, 2)]
+    run("add", ".")
+    run("commit", "-qm", "two")
+    (tmp_path / "f.txt").rename(tmp_path / "g.txt")
+    (tmp_path / "t\u00e4b\t.txt").write_text("++ x\n-- z\n@@ -1 +1 @@\n")
+    run("add", "-N", "g.txt")
+    got = {(r.path, r.base_path, r.untracked) for r in git.changed_files(spark, str(tmp_path)).collect()}
+    assert ("t\u00e4b\t.txt", "t\u00e4b\t.txt", False) in got and ("g.txt", "f.txt", False) in got
+    assert ("t\u00e4b\t.txt", 2, 3) in rows(git.changed_hunks(spark, str(tmp_path)))
+    cut = "--- a/x\n+++ b/x\n@@ -5,2 +4,0 @@\n-a\n-b\n@@ -1,1 +0,0 @@\n-+++ b/y\n"
+    assert git.parse_hunks(cut) == [] and git.parse_hunks(cut, git.touched_range) == [("x", 4, 4), ("x", 1, 1)]
+    assert git.base_of(None, None) == "HEAD" and git.base_of(None, "s") == "s" and git.base_of("g", "s") == "g"
+
+
+def test_versions_are_complete_or_not_there(spark, tmp_path):
+    from tessera.sources import store
+
+    root = str(tmp_path / "s")
+    one = {"t": spark.range(3).toDF("x")}
+    assert store.current_version(spark, root) is None
+    first = store.write_version(spark, root, one)
+    (tmp_path / "s" / "v-000002").mkdir()  # a writer that died
+    assert store.current_version(spark, root) == first
+    third = store.write_version(spark, root, {"t": spark.range(5).toDF("x")})
+    assert third.endswith("v-000003") and store.current_version(spark, root) == third and store.readable(spark, third, ["t"]) and not store.readable(spark, third, ["u"])
+    store.write_version(spark, root, one)
+    assert store.compact(spark, root, keep=1) == 3 and [p.name for p in (tmp_path / "s").iterdir()] == ["v-000004"]
+    part = next((tmp_path / "s" / "v-000004" / "t").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:200] + b"x" * 50)
+    assert not store.readable(spark, root + "/v-000004", ["t"])
+
+
+def test_scratch_tables_go_and_indexes_are_made_anew(spark, tmp_path):
+    from tessera import session
+
+    spark.range(4).write.parquet(str(tmp_path / "a.parquet"))
+    made = []
+    build = lambda: made.append(1) or spark.read.parquet(str(tmp_path / "a.parquet"))
+    get = lambda: session.once(spark, str(tmp_path), "x", ("a",), build)
+    with session.scratch():
+        assert get().count() == get().count() == 4 and len(made) == 1
+        path = session._written[-1][1]
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+    assert get().count() == 4 and len(made) == 2
+    spark.range(7).write.mode("overwrite").parquet(str(tmp_path / "a.parquet"))
+    assert get().count() == 7 and len(made) == 3
 
 
 def test_missing_columns_are_null(spark):

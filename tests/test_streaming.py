@@ -49,6 +49,98 @@ def test_rename_halves_meet_by_tracker():
     assert kinds(q, "/w/t") == ["create-file"]
 
 
+def times(q, path):
+    return [(e["kind"], e["time"], e["paths"]) for e in q.queues.get(path, [])]
+
+
+def rename(q, a, b, at, to=None):
+    q.add(ev("rename-from", a, at, tracker=at))
+    q.add(ev("rename-to", b, to or at + 1, tracker=at))
+
+
+def test_whole_renames_are_left_to_their_halves():
+    q = d.Queues()
+    q.add(ev("rename-both", "/w/s", to="/w/t"))
+    assert q.queues == {}
+
+
+def test_rename_after_rename_keeps_the_first_source_and_time():
+    q = d.Queues()
+    rename(q, "/w/a", "/w/b", 1)
+    rename(q, "/w/b", "/w/c", 5)
+    assert times(q, "/w/c") == [("rename-both", 1, ["/w/a", "/w/c"])] and list(q.queues) == ["/w/c"]
+
+
+def test_rename_carries_changes_along():
+    q = d.Queues()
+    q.add(ev("modify-any", "/w/a", 1))
+    rename(q, "/w/a", "/w/b", 3)
+    assert times(q, "/w/b") == [("rename-both", 3, ["/w/a", "/w/b"]), ("modify-any", 1, ["/w/b"])]
+
+
+def test_rename_overrides_what_waits_for_the_target():
+    for waiting, info, kinds_ in (("modify-any", "override", ["remove-any", "rename-both"]), ("remove-any", None, ["remove-any", "rename-both"]), ("create-file", None, ["rename-both"])):
+        q = d.Queues()
+        q.add(ev(waiting, "/w/t", 1))
+        rename(q, "/w/s", "/w/t", 3)
+        assert kinds(q, "/w/t") == kinds_ and q.queues["/w/t"][0].get("info") == info
+
+
+def test_removal_before_a_rename_stays_behind():
+    q = d.Queues()
+    q.add(ev("remove-any", "/w/s", 1))
+    q.add(ev("modify-any", "/w/s", 2))
+    rename(q, "/w/s", "/w/t", 3)
+    assert kinds(q, "/w/s") == ["remove-any"] and kinds(q, "/w/t") == ["rename-both", "modify-any"]
+
+
+def test_file_ids_and_renames_of_unknown_half():
+    q = d.Queues()
+    q.add({**ev("rename-any", "/w/s", 1), "exists": False, "file_id": 7})
+    q.add({**ev("rename-any", "/w/t", 2), "exists": True, "file_id": 7})
+    assert times(q, "/w/t") == [("rename-both", 1, ["/w/s", "/w/t"])]
+    q = d.Queues()
+    q.add({**ev("rename-from", "/w/s", 1), "file_id": 7})
+    q.add({**ev("rename-to", "/w/t", 2), "file_id": 7})
+    assert times(q, "/w/t") == [("rename-both", 1, ["/w/s", "/w/t"])]
+
+
+def test_changes_after_a_creation_are_part_of_it_however_late():
+    q = d.Queues()
+    for k in ("create-file", "close-write", "modify-any", "create-any"):
+        q.add(ev(k))
+    assert kinds(q) == ["create-file", "close-write"]
+
+
+def test_rescans_wait_for_the_timeout():
+    q = d.Queues()
+    q.add({"kind": "rescan", "time": 10, "paths": []})
+    assert q.emit(12, 5) == [] and q.next_due(5) == 15 and [e["kind"] for e in q.emit(15, 5)] == ["rescan"] and q.emit(99, 5) == []
+
+
+def test_pacing_and_retries():
+    assert d.tick(150) == 37.5 and d.next_reconcile(0.0, 0.2) == 1.2 and d.next_reconcile(0.0, 4.0) == 8.0
+    delays = d.retry_delays()
+    assert [next(delays) for _ in range(7)] == [1, 2, 4, 8, 16, 30, 30]
+    tries, waits = [], []
+
+    def start():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("no")
+        return "open"
+
+    assert d.with_retries(start, 5, waits.append) == "open" and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        d.with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, waits.append)
+
+
+def test_late_functions_evict_their_locals(spark, rows):
+    s = spark.createDataFrame([("f", "function", None, "a.py"), ("v", "variable", "f", "a.py"), ("g", "function", None, "a.py"), ("w", "variable", "g", "b.py"), ("k", "class", None, "c.py")], "symbol_id string, kind string, parent_symbol_id string, path string")
+    before = spark.createDataFrame([("v", "a.py"), ("old", "a.py"), ("w", "b.py"), ("k", "c.py")], "symbol_id string, path string")
+    assert rows(d.affected_locals(spark.createDataFrame([("a.py",)], "path string"), s, before)) == [("f", "indexed"), ("g", "indexed"), ("old", "dropped"), ("v", "dropped"), ("w", "dropped")]
+
+
 def test_event_without_path_is_ignored():
     q = d.Queues()
     q.add({"kind": "modify-any", "time": 1, "paths": []})
