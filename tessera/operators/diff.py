@@ -26,29 +26,26 @@ def pair(base: DataFrame, current: DataFrame) -> DataFrame:
     """(base_id, current_id) of the same symbols in two snapshots; one side is null for removed and added ones.
 
     Rows are grouped by file, owner, kind and name. In groups of equal size on both sides rows pair in source order; in
-    others first rows with equal signature tails pair in source order, then the rest in source order. Both are windows
-    and equi joins by (group, number), so a group of any size is sorted, not paired out.
+    others first rows with equal signature tails pair in source order, then the rest in source order. Both sides stand in
+    one table that is shuffled once, by group; numbers inside it say which rows meet, so a group of any size is sorted,
+    not paired out.
     """
     order = [F.col("start_line").asc_nulls_first(), F.col("start_byte").asc_nulls_first(), F.col("symbol_id")]
-    size = Window.partitionBy(*KEY)
 
     def side(df, tag):
-        d = df.select(*KEY, "start_line", "start_byte", "symbol_id", signature_tail(F.col("signature")).alias("tail"))
-        return d.withColumn("n", F.count("*").over(size)).select(*[F.coalesce(c, F.lit("\0")).alias(c) for c in KEY], F.col("symbol_id").alias(f"{tag}_id"), "tail", "n", *order[:2], F.row_number().over(size.orderBy(*order)).alias("rn"))
-
-    def named(df, tag, *cols):
-        return df.select(*KEY, *cols, f"{tag}_id")
-
-    b, c = side(base, "base"), side(current, "current")
-    sizes = b.select(*KEY, F.col("n").alias("nb")).distinct().join(c.select(*KEY, F.col("n").alias("nc")).distinct(), KEY, "full")
-    equal = sizes.where("nb = nc").select(*KEY)
-    even = named(b.join(equal, KEY, "left_semi"), "base", "rn").join(named(c.join(equal, KEY, "left_semi"), "current", "rn"), [*KEY, "rn"]).select("base_id", "current_id")
-    ub, uc = b.join(equal, KEY, "left_anti"), c.join(equal, KEY, "left_anti")
-    k = lambda df, keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("rn")))
-    t = named(k(ub, [*KEY, "tail"]), "base", "tail", "k").join(named(k(uc, [*KEY, "tail"]), "current", "tail", "k"), [*KEY, "tail", "k"]).select("base_id", "current_id")
-    lb, lc = ub.join(t.select("base_id"), "base_id", "left_anti"), uc.join(t.select("current_id"), "current_id", "left_anti")
-    rest = named(k(lb, KEY), "base", "k").join(named(k(lc, KEY), "current", "k"), [*KEY, "k"], "full").select("base_id", "current_id")
-    return even.unionByName(t).unionByName(rest)
+        return df.select(*KEY, "start_line", "start_byte", "symbol_id", signature_tail(F.col("signature")).alias("tail"), F.lit(tag).alias("side"))
+
+    group = Window.partitionBy(*KEY)
+    rows = side(base, 0).unionByName(side(current, 1))
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY, "side").orderBy(*order)))
+    rows = rows.withColumn("even", F.count_if(F.col("side") == 0).over(group) == F.count_if(F.col("side") == 1).over(group))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*KEY, "side", "tail").orderBy("rn")))
+    rows = rows.withColumn("slot", F.when(F.col("even"), F.concat(F.lit("e"), "rn")).otherwise(F.concat(F.lit("t"), "k", F.lit(":"), "tail")))
+    rows = rows.withColumn("met", F.count("*").over(Window.partitionBy(*KEY, "slot")) == 2)
+    rest = F.row_number().over(Window.partitionBy(*KEY, "side", "met").orderBy("rn"))
+    rows = rows.withColumn("slot", F.when(F.col("met"), F.col("slot")).otherwise(F.concat(F.lit("r"), rest)))
+    one = lambda n: F.max(F.when(F.col("side") == n, F.col("symbol_id")))
+    return rows.groupBy(*KEY, "slot").agg(one(0).alias("base_id"), one(1).alias("current_id")).select("base_id", "current_id")
 
 
 def renames(base: DataFrame, current: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 #: Bytes of payload that are indexed together; one longer payload is indexed alone.
 CHUNK_BYTES = 2_000_000
 
@@ -387,7 +389,7 @@ def rows(records: DataFrame, *kinds: str) -> DataFrame:
     """
     which = frozenset(kinds) or None
     texts = records.where("record_id IS NOT NULL AND payload IS NOT NULL").select(F.col("record_id").cast("bigint"), F.col("payload").cast("string"))
-    flat = texts.mapInArrow(lambda batches: _run(batches, which), ROW)
+    flat = spread(texts).mapInArrow(lambda batches: _run(batches, which), ROW)
     rest = [c for c in flat.columns if c not in ("record_id", "row_id")]
     return flat.groupBy("record_id", "row_id").agg(F.max(F.struct(*rest)).alias("r")).select("record_id", "row_id", "r.*")
 

@@ -54,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _temporary[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, where it has fewer: a small file is one split, but what Python
+    does with it may take long. Larger inputs stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df, computed once and written to the shared folder as Parquet, then read from there. Ends the lineage, so an
     executor that is lost later costs only a read. Parquet is smaller than the row files of checkpoint()."""
