@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.describe import description, metadata_text
 from tessera.llm.lexer import functions, language_of
+from tessera.session import spread
 
 #: Spellings of language names.
 LANGUAGES = {"py": "python", "python3": "python", "js": "javascript", "node": "javascript", "ts": "typescript", "golang": "go", "c#": "csharp", "cs": "csharp", "rs": "rust", "c++": "cpp"}
@@ -52,7 +53,7 @@ def lexed_functions(source_texts: DataFrame, with_code: bool = True) -> DataFram
     start_byte counts in the UTF-8 text. Without with_code, code is null and not handed on. Null and empty texts and
     unknown languages without braces give none."""
     texts = source_texts.select("file_id", F.col("path").cast("string"), F.col("content").cast("string")).where("file_id IS NOT NULL AND content IS NOT NULL")
-    return texts.mapInArrow(_lexer(with_code), "file_id string, start_byte int, code string, comment string")
+    return spread(texts).mapInArrow(_lexer(with_code), "file_id string, start_byte int, code string, comment string")
 
 
 def _letters(text: str) -> str:

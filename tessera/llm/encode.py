@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, spread
 
 #: Where the driver finds the vocabulary files; executors get them from the session.
 TOKENIZERS = "/opt/tokenizers"
@@ -102,7 +102,7 @@ def _placed(documents: DataFrame, carry: str | None, value: str, vocabulary: str
     documents.sparkSession.sparkContext.addFile(vocabulary)  # a file that is known already is not sent again
     more = F.col(carry) if carry else F.lit(None)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), more.cast("string").alias("carried"))
-    blocks = cut(texts.mapInArrow(_blocks, "block bigint, docs array<struct<doc_id:bigint,carried:string,idx:array<int>>>, words array<string>"), "blocks")
+    blocks = cut(spread(texts).mapInArrow(_blocks, "block bigint, docs array<struct<doc_id:bigint,carried:string,idx:array<int>>>, words array<string>"), "blocks")
     groups = -(-blocks.count() // GROUP_BLOCKS)  # one number
     words = blocks.select("block", F.pmod(F.xxhash64("block"), F.lit(max(1, groups))).alias("group"), F.posexplode("words").alias("no", "word"))
     encoded = words.select("word").distinct().mapInArrow(_encode_words(os.path.basename(vocabulary)), "word string, ids array<int>").select("word", F.expr(value).alias("v"))

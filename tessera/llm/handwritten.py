@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.evidence import signs
-from tessera.session import cut
+from tessera.session import cut, spread
 
 # File name endings of programming languages, and names by which attribute files commonly mark copies and
 # generated files.
@@ -195,7 +195,7 @@ def judged_files(files: DataFrame, source_texts: DataFrame, skipped_files: DataF
     name = F.element_at(F.split("path", "/"), -1)
     code = all_.where(F.lower(F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, "\\."), -1))).isin(*sorted(CODE)))
     texts = source_texts.where("file_id IS NOT NULL AND content IS NOT NULL AND path IS NOT NULL").select("file_id", "path", "content", F.md5("content").alias("digest"))
-    looks = texts.mapInArrow(_look, "file_id string, digest string, evident boolean, by_hand boolean").groupBy("file_id").agg(
+    looks = spread(texts).mapInArrow(_look, "file_id string, digest string, evident boolean, by_hand boolean").groupBy("file_id").agg(
         F.max("digest").alias("digest"), F.max("evident").alias("evident"), F.max("by_hand").alias("by_hand"))
     large = F.when(F.col("bytes") >= HAND_BYTES, True)
     facts = code.join(looks, "file_id", "left").select(

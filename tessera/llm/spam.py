@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm.features import spam_share
 from tessera.llm.pages import PAGE_FEATURES, host, page_features
 from tessera.llm.trees import Bag
-from tessera.session import cut
+from tessera.session import cut, spread
 
 #: Bound of the training sample: pages that are weakly labelled, drawn by a hash of doc_id; about so many, or all if fewer.
 SAMPLE_ROWS = 12_000
@@ -87,7 +87,7 @@ def spam_scores(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
     are written and shuffled. Every page is scored. Lines are judged in the same pass, where the score could reach
     CANDIDATE with any host, so no text is read again or shuffled. Hosts are counted with partial aggregation.
     """
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    texts = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
     scored = cut(texts.mapInArrow(_score(train(texts, sample_rows)), "doc_id bigint, p double, share double, host string"), "scored")
     base = scored.agg(F.coalesce(F.avg("p"), F.lit(0.0))).first()[0]  # one number
     hosts = scored.where("host IS NOT NULL").groupBy("host").agg(F.sum("p").alias("spam"), F.count("*").alias("pages"))
