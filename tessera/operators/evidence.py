@@ -135,9 +135,9 @@ def claims(sites: DataFrame, symbols: DataFrame, around: DataFrame, above: DataF
     types = symbols.where(F.col("kind").isin(*TYPES)).select(F.col("symbol_id").alias("scope"))
     enclosing = around.join(types, "scope")
     near = enclosing.groupBy("symbol_id").agg(F.min_by("scope", "depth").alias("type_id"))
-    members = by(inner, "parent_symbol_id")
+    members = by(inner, "fam", "parent_symbol_id")
     mine = s.where(own).withColumnRenamed("from_symbol_id", "symbol_id").join(near, "symbol_id")
-    add(3, "class chain", mine.withColumnRenamed("type_id", "parent_symbol_id").join(members, ["name", "parent_symbol_id"]))
+    add(3, "class chain", mine.withColumnRenamed("type_id", "parent_symbol_id").join(members, ["name", "fam", "parent_symbol_id"]))
     chain = above.where("depth > 0").select(F.col("symbol_id").alias("type_id"), F.col("name").alias("owner"), "depth")
     add(4, "class chain", mine.join(chain, "type_id").join(owners, ["name", "fam", "owner"]))
     add(5, "qualified path", s.where(has_rec & ~own).withColumn("owner", F.col("receiver")).join(owners, ["name", "fam", "owner"]))
@@ -152,8 +152,8 @@ def claims(sites: DataFrame, symbols: DataFrame, around: DataFrame, above: DataF
     add(7, "receiver type", of_type.join(over, "type").join(owners, ["name", "fam", "owner"]))
     b = s.where(bare)
     add(8, "same file", b.join(by(top, "fam", "path"), ["name", "fam", "path"]))
-    add(9, "enclosing scope", b.withColumnRenamed("from_symbol_id", "symbol_id").join(around.join(types, "scope", "left_anti").withColumnRenamed("scope", "parent_symbol_id"), "symbol_id").join(members, ["name", "parent_symbol_id"]))
-    add(10, "class chain", b.where(F.col("language").isin(*IMPLICIT)).withColumnRenamed("from_symbol_id", "symbol_id").join(near, "symbol_id").withColumnRenamed("type_id", "parent_symbol_id").join(members, ["name", "parent_symbol_id"]))
+    add(9, "enclosing scope", b.withColumnRenamed("from_symbol_id", "symbol_id").join(around.join(types, "scope", "left_anti").withColumnRenamed("scope", "parent_symbol_id"), "symbol_id").join(members, ["name", "fam", "parent_symbol_id"]))
+    add(10, "class chain", b.where(F.col("language").isin(*IMPLICIT)).withColumnRenamed("from_symbol_id", "symbol_id").join(near, "symbol_id").withColumnRenamed("type_id", "parent_symbol_id").join(members, ["name", "fam", "parent_symbol_id"]))
     add(11, "import", b.join(seen, "path").join(in_file, ["name", "fam", "imported"]))
     add(12, "same package", b.where(F.col("language").isin(*PACKAGES)).join(by(top, "language", "folder"), ["name", "language", "folder"]))
     every = reduce(DataFrame.unionByName, found)

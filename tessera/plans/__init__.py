@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL.
-MODULES = ("telemetry", "trees", "records", "graph", "log_stats", "scans", "search", "reports", "snapshots", "events", "extras", "evidence", "edits")
+MODULES = ("telemetry", "trees", "records", "graph", "log_stats", "scans", "search", "reports", "snapshots", "events", "extras", "evidence", "edits", "made")
 
 
 def _gather(what: str) -> dict:

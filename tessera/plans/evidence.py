@@ -52,10 +52,6 @@ def call_rivals(spark, f):
     return evidence.rivals(facts.calls(spark, f), facts.symbols(spark, f), call_verdicts(spark, f), _imports(spark, f))
 
 
-def receiver_types(spark, f):
-    return _typed(spark, f)
-
-
 def member_accesses(spark, f):
     return evidence.member_access(facts.calls(spark, f))
 
@@ -64,7 +60,7 @@ def type_ancestors(spark, f):
     return _above(spark, f)
 
 
-QUERIES = {q.__name__: q for q in (call_claims, call_verdicts, call_verdicts_by_count, call_rivals, receiver_types, member_accesses, type_ancestors)}
+QUERIES = {q.__name__: q for q in (call_claims, call_verdicts, call_verdicts_by_count, call_rivals, member_accesses, type_ancestors)}
 
 _LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _SELF, _KINDS = _LIST(evidence.SELF), _LIST(TYPES)
@@ -80,8 +76,7 @@ _UP = """up AS (SELECT a.symbol_id, b.symbol_id AS scope, 1 AS depth FROM s a JO
 sc AS (SELECT symbol_id, symbol_id AS scope, 0 AS depth FROM s UNION ALL SELECT * FROM up)"""
 _TYPED = """rt AS (SELECT site, min(type) AS type FROM (SELECT c.site, vr.type, sc.depth, min(sc.depth) OVER (PARTITION BY c.site) AS least FROM c JOIN sc ON sc.symbol_id = c.from_symbol_id JOIN vr ON vr.scope = sc.scope AND vr.name = c.receiver)
   WHERE depth = least GROUP BY site HAVING count(DISTINCT type) = 1)"""
-_BASE = f"""WITH RECURSIVE {facts.CALLS_SQL}, {_TYPES_SQL}, {_UP}, {_TYPED}, {extras._IMPORT_EDGES},
-nt AS (SELECT symbol_id, arg_min(sc.scope, depth) AS type_id FROM sc WHERE sc.scope IN (SELECT symbol_id FROM s WHERE kind IN {_KINDS}) GROUP BY symbol_id),
+_JUDGING = f"""nt AS (SELECT symbol_id, arg_min(sc.scope, depth) AS type_id FROM sc WHERE sc.scope IN (SELECT symbol_id FROM s WHERE kind IN {_KINDS}) GROUP BY symbol_id),
 de AS (SELECT s.symbol_id, s.name, s.path, s.language, s.parent_symbol_id, {_FAM("s.language")} AS fam, {reports._FOLDER.format("s.path")} AS folder, o.name AS owner FROM s LEFT JOIN s o ON o.symbol_id = s.parent_symbol_id WHERE s.kind IN {_CALL} AND s.name IS NOT NULL),
 pairs AS (SELECT c.*, nt.type_id, rt.type, d.symbol_id AS def, d.path AS dpath, d.parent_symbol_id AS dparent, d.owner, d.language AS dlang, d.folder AS dfolder,
     coalesce(c.receiver IN {_SELF}, false) OR list_contains(c.namespace, 'Self') AS own, len(c.namespace) = 0 AND c.receiver IS NULL AS bare
@@ -109,6 +104,7 @@ vd AS (SELECT c.site, CASE WHEN n0.n IS NULL THEN 'external' WHEN n1.n IS NULL T
       WHEN c.receiver IS NOT NULL OR len(c.namespace) > 0 THEN 'receiver not typed' ELSE 'name only' END AS basis,
     CASE WHEN n1.n IS NULL THEN NULL WHEN cl.n = 1 THEN cl.target WHEN cl.n > 1 OR rt.type IS NOT NULL OR n1.n > 1 THEN NULL ELSE n1.one END AS target
   FROM c LEFT JOIN n0 ON n0.name = c.name LEFT JOIN n1 ON n1.name = c.name AND n1.fam = {_FAM("c.language")} LEFT JOIN cl USING (site) LEFT JOIN rt USING (site))"""
+_BASE = f"WITH RECURSIVE {facts.CALLS_SQL}, {_TYPES_SQL}, {_UP}, {_TYPED}, {extras._IMPORT_EDGES}, {_JUDGING}"
 SQL = {
     "call_claims": f"{_BASE} SELECT site, basis, n, target FROM cl",
     "call_verdicts": f"{_BASE} SELECT site, label, basis, target FROM vd",
@@ -119,7 +115,6 @@ SQL = {
     "call_rivals": f"""{_BASE}, tops AS (SELECT * FROM de WHERE parent_symbol_id IS NULL)
       SELECT c.site, greatest(0, (SELECT count(*) FROM de d WHERE d.parent_symbol_id IS NOT NULL AND d.name = c.name AND d.fam = {_FAM("c.language")}) + (SELECT count(*) FROM tops d WHERE d.name = c.name AND d.fam = {_FAM("c.language")} AND d.folder = {reports._FOLDER.format("c.path")})
         + (SELECT count(*) FROM tops d JOIN ie ON ie.dst = d.path AND ie.src = c.path WHERE d.name = c.name AND d.fam = {_FAM("c.language")} AND d.folder <> {reports._FOLDER.format("c.path")}) - CASE WHEN vd.target IS NOT NULL THEN 1 ELSE 0 END) AS rivals FROM c JOIN vd USING (site)""",
-    "receiver_types": f"WITH RECURSIVE {facts.CALLS_SQL}, {_UP}, {_TYPED} SELECT site, type FROM rt",
     "member_accesses": f"WITH {facts.CALLS_SQL} SELECT path, name, count(*) AS rows FROM c WHERE receiver IS NOT NULL GROUP BY ALL",
     "type_ancestors": f"WITH RECURSIVE {facts.SYMBOLS_SQL}, {_TYPES_SQL} SELECT symbol_id, name, depth FROM ab",
 }

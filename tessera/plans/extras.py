@@ -52,10 +52,6 @@ def call_receivers(spark, f):
     return report.receivers(facts.lines(spark, f))
 
 
-def chained_lines(spark, f):
-    return report.continued_chains(facts.lines(spark, f))
-
-
 def variant_uses(spark, f):
     """Callables of one container as its variants."""
     s = facts.symbols(spark, f)
@@ -90,7 +86,7 @@ def impact_of_hunks(spark, f):
     return walk.impact(e, s, seeds).select("seed", "symbol_id", "depth", "is_test", "place")
 
 
-QUERIES = {f.__name__: f for f in (import_graph, import_closure, part_hierarchy, related_types, placed_sites, blocking_sites, unique_bodies, text_snippets, call_receivers, chained_lines, variant_uses, all_name_rows, most_used_symbols, file_sizes, callers, impact_of_hunks)}
+QUERIES = {f.__name__: f for f in (import_graph, import_closure, part_hierarchy, related_types, placed_sites, blocking_sites, unique_bodies, text_snippets, call_receivers, variant_uses, all_name_rows, most_used_symbols, file_sizes, callers, impact_of_hunks)}
 
 _PROJECT = "regexp_extract({0}, '^(monorepo/[^/]+|[^/]+)', 1)"
 _IMPORT_EDGES = rf"""im AS (SELECT DISTINCT path, lower(coalesce(nullif(regexp_extract(text, '^\s*import\s.*from\s+[''"][^''"]*?([A-Za-z0-9_]+)[''"]', 1), ''), nullif(regexp_extract(text, '^\s*#include\s+"(?:[^"]*/)?([A-Za-z0-9_]+)\.\w+"', 1), ''),
@@ -117,7 +113,6 @@ SQL = {
     "text_snippets": f"""WITH {facts.SYMBOLS_SQL}, {_TEXTS}, a AS (SELECT symbol_id, text, strpos(lower(text), 'batch') AS p FROM st) SELECT symbol_id, substr(text, greatest(1, p - 20), p - greatest(1, p - 20) + 25) AS snippet FROM a WHERE p > 0""",
     "call_receivers": rf"""WITH {facts.LINES_SQL}, x AS (SELECT path, line, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)\(', 1)) AS receiver, unnest(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\.([A-Za-z_][A-Za-z0-9_]*)\(', 2)) AS name FROM l)
       SELECT path, line, receiver, name, count(*) AS uses FROM x GROUP BY ALL""",
-    "chained_lines": f"WITH {facts.LINES_SQL}, x AS (SELECT path, line, text, lag(text) OVER (PARTITION BY path ORDER BY line) AS before FROM l) SELECT path, line FROM x WHERE starts_with(ltrim(text), '.') AND trim(before) <> ''",
     "variant_uses": f"""WITH {facts.IDENTIFIERS_SQL}, v AS (SELECT min(parent_symbol_id) AS owner, name FROM s WHERE kind = 'method' AND parent_symbol_id IS NOT NULL AND name IS NOT NULL GROUP BY name HAVING count(DISTINCT parent_symbol_id) = 1)
       SELECT owner, containing_symbol_id, count(DISTINCT name) AS variants, min(line) AS first_line FROM i JOIN v USING (name) WHERE containing_symbol_id IS NOT NULL GROUP BY ALL""",
     "all_name_rows": f"""WITH {facts.IDENTIFIERS_SQL}, x AS (SELECT name, 'definition' AS source FROM s WHERE name IS NOT NULL AND path IS NOT NULL UNION ALL SELECT name, 'use' FROM i) SELECT name, source, count(*) AS n FROM x GROUP BY ALL""",

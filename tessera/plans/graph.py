@@ -60,18 +60,13 @@ def local_variables(spark, folder):
     return walk.local_variables(facts.symbols(spark, folder))
 
 
-def enclosing_namespace(spark, folder):
-    s = facts.symbols(spark, folder)
-    return walk.namespace_of(walk.ancestors(s), s)
-
-
 def merged_walks(spark, folder):
     e = _edges(spark, folder)
     seeds = _seeds(e)
     return walk.merge_depths(walk.reach(e, seeds, 1), walk.reach(e, seeds, 2), ["seed", "node"])
 
 
-QUERIES = {f.__name__: f for f in (impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, visible_symbols, local_variables, enclosing_namespace, merged_walks)}
+QUERIES = {f.__name__: f for f in (impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, visible_symbols, local_variables, merged_walks)}
 
 _E = facts.EDGES_SQL
 _WALK = f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM e WHERE to_symbol_id IS NOT NULL),
@@ -99,9 +94,5 @@ SQL = {
     "local_variables": f"""WITH RECURSIVE {facts.SYMBOLS_SQL}, v AS (SELECT symbol_id, parent_symbol_id AS at, 1 AS d FROM s WHERE kind = 'variable' AND parent_symbol_id IS NOT NULL
       UNION ALL SELECT v.symbol_id, p.parent_symbol_id, d + 1 FROM v JOIN s p ON p.symbol_id = v.at WHERE p.kind = 'variable' AND p.parent_symbol_id IS NOT NULL AND p.parent_symbol_id <> v.symbol_id AND d < 1000)
       SELECT DISTINCT v.symbol_id FROM v JOIN s p ON p.symbol_id = v.at WHERE p.kind IN ('function', 'method', 'constructor')""",
-    "enclosing_namespace": f"""{_UP}, c AS (SELECT symbol_id, symbol_id AS ancestor_id, 0 AS depth FROM s UNION ALL SELECT symbol_id, ancestor_id, depth FROM up),
-      n AS (SELECT c.symbol_id, s.name, row_number() OVER (PARTITION BY c.symbol_id ORDER BY c.depth, c.ancestor_id) AS rn FROM c JOIN s ON s.symbol_id = c.ancestor_id WHERE s.kind = 'namespace'),
-      o AS (SELECT path, min(name) AS name FROM s WHERE kind = 'namespace' AND path IS NOT NULL GROUP BY path HAVING count(*) = 1)
-      SELECT s.symbol_id, coalesce(n.name, o.name) AS namespace FROM s LEFT JOIN n ON n.symbol_id = s.symbol_id AND n.rn = 1 LEFT JOIN o ON o.path = s.path WHERE coalesce(n.name, o.name) IS NOT NULL""",
     "merged_walks": f"{_WALK} SELECT seed, node, depth FROM best WHERE depth <= 2",
 }

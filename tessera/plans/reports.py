@@ -74,10 +74,6 @@ def calling_tests(spark, f):
     return report.calling_tests(facts.edges(spark, f), facts.symbols(spark, f))
 
 
-def type_constructions(spark, f):
-    return report.constructions(facts.identifiers(spark, f), facts.symbols(spark, f))
-
-
 def word_accounting(spark, f):
     s = facts.symbols(spark, f)
     names = s.select("name").where("name IS NOT NULL").distinct()
@@ -147,7 +143,7 @@ def merged_event_order(spark, f):
     return report.merge_streams(e)
 
 
-QUERIES = {f.__name__: f for f in (site_verdicts, site_lines, target_counts, target_first_sites, report_places, callable_arity, overload_arity, overload_bindings, callee_list, calling_tests, type_constructions, word_accounting, nearest_owners,
+QUERIES = {f.__name__: f for f in (site_verdicts, site_lines, target_counts, target_first_sites, report_places, callable_arity, overload_arity, overload_bindings, callee_list, calling_tests, word_accounting, nearest_owners,
                                    nearest_declarations, unique_starts, paired_calls, sibling_conventions, test_commands, shortened_names, symbols_page, turns, name_uses, merged_event_order)}
 
 _FAM = facts.family_sql
@@ -197,8 +193,6 @@ SQL = {
     "callee_list": f"""WITH {facts.EDGES_SQL}, c AS (SELECT from_symbol_id, to_symbol_id, min(line) AS first_line FROM e WHERE to_symbol_id IS NOT NULL GROUP BY ALL),
       o AS (SELECT *, row_number() OVER (PARTITION BY from_symbol_id ORDER BY first_line, to_symbol_id)::INTEGER AS place FROM c) SELECT * FROM o WHERE place <= 10""",
     "calling_tests": f"WITH {facts.EDGES_SQL} SELECT DISTINCT e.to_symbol_id AS symbol_id, e.from_symbol_id AS test_id FROM e JOIN s ON s.symbol_id = e.from_symbol_id AND s.is_test WHERE to_symbol_id <> from_symbol_id",
-    "type_constructions": f"""WITH {facts.IDENTIFIERS_SQL}, ty AS (SELECT name, min(symbol_id) AS symbol_id FROM s WHERE kind IN ('class', 'struct', 'interface', 'trait', 'record', 'enum', 'union', 'type') AND name IS NOT NULL GROUP BY name HAVING count(*) = 1)
-      SELECT DISTINCT symbol_id, path, line FROM i JOIN ty USING (name)""",
     "word_accounting": f"""WITH {facts.IDENTIFIERS_SQL}, w AS (SELECT DISTINCT path, line, unnest(regexp_extract_all(text, '[A-Za-z0-9_$]+')) AS name FROM l),
       x AS (SELECT w.name, EXISTS (SELECT 1 FROM i WHERE i.path = w.path AND i.line = w.line AND i.name = w.name) AS st, EXISTS (SELECT 1 FROM s WHERE s.path = w.path AND s.start_line = w.line AND s.name = w.name) AS df FROM w WHERE w.name IN (SELECT name FROM s))
       SELECT name, count(*) FILTER (st) AS site, count(*) FILTER (df AND NOT st) AS definition, count(*) FILTER (NOT st AND NOT df) AS text FROM x GROUP BY name""",
