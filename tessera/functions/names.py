@@ -88,3 +88,83 @@ def in_path(path: Column, scope: str) -> Column:
 
     want = normal_path(F.lit(scope.rstrip("/\\")))
     return (normal_path(path) == want) | F.startswith(normal_path(path), F.concat(want, F.lit("/")))
+
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a GLOB as SQLite has it: * and ? stand for any characters, [...] for one of some, case
+    matters."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        close = glob.find("]", i + 2) if c == "[" else -1
+        if c == "*":
+            out += "[\\s\\S]*"
+        elif c == "?":
+            out += "[\\s\\S]"
+        elif close > 0:
+            inner = glob[i + 1:close].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] == "^" else inner) + "]", close
+        else:
+            out += c if c.isalnum() or c == "_" or ord(c) > 127 else "\\" + c
+        i += 1
+    return f"^{out}$"
+
+
+def glob(text: Column, pattern: str) -> Column:
+    return text.rlike(glob_pattern(pattern))
+
+
+def like(text: Column, pattern: str, escape: str = "\\") -> Column:
+    """LIKE as SQLite has it: ASCII case does not matter, letters beyond ASCII must be equal."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == escape and i + 1 < len(pattern):
+            i += 1
+            c = pattern[i]
+            out += _either(c)
+        elif c == "%":
+            out += "[\\s\\S]*"
+        elif c == "_":
+            out += "[\\s\\S]"
+        else:
+            out += _either(c)
+        i += 1
+    return text.rlike(f"^{out}$")
+
+
+def _either(c: str) -> str:
+    if c.isascii() and c.isalpha():
+        return f"[{c.lower()}{c.upper()}]"
+    return c if c.isalnum() or c == "_" or ord(c) > 127 else "\\" + c
+
+
+def anonymous_class_name(signature: Column, creator: Column) -> Column:
+    """The name that is shown for a class without one: by the type that it creates and the symbol that creates it."""
+    made = F.nullif(F.regexp_extract(signature, r"\bnew\s+([A-Za-z_$][\w$.]*)", 1), F.lit(""))
+    made = F.coalesce(made, F.nullif(F.regexp_extract(signature, r"\bobject\s*:\s*([A-Za-z_$][\w$.]*)", 1), F.lit("")))
+    return F.concat(F.lit("<anonymous"), F.coalesce(F.concat(F.lit(" "), made), F.lit("")), F.coalesce(F.concat(F.lit(" in "), creator), F.lit("")), F.lit(">"))
+
+
+def name_anonymous_classes(symbols):
+    """symbols with the classes that an extractor has named by their line (anonymous_class_L12) named by what they create
+    and where; the names of those around them are taken first, so nested ones read the new names."""
+    plain = F.coalesce(glob(F.col("name"), "anonymous_class_L[0-9]*") & (F.col("kind") == "class") & (F.get_json_object("metadata_json", "$.type") == "anonymous_class"), F.lit(False))
+    todo = symbols.withColumn("_depth", F.when(plain, F.lit(1)))
+    rest, out = todo.where("_depth IS NULL").drop("_depth"), todo.where("_depth IS NOT NULL").drop("_depth")
+    done = rest
+    for _ in range(8):  # one round for each class inside a class
+        inner = out.join(out.select(F.col("symbol_id").alias("parent_symbol_id")), "parent_symbol_id", "left_semi")
+        outer = out.join(inner.select("symbol_id"), "symbol_id", "left_anti")
+        creators = done.select(F.col("symbol_id").alias("parent_symbol_id"), F.col("name").alias("_creator"))
+        named = outer.join(creators, "parent_symbol_id", "left").withColumn("name", anonymous_class_name(F.coalesce("signature", F.lit("")), F.col("_creator"))).drop("_creator")
+        done = done.unionByName(named.select(*rest.columns))
+        out = inner.select(*rest.columns)
+        if out.isEmpty():
+            break
+    return done
+
+
+def is_generated_lambda(name: Column, lang: Column, kind: Column, signature: Column) -> Column:
+    """Whether a function's name was made up for a lambda."""
+    return F.coalesce(name.rlike(r"^lambda_\d+$") & (lang == "python") & (kind == "function") & F.startswith(signature, F.lit("lambda")), F.lit(False))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.names import CALLABLE, CONTAINER, content_words, tokens
+from tessera.functions.names import CALLABLE, CONTAINER, content_words, display_kind, tokens
 from tessera.functions.stem import stems
+from tessera.operators.walk import local_variables
 
 #: A term counts as carried by at most so many symbols.
 DF_CAP = 20_000
@@ -191,24 +192,135 @@ def credits(symbols: DataFrame, index: DataFrame, terms: DataFrame) -> DataFrame
     return words.unionByName(stemmed).unionByName(parts).groupBy("term", "symbol_id").agg(F.max("credit").alias("credit"))
 
 
-def search_all_fields(symbols: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query, symbol_id, score, place): ranked search as search(), but every symbol that bears any word of the query in any
-    way (credits()) is scored, so AND, OR, trigram and whole-name recall need no bounds of their own."""
+#: Bonus of a callable whose name, signature and documentation each support a query.
+COVERAGE = 6.0
+
+
+def field_hits(symbols: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, symbol_id, name_credit, sig, doc) of each of the terms and each symbol that bears it: the credit of its name
+    (token, stem or part), and whether its signature and the head of its documentation hold it as a word."""
+    t = terms.select("term").distinct()
+    words = lambda c: F.explode(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z]+)"), 1), F.lower)))
+    name = credits(symbols.select("symbol_id", "name", F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("doc_comment")),
+                   symbols.select("symbol_id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("term"), F.lit("name").alias("field")), t)
+    sig = symbols.select("symbol_id", words(F.col("signature")).alias("term")).join(t, "term", "left_semi")
+    doc = symbols.select("symbol_id", words(F.substring("doc_comment", 1, 640)).alias("term")).join(t, "term", "left_semi")
+    none, yes, no = F.lit(0.0), F.lit(1), F.lit(0)
+    rows = (name.select("term", "symbol_id", F.col("credit").alias("name_credit"), no.alias("sig"), no.alias("doc"))
+            .unionByName(sig.select("term", "symbol_id", none.alias("name_credit"), yes.alias("sig"), no.alias("doc")))
+            .unionByName(doc.select("term", "symbol_id", none.alias("name_credit"), no.alias("sig"), yes.alias("doc"))))
+    return rows.groupBy("term", "symbol_id").agg(*[F.max(c).alias(c) for c in ("name_credit", "sig", "doc")])
+
+
+def search_all_fields(symbols: DataFrame, queries: DataFrame, limit: int = 10, members: bool = False) -> DataFrame:
+    """(query, symbol_id, score, place): ranked search for queries of several words; stop words count only where a query
+    has nothing else.
+
+    Recall: every symbol that bears any word of the query in any way is scored, so no bound of a branch loses one. Each
+    word counts once, by the strongest field it stands in (token of the name 3, of the same stem 2, signature or
+    documentation 1, part of the name 1), times ln(1 + N / (df + 1)). Then 100 if the words are the whole name of a
+    callable or container (60 for other kinds), 60 if all words stand in the name, and COVERAGE for a callable whose name,
+    signature and documentation each hold a word, together at least half of them.
+
+    Of queries with several words, rows that bear one word alone leave once `limit` rows with more stand above them, but
+    for those whose name holds the query's rarest word. Ties go by what the names alone earn, then names without a
+    leading underscore come first, then by name and id. With members, direct members of the `limit` first types of each
+    query that bear a word are scored too where their owner's name bears others: each such word counts 1.
+    """
     total = symbols.count()  # one number
-    index = postings(symbols)
-    df = document_frequency(index)
+    df = document_frequency(postings(symbols))
     q = queries.select("query", content_words(F.array_distinct(tokens(F.col("query")))).alias("terms")).where("size(terms) > 0").distinct()
-    qt = q.select("query", F.explode("terms").alias("term")).join(df, "term", "left").select("query", "term", F.log1p(F.lit(total) / (F.coalesce("df", F.lit(0)) + 1)).alias("weight"))
-    scored = qt.join(credits(symbols, index, qt), "term").groupBy("query", "symbol_id").agg(F.sum(F.col("credit") * F.col("weight")).alias("terms_score"))
-    names = symbols.select("symbol_id", "name", "kind", F.array_distinct(tokens(F.col("name"))).alias("words"))
-    j = scored.join(names, "symbol_id").join(q, "query")
-    all_words = F.coalesce(F.size(F.array_except("terms", "words")) == 0, F.lit(False))
-    whole = all_words & (F.size("terms") == F.size("words"))
-    strong = F.col("kind").isin(*CALLABLE, *CONTAINER)
-    score = F.col("terms_score") + F.when(whole, F.when(strong, WHOLE_NAME).otherwise(WHOLE_NAME_OTHER)).otherwise(0.0) + F.when(all_words, ALL_WORDS).otherwise(0.0)
-    j = j.select("query", "symbol_id", "name", F.round(score, 6).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "name", "symbol_id")
-    return j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "symbol_id", "score", "place")
+    qt = q.select("query", F.explode("terms").alias("term")).join(df, "term", "left").select("query", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    qt = qt.withColumn("weight", F.log1p(F.lit(total) / (F.col("df") + 1)))
+    rarest = qt.groupBy("query").agg(F.min_by("term", F.struct("df", "term")).alias("rare"))
+    hits = qt.join(field_hits(symbols, qt), "term").select("query", "symbol_id", "term", "weight", "name_credit", "sig", "doc")
+    credit = F.greatest("name_credit", F.when((F.col("sig") + F.col("doc")) > 0, TEXT_HIT).otherwise(0.0))
+    names = symbols.select("symbol_id", "name", "kind", "parent_symbol_id", F.array_distinct(tokens(F.col("name"))).alias("words")) if "parent_symbol_id" in symbols.columns else \
+        symbols.select("symbol_id", "name", "kind", F.lit(None).cast("string").alias("parent_symbol_id"), F.array_distinct(tokens(F.col("name"))).alias("words"))
+
+    def rank(hits: DataFrame) -> DataFrame:
+        g = hits.join(rarest, "query").groupBy("query", "symbol_id").agg(
+            F.sum(F.col("credit") * F.col("weight")).alias("terms_score"), F.sum("name_credit").alias("strength"), F.count("*").alias("matched"), F.max(F.when(F.col("name_credit") > 0, 1).otherwise(0)).alias("in_name"),
+            F.max("sig").alias("in_sig"), F.max("doc").alias("in_doc"), F.bool_or((F.col("term") == F.col("rare")) & (F.col("name_credit") > 0)).alias("rare"))
+        j = g.join(names, "symbol_id").join(q, "query")
+        all_words = F.coalesce(F.size(F.array_except("terms", "words")) == 0, F.lit(False))
+        whole = all_words & (F.size("terms") == F.size("words"))
+        strong = F.col("kind").isin(*CALLABLE, *CONTAINER)
+        covered = F.col("kind").isin(*CALLABLE) & (F.col("in_name") + F.col("in_sig") + F.col("in_doc") == 3) & (2 * F.col("matched") >= F.size("terms"))
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        score = F.col("terms_score") + F.when(whole, F.when(strong, WHOLE_NAME).otherwise(WHOLE_NAME_OTHER)).otherwise(0.0) + F.when(all_words, ALL_WORDS).otherwise(0.0) + F.when(yes(covered), COVERAGE).otherwise(0.0)
+        j = j.select("query", "symbol_id", "name", "kind", "matched", "rare", "strength", F.size("terms").alias("n"), F.round(score, 6).alias("score"))
+        hidden = F.coalesce(F.startswith("name", F.lit("_")), F.lit(False))
+        order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("strength").desc(), hidden, "name", "symbol_id")
+        above = F.sum((F.col("matched") > 1).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        kept = j.withColumn("above", F.coalesce(above, F.lit(0))).where((F.col("n") < 2) | (F.col("matched") > 1) | F.col("rare") | (F.col("above") < limit))
+        return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+    hits = hits.withColumn("credit", credit)
+    top = rank(hits)
+    if members:
+        types = top.where(F.col("kind").isin(*CONTAINER)).select("query", F.col("symbol_id").alias("parent_symbol_id"))
+        inside = types.join(names.select("symbol_id", "parent_symbol_id"), "parent_symbol_id")
+        own = hits.select("query", "symbol_id", "term")
+        bears = inside.join(own.select("query", "symbol_id").distinct(), ["query", "symbol_id"], "left_semi")
+        owner = hits.where("name_credit > 0").select("query", F.col("symbol_id").alias("parent_symbol_id"), "term", "weight")
+        weak = bears.join(owner, ["query", "parent_symbol_id"]).join(own, ["query", "symbol_id", "term"], "left_anti")
+        weak = weak.groupBy("query", "symbol_id", "term", "weight").agg(F.lit(0.0).alias("name_credit"), F.lit(0).alias("sig"), F.lit(0).alias("doc"), F.lit(TEXT_HIT).alias("credit"))
+        top = rank(hits.unionByName(weak))
+    return top.select("query", "symbol_id", "score", "place")
+
+
+def module_name(path: Column, lang: Column) -> Column:
+    """The name by which code refers to a file as a module: its stem, or its folder's where the file stands for it
+    (__init__.py, index.ts, mod.rs, and any Go file)."""
+    stem = F.regexp_extract(path, r"([^/\\]*?)(?:\.[^./\\]*)?$", 1)
+    above = F.regexp_extract(path, r"([^/\\]*)[/\\][^/\\]*$", 1)
+    whole = stem.isin("__init__", "index", "mod") | F.coalesce(lang == "go", F.lit(False))
+    return F.nullif(F.when(whole, above).otherwise(stem), F.lit(""))
+
+
+def of_kind(symbols: DataFrame, kind: str) -> DataFrame:
+    """The symbols of a kind, as it is stored or as it is shown."""
+    return symbols.where((F.col("kind") == kind) | F.coalesce(display_kind(F.col("kind"), F.col("language"), F.col("name")) == kind, F.lit(False)))
+
+
+def by_id(symbols: DataFrame, ids: DataFrame) -> DataFrame:
+    """(asked, and the symbol's columns): the symbols of ids (asked); an id that is none is no name either and gives no row."""
+    return symbols.join(ids.select("asked").where("asked IS NOT NULL").distinct(), F.col("symbol_id") == F.col("asked"))
+
+
+def select(symbols: DataFrame, asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(asked, symbol_id, state): what selectors (asked: an id or a name, hash: that of the file as it was seen, or null)
+    mean: an id, else the only symbol of that name; state is found, ambiguous, missing, or stale where the file (file_id,
+    content_hash) has changed since."""
+    ids = asked.join(symbols.select(F.col("symbol_id").alias("asked"), F.col("symbol_id").alias("by_id"), F.col("file_id").alias("f1")), "asked", "left")
+    names = symbols.where("name IS NOT NULL").groupBy(F.col("name").alias("asked")).agg(F.count("*").alias("n"), F.min("symbol_id").alias("by_name"), F.min("file_id").alias("f2"))
+    j = ids.join(names, "asked", "left").withColumn("symbol_id", F.coalesce("by_id", F.when(F.col("n") == 1, F.col("by_name")))).withColumn("file_id", F.coalesce("f1", F.when(F.col("n") == 1, F.col("f2"))))
+    j = j.join(files.select("file_id", "content_hash"), "file_id", "left")
+    state = (F.when(F.col("by_id").isNull() & (F.col("n") > 1), "ambiguous").when(F.col("symbol_id").isNull(), "missing")
+             .when(F.col("hash").isNotNull() & ~F.col("hash").eqNullSafe(F.col("content_hash")), "stale").otherwise("found"))
+    return j.select("asked", "symbol_id", state.alias("state"))
+
+
+def answer(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query, source, symbol_id, name, place): what a lookup answers. Names that equal, begin with or contain the query
+    come first (source name), imports of one name folded into the first of them and local variables left out. A plain
+    query that no name equals is also searched by its words (source search). A query without either gets names that are
+    spelt nearly so (source suggestion, no id). Queries without any answer have no row."""
+    s = symbols.join(local_variables(symbols), "symbol_id", "left_anti")
+    names = by_name(s, queries, 4 * limit).join(s.select("symbol_id", "name", "kind"), "symbol_id")
+    first = F.row_number().over(Window.partitionBy("query", "name").orderBy("place"))
+    fold = names.withColumn("nth", F.when(F.col("kind") == "import", F.row_number().over(Window.partitionBy("query", "name", "kind").orderBy("place"))).otherwise(first * 0 + 1)).where("nth = 1")
+    named = fold.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("rn") <= limit).select("query", F.lit("name").alias("source"), "symbol_id", "name", F.col("rn").alias("place"))
+    exact = names.where("match = 'exact'").select("query").distinct()
+    open_ = queries.where("query IS NOT NULL AND query <> ''").select("query").distinct().join(exact, "query", "left_anti")
+    plain = open_.where(F.col("query").rlike(r"^[\w$ ]+$"))
+    found = search_all_fields(s, plain, limit).join(s.select("symbol_id", "name"), "symbol_id").join(named.select("query", "symbol_id"), ["query", "symbol_id"], "left_anti")
+    ranked = found.select("query", F.lit("search").alias("source"), "symbol_id", "name", "place")
+    empty = open_.join(named.select("query").unionByName(ranked.select("query")).distinct(), "query", "left_anti")
+    near = suggestions(s, empty.select(F.col("query").alias("asked")))
+    close = near.select(F.col("asked").alias("query"), F.lit("suggestion").alias("source"), F.lit(None).cast("string").alias("symbol_id"), "name", F.row_number().over(Window.partitionBy("asked").orderBy("distance", "name")).alias("place"))
+    return named.unionByName(ranked).unionByName(close)
 
 
 def _file_stem(path: Column) -> Column:

@@ -23,7 +23,7 @@ def label_rank(label: Column) -> Column:
 def parameters(signature: Column) -> Column:
     """The parameters of a signature as texts, without receivers; empty where it has no brackets."""
     inner = F.regexp_extract(F.coalesce(signature, F.lit("")), r"[A-Za-z0-9_>]\s*\(([^()]*)\)", 1)
-    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(parts, lambda x: ~x.rlike(r"^(&?(mut )?self|&?'\w+ self|self|cls|this)$"))
 
 

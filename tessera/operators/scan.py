@@ -123,3 +123,56 @@ def reconcile(disk: DataFrame, files: DataFrame, skipped: DataFrame, unreadable:
               .when(seen & indexed & (~F.col("bytes").eqNullSafe(F.col("content_bytes")) | ~F.col("hash").eqNullSafe(F.col("content_hash"))), "modified")
               .when(~seen & indexed & safe, "deleted"))
     return j.select("path", change.alias("change")).where("change IS NOT NULL")
+
+
+# What stands in the top folder of a project.
+ROOT_MARKS = (".git", "Cargo.toml", "package.json", "go.mod", "pyproject.toml")
+
+
+def project_roots(paths: DataFrame) -> DataFrame:
+    """(folder): the folders that hold one of the files or folders that mark a project's top; '' for the root itself."""
+    p = F.replace("path", F.lit("\\"), F.lit("/"))
+    mark = "|".join(re.sub(r"([.])", r"\\\1", m) for m in ROOT_MARKS)
+    return paths.select(F.regexp_extract(p, rf"^(.*?/)?(?:{mark})(?:/.*)?$", 1).alias("f"), p.rlike(rf"(^|/)(?:{mark})(/|$)").alias("hit")).where("hit").select(F.regexp_replace("f", "/$", "").alias("folder")).distinct()
+
+
+def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path, ignored): whether the rules of ignore files leave a path out. rules: (folder, line, regex, negated, folders):
+    of a rule's folder and below, the last matching rule holds; a deeper folder's rules come after those above it. A rule
+    for folders alone (folders) matches what lies in one. A path in a folder that is left out stays out."""
+    parts = F.split("path", "/")
+    # every leading part of a path is judged; one that is out takes the path with it
+    heads = paths.select("path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"), F.size(parts).alias("size")).select("path", F.array_join(F.slice(F.split("path", "/"), 1, F.col("n")), "/").alias("head"), (F.col("n") < F.col("size")).alias("is_folder"))
+    above = F.transform(F.sequence(F.lit(0), F.size(F.split("head", "/")) - 1), lambda i: F.array_join(F.slice(F.split("head", "/"), 1, i), "/"))
+    hits = heads.select("path", "head", "is_folder", F.explode(above).alias("folder")).join(rules, "folder").where(F.expr("head RLIKE regex AND (NOT folders OR is_folder)"))
+    last = hits.groupBy("path", "head").agg(F.max_by("negated", F.struct(F.size(F.split("folder", "/")), F.length("folder"), F.col("line"))).alias("negated"))
+    out = last.where("NOT negated").select("path").distinct().withColumn("ignored", F.lit(True))
+    return paths.join(out, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
+def ignore_rules(folder_: str, text: str) -> list[tuple[str, int, str, bool, bool]]:
+    """(folder, line, regex, negated, folders) of an ignore file's lines."""
+    out = []
+    for n, line in enumerate(text.splitlines()):
+        s = line.rstrip()
+        if not s or s.startswith("#"):
+            continue
+        negated, s = s.startswith("!"), s.lstrip("!") if s.startswith("!") else s
+        folders, s = s.endswith("/"), s.rstrip("/")
+        anchored, s = "/" in s, s.lstrip("/")
+        r = ""
+        i = 0
+        while i < len(s):
+            if s.startswith("**/", i):
+                r, i = r + "(?:.*/)?", i + 3
+            elif s.startswith("/**", i) and i + 3 == len(s):
+                r, i = r + "/.*", i + 3
+            elif s[i] == "*":
+                r, i = r + "[^/]*", i + 1
+            elif s[i] == "?":
+                r, i = r + "[^/]", i + 1
+            else:
+                r, i = r + re.sub(r"([^\w/])", r"\\\1", s[i]), i + 1
+        base = re.sub(r"([^\w/])", r"\\\1", folder_)
+        out.append((folder_, n, "^" + (base + "/" if base else "") + ("" if anchored else "(?:.*/)?") + r + "$", negated, folders))
+    return out

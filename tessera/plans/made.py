@@ -34,8 +34,8 @@ def _lang(n: str) -> str:
 
 
 # The same text makes the tables in both engines; what differs is given by name.
-_TYPES = f"""SELECT concat('T', s_suppkey) AS symbol_id, concat('T', s_suppkey % 50) AS name, 'class' AS kind, {_path("s_suppkey")} AS path, {_lang("s_suppkey")} AS language,
-  CASE WHEN s_suppkey % 5 = 0 THEN concat('N', s_suppkey % 40) END AS parent_symbol_id, concat('class T', s_suppkey % 50, CASE WHEN s_suppkey % 3 = 0 THEN concat('(T', s_suppkey * 7 % 50, ', T', s_suppkey * 11 % 60, ')') ELSE '' END) AS signature, 1 AS start_line, 500 AS end_line FROM supplier"""
+_TYPES = f"""SELECT concat('T', s_suppkey) AS symbol_id, concat('T', CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 50 ELSE s_suppkey + 100 END) AS name, 'class' AS kind, {_path("s_suppkey")} AS path, {_lang("s_suppkey")} AS language,
+  CASE WHEN s_suppkey % 5 = 0 THEN concat('N', s_suppkey % 40) END AS parent_symbol_id, concat('class T', s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN concat('(T', s_suppkey + 101 + s_suppkey % 2, ', T', s_suppkey * 11 % 60, ')') ELSE '' END) AS signature, 1 AS start_line, 500 AS end_line FROM supplier"""
 _SPACES = f"""SELECT DISTINCT concat('N', s_suppkey % 40) AS symbol_id, concat('space', s_suppkey % 40 % 11) AS name, 'namespace' AS kind, {_path("s_suppkey % 40")} AS path, {_lang("s_suppkey % 40")} AS language,
   CAST(NULL AS {{string}}) AS parent_symbol_id, CAST(NULL AS {{string}}) AS signature, 1 AS start_line, 900 AS end_line FROM supplier"""
 _PARTS = f"""SELECT concat('M', p_partkey) AS symbol_id, concat('m', p_partkey % 197) AS name, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 11 = 0 THEN 'function' ELSE 'method' END AS kind,
