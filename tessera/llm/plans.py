@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import docpairs, encode, handwritten, mixture, quantiles, spam
 from tessera.llm.sql import SQL
+from tessera.session import cut
 from tessera.sources.tables import table
 
 
@@ -69,6 +70,12 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def p9_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source has and is to give, before anything is drawn."""
+    sizes = cut(mixture.sized(table(spark, folder, "documents")), "sizes")
+    return mixture.plan(sizes, table(spark, folder, "mix_targets")).drop("rate")
+
+
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[0].where("copies > 0")
 
@@ -81,6 +88,11 @@ def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_scores(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_agreement, p4_found, p4_files, p6_percentiles, p6_daily_sketch, p8_ids, p8_round_trip, p9_found, p9_report, p9_mixture, p10_found, p10_scores)}
+def p10_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """The host of each page that links to any."""
+    return spam.spam_scores(table(spark, folder, "documents")).where("host IS NOT NULL").select("doc_id", "host")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p3_agreement, p4_found, p4_files, p6_percentiles, p6_daily_sketch, p8_ids, p8_round_trip, p9_found, p9_plan, p9_report, p9_mixture, p10_found, p10_hosts, p10_scores)}
 
 __all__ = ["QUERIES", "SQL"]

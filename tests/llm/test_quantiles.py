@@ -1,12 +1,8 @@
 import datetime as dt
-import os
 import random
 
 import pytest
-from compare import same, views
-
 from tessera.llm import quantiles
-from tessera.llm.plans import QUERIES, SQL
 
 LOG = "id string, timestamp timestamp_ntz, workspace_name string, tool string, duration_ms bigint, day string, n string, bucket string"  # the last three clash with names used inside
 T = dt.datetime(2026, 3, 1, 10, 0, 0)
@@ -52,11 +48,3 @@ def test_summaries_of_parts_add_up(spark):
 @pytest.mark.parametrize("op", [quantiles.daily_sketches, lambda d: quantiles.duration_percentiles(quantiles.daily_sketches(d))])
 def test_empty_log(spark, op):
     assert op(log(spark, [])).collect() == []
-
-
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_against_sql(spark, name):
-    data = "/root/testdata/sf0.001"
-    if not os.path.isdir(data):
-        pytest.skip("no test data")
-    assert same(QUERIES[name](spark, data), views(data), SQL[name]) == ""
