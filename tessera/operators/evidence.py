@@ -246,3 +246,25 @@ def type_parameters(signature: Column) -> Column:
     """Names that a signature declares as type parameters: a receiver of such a type may be anything."""
     inner = F.regexp_extract(signature, r"^[^(]*?<([^<>]*)>", 1)
     return F.filter(F.transform(F.split(inner, ","), lambda x: F.regexp_extract(F.trim(x), r"^(?:const\s+|in\s+|out\s+)?([A-Za-z_]\w*)", 1)), lambda x: x != "")
+
+
+def report(sites: DataFrame, symbols: DataFrame, around: DataFrame, above: DataFrame, typed: DataFrame, imports: DataFrame, ranges: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(site, label, basis, target): the whole judgement of sites: claims, verdicts and, where ranges and groups of them
+    are given, the exclusion by arguments. A report for an edit leaves these out, as the edit changes them."""
+    judged = decide(sites, symbols, claims(sites, symbols, around, above, typed, imports), typed)
+    return judged if ranges is None else exclude_by_count(judged, sites, ranges, groups)
+
+
+def with_removed(symbols: DataFrame, removed: DataFrame) -> DataFrame:
+    """symbols with those that an edit has removed (the same columns) put back, so that their old uses can be judged."""
+    return symbols.unionByName(removed.join(symbols.select("symbol_id"), "symbol_id", "left_anti"), allowMissingColumns=True)
+
+
+def rebound(judged: DataFrame, sites: DataFrame, removed: DataFrame, bindings: DataFrame) -> DataFrame:
+    """The verdicts for removed definitions, without those by their old file where that file now imports the name (path,
+    name): there the name means what is imported."""
+    gone = removed.select(F.col("symbol_id").alias("target"), "name", "path")
+    now = gone.join(bindings.select("path", "name").distinct(), ["path", "name"]).select("target", F.col("path").alias("old_path"))
+    j = judged.join(sites.select("site", "path"), "site").join(now, "target", "left")
+    void = F.coalesce((F.col("basis") == "same file") & (F.col("path") == F.col("old_path")), F.lit(False))
+    return j.select("site", F.when(void, "excluded").otherwise(F.col("label")).alias("label"), F.when(void, "imported now").otherwise(F.col("basis")).alias("basis"), F.when(~void, F.col("target")).alias("target"))

@@ -26,11 +26,13 @@ RESULT = ("symbol_id string, component string, root_symbol_id string, depth int,
 def nodes_of(symbols: DataFrame) -> DataFrame:
     """Each symbol once: symbol_id, parent (null where null or blank in all copies), and a place (file and byte window)
     that neighbours in the tree mostly share. Copies of a row agree but for nulls, so the greatest non-null value of
-    each column is taken."""
+    each column is taken. Symbols without a place are spread by their id, so no group of them grows with the table."""
     parent = F.when(F.trim("parent_symbol_id") != "", F.col("parent_symbol_id"))
-    return symbols.where("symbol_id IS NOT NULL").groupBy("symbol_id").agg(
-        F.max(parent).alias("parent"), F.max("file_id").alias("file_id"),
-        F.floor(F.max("start_byte") / F.lit(WINDOW_BYTES)).cast("int").alias("window"))
+    spread_ = F.pmod(F.xxhash64("symbol_id"), F.lit(4096)).cast("int")
+    one = symbols.where("symbol_id IS NOT NULL").groupBy("symbol_id").agg(
+        F.max(parent).alias("parent"), F.max("file_id").alias("file_id"), F.floor(F.max("start_byte") / F.lit(WINDOW_BYTES)).cast("int").alias("window"))
+    return one.select("symbol_id", "parent", F.coalesce("file_id", F.lit("")).alias("file_id"), F.when(F.col("file_id").isNotNull(), F.col("window")).alias("window")).withColumn(
+        "window", F.coalesce("window", -1 - spread_))
 
 
 def _tops(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

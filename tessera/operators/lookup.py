@@ -127,6 +127,16 @@ def suggestions(names: DataFrame, asked: DataFrame, edits: int = 2, limit: int =
     return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("asked", "name", "distance")
 
 
+def searchable(symbols: DataFrame) -> DataFrame:
+    """The symbols that the full-text index holds: all but local variables."""
+    return symbols.join(local_variables(symbols), "symbol_id", "left_anti")
+
+
+def index_ready(metadata: DataFrame, rule: str) -> bool:
+    """Whether the index was built by the rule that is in force, as the metadata (key, value) says."""
+    return bool(metadata.where((F.col("key") == "fts_rule") & (F.col("value") == rule)).head(1))
+
+
 def postings(symbols: DataFrame) -> DataFrame:
     """The full-text index: (term, symbol_id, field) of name tokens and of words in signature and documentation head
     (field 'name' or 'text')."""
@@ -307,7 +317,7 @@ def answer(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame
     come first (source name), imports of one name folded into the first of them and local variables left out. A plain
     query that no name equals is also searched by its words (source search). A query without either gets names that are
     spelt nearly so (source suggestion, no id). Queries without any answer have no row."""
-    s = symbols.join(local_variables(symbols), "symbol_id", "left_anti")
+    s = searchable(symbols)
     names = by_name(s, queries, 4 * limit).join(s.select("symbol_id", "name", "kind"), "symbol_id")
     first = F.row_number().over(Window.partitionBy("query", "name").orderBy("place"))
     fold = names.withColumn("nth", F.when(F.col("kind") == "import", F.row_number().over(Window.partitionBy("query", "name", "kind").orderBy("place"))).otherwise(first * 0 + 1)).where("nth = 1")

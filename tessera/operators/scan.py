@@ -36,6 +36,26 @@ def find_word(lines: DataFrame, word: str) -> DataFrame:
     return lines.where(F.contains("text", F.lit(word)) & F.col("text").rlike(rf"(?<![A-Za-z0-9_$]){w}(?![A-Za-z0-9_$])")).select("path", "line").distinct()
 
 
+def coverage(texts: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+    """One row about what a word scan over texts (path, content) can read: files, read, too_large (beyond most_bytes),
+    binary, unreadable (null)."""
+    size, n = F.octet_length("content"), lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    large, bin_ = size > most_bytes, is_binary(F.col("content"))
+    return texts.agg(F.count("*").alias("files"), n(F.col("content").isNotNull() & ~large & ~bin_).alias("read"), n(large).alias("too_large"), n(~large & bin_).alias("binary"), F.count_if(F.col("content").isNull()).alias("unreadable"))
+
+
+def readable_texts(texts: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+    """The texts that a word scan reads: not null, not beyond most_bytes, not binary."""
+    return texts.where(F.col("content").isNotNull() & (F.octet_length("content") <= most_bytes) & ~is_binary(F.col("content")))
+
+
+def listing(files: DataFrame, depth: int | None = None, most: int = 1000) -> DataFrame:
+    """The first `most` files by path, down to a number of path segments if given, each with whether there are more (cut)."""
+    f = files if depth is None else files.where(F.size(F.split("path", "/")) <= depth)
+    top = f.orderBy("path").limit(most + 1).withColumn("rn", F.row_number().over(Window.orderBy("path")))  # at most `most` + 1 rows
+    return top.withColumn("cut", F.max("rn").over(Window.partitionBy(F.lit(1))) > most).where(F.col("rn") <= most).drop("rn")
+
+
 def byte_slice(text: Column, start: Column, end: Column) -> Column:
     """The text between two offsets in its UTF-8 bytes. An offset inside a character is moved outwards: the start to where
     the character begins, the end to where it ends; offsets beyond the text are cut to its length. Null where an offset is

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of time windows and the days that rolling ones go back; None: from the start of the day or month.
@@ -36,11 +36,17 @@ def totals(log: DataFrame) -> DataFrame:
 
 
 def per_tool(log: DataFrame) -> DataFrame:
-    """One row for each tool, with exact nearest-rank percentiles of the duration (the value at place ceil(p * n))."""
+    """One row for each tool, with exact nearest-rank percentiles of the duration (the value at place ceil(p * n)); a null
+    tool is a tool of its own. Calls are counted by tool and duration before the shuffle, and places are running sums over
+    the sorted durations of a tool, so no task holds a tool's calls or the table of its values in memory."""
     o = F.col("outcome")
-    rank = lambda p: F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY duration_ms) AS BIGINT)")
-    return log.groupBy("tool").agg(F.count("*").alias("calls"), _sum(o == "ok").alias("ok"), _sum(o == "empty").alias("empty"), _sum(o == "error").alias("errors"),
-                                   F.round(F.avg("duration_ms"), 6).alias("mean_ms"), _sum(F.col("est_tokens")).alias("est_tokens"), rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"))
+    by = log.groupBy("tool", "duration_ms").agg(F.count("*").alias("calls"), _sum(o == "ok").alias("ok"), _sum(o == "empty").alias("empty"), _sum(o == "error").alias("errors"), F.sum("est_tokens").alias("est_tokens"))
+    n = F.when(F.col("duration_ms").isNotNull(), F.col("calls")).otherwise(0)
+    tool = Window.partitionBy("tool")
+    rows = by.withColumn("n", n).withColumn("upto", F.sum("n").over(tool.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(tool))
+    at = lambda p: F.max(F.when((F.col("upto") >= F.expr(f"(total * {p} + 99) div 100")) & (F.col("upto") - F.col("n") < F.expr(f"(total * {p} + 99) div 100")), F.col("duration_ms")))
+    mean = F.sum(F.col("duration_ms").cast("decimal(20,0)") * F.col("n")).cast("double") / F.nullif(F.sum("n"), F.lit(0))
+    return rows.groupBy("tool").agg(*[F.sum(c).alias(c) for c in ("calls", "ok", "empty", "errors")], F.round(mean, 6).alias("mean_ms"), F.coalesce(F.sum("est_tokens"), F.lit(0)).alias("est_tokens"), at(50).alias("p50_ms"), at(95).alias("p95_ms"))
 
 
 def recent_errors(log: DataFrame, n: int = 10) -> DataFrame:

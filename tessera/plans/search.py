@@ -45,7 +45,7 @@ def name_suggestions(spark, folder):
 
 
 def document_frequencies(spark, folder):
-    return lookup.document_frequency(lookup.postings(facts.symbols(spark, folder)))
+    return lookup.document_frequency(lookup.postings(lookup.searchable(facts.symbols(spark, folder))))
 
 
 def ranked_search(spark, folder):
@@ -100,7 +100,9 @@ SQL = {
       m AS (SELECT asked, name, imported, levenshtein(lower(asked), lower(name)) AS distance FROM q, n WHERE abs(len(asked) - len(name)) <= 2),
       o AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY distance, imported, name) AS rn FROM m WHERE distance BETWEEN 1 AND 2)
       SELECT asked, name, distance::INTEGER AS distance FROM o WHERE rn <= 3""",
-    "document_frequencies": f"WITH {_S}, {_INDEX} SELECT term, df FROM df",
+    "document_frequencies": f"""WITH RECURSIVE {_S.replace("s AS (SELECT s0", "s_ AS (SELECT s0")}, lv AS (SELECT symbol_id, parent_symbol_id AS at, 1 AS d FROM s_ WHERE kind = 'variable' AND parent_symbol_id IS NOT NULL
+        UNION ALL SELECT lv.symbol_id, p.parent_symbol_id, d + 1 FROM lv JOIN s_ p ON p.symbol_id = lv.at WHERE p.kind = 'variable' AND p.parent_symbol_id IS NOT NULL AND p.parent_symbol_id <> lv.symbol_id AND d < 1000),
+      s AS (SELECT * FROM s_ WHERE symbol_id NOT IN (SELECT lv.symbol_id FROM lv JOIN s_ p ON p.symbol_id = lv.at WHERE p.kind IN ('function', 'method', 'constructor'))), {_INDEX} SELECT term, df FROM df""",
     "ranked_search": f"""WITH {_S}, {_ASKED}, {_INDEX}, total AS (SELECT count(*) AS n FROM s),
       q0 AS (SELECT DISTINCT name AS query, list_distinct({_TOKENS.format("name")}) AS t FROM a),
       q AS (SELECT query, CASE WHEN len(list_filter(t, lambda x: NOT list_contains({list(STOP_WORDS)!r}, x))) > 0 THEN list_filter(t, lambda x: NOT list_contains({list(STOP_WORDS)!r}, x)) ELSE t END AS terms FROM q0),

@@ -58,7 +58,10 @@ def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as the session has cores, where it has fewer: a small file is one split, but what Python
     does with it may take long. Larger inputs stay as they are and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():  # to count its partitions would run its stages
+        return df
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -106,6 +109,10 @@ def stamp(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple:
 def once(spark: SparkSession, folder: str, name: str, sources: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
     """build(), written once for this application and this state of the source tables, like an index: later calls read it."""
     key = (spark.sparkContext.applicationId, folder, name, stamp(spark, folder, sources))
+    if key in _made:  # the shared folder may have been cleared meanwhile
+        p = spark._jvm.org.apache.hadoop.fs.Path(_made[key][1])
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            del _made[key]
     if key not in _made:
         df = cut(build(), name)
         _made[key] = df, _written[-1][1]

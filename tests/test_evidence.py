@@ -133,3 +133,21 @@ def test_owners_hierarchies_and_reach(spark, rows):
 def test_small_helpers(spark):
     r = spark.range(1).select(evidence.type_parameters(F.lit("fn a<T: Clone, const N, 'a>(x: T)")).alias("a"), evidence.type_parameters(F.lit("f(x<y>)")).alias("b"), evidence.related(F.lit("A"), F.lit("B"), F.array(F.lit("B"))).alias("c")).first()
     assert r.a == ["T", "N"] and r.b == [] and r.c is True
+
+
+def test_reports_and_removed_targets(spark, code):
+    s, around, above = code
+    calls, typed, _, decided, seen = judged(spark, code, ("few", "g", "lonely", "p/c.py", "python", None, [], 0), ("old", "A.go", "gone", "p/a.py", "python", None, [], None))
+    ranges = spark.createDataFrame([("far", 1, 3)], "symbol_id string, least int, most int")
+    groups = spark.createDataFrame([("lonely", 1, 3)], "name string, least int, most int")
+    plain = {r.site: r.label for r in evidence.report(calls, s, around, above, typed, seen).collect()}
+    full = {r.site: r.label for r in evidence.report(calls, s, around, above, typed, seen, ranges, groups).collect()}
+    assert plain["few"] == "likely" and full["few"] == "excluded" and plain["old"] == "external" and plain == {r.site: r.label for r in decided.collect()}
+    removed = table(spark, ("X", "gone", "function", "p/a.py", "python", None), ("f", "free", "function", "p/a.py", "python", None))
+    back = evidence.with_removed(s, removed)
+    assert back.count() == s.count() + 1
+    again = evidence.report(calls, back, evidence.scopes(walk.ancestors(back), back), above, typed, seen)
+    assert {r.site: (r.label, r.target) for r in again.collect()}["old"] == ("proven", "X")
+    bound = spark.createDataFrame([("p/a.py", "gone")], "path string, name string")
+    r = {x.site: (x.label, x.basis) for x in evidence.rebound(again, calls, removed, bound).collect()}
+    assert r["old"] == ("excluded", "imported now") and r["file"] == ("proven", "same file") and len(r) == len(plain)

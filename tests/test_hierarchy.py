@@ -82,3 +82,11 @@ def test_descendants_and_empty(spark, rows):
     t = table(spark, [("a", None, "f", 0), ("b", "a", "f", 1), ("c", "b", "g", 2), ("x", "x", "g", 2)])
     assert rows(hierarchy.descendants(hierarchy.hierarchy(t))) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
     assert hierarchy.hierarchy(table(spark, [])).collect() == []
+
+
+def test_symbols_without_a_place(spark):
+    links = [(f"s{k}", f"s{k - 1}" if k % 50 else None, None if k % 3 else "f", None) for k in range(300)]
+    nodes = hierarchy.nodes_of(table(spark, links))
+    assert nodes.where("window IS NULL OR file_id IS NULL").count() == 0 and nodes.select("window").distinct().count() > 200
+    got = {r.symbol_id: (r.root_symbol_id, r.depth, r.chain, r.cycle_symbol_id, r.on_cycle) for r in hierarchy.hierarchy(table(spark, links)).collect()}
+    assert got == brute(links)

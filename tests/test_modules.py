@@ -72,3 +72,17 @@ def test_roots_and_ignore_rules(spark, rows):
     r = spark.createDataFrame(top + deep, "folder string, line int, regex string, negated boolean, folders boolean")
     want = {"a.log": True, "keep.log": False, "sub/x.log": False, "sub/y.log": True, "build/x.c": True, "build": False, "only.txt": True, "sub/only.txt": False, "docs/a/b/tmp": True, "sub/local/z": True, "local": False, "build/keep.log": True}
     assert {x.path: x.ignored for x in scan.ignored(files(spark, *want), r).collect()} == want
+
+
+def test_scan_coverage_and_listing(spark, rows):
+    t = spark.createDataFrame([("a", "text"), ("b", "x\x00y"), ("c", None), ("d", "long " * 10), ("e", "")], "path string, content string")
+    assert tuple(scan.coverage(t, 20).first()) == (5, 2, 1, 1, 1) and rows(scan.readable_texts(t, 20).select("path")) == [("a",), ("e",)] and tuple(scan.coverage(t.limit(0)).first()) == (0, 0, 0, 0, 0)
+    f = files(spark, "a", "b/c", "b/d/e")
+    assert rows(scan.listing(f, most=2)) == [("a", True), ("b/c", True)] and rows(scan.listing(f, most=3)) == [("a", False), ("b/c", False), ("b/d/e", False)] and rows(scan.listing(f, depth=1)) == [("a", False)]
+
+
+def test_search_index_state(spark):
+    from tessera.operators import lookup
+
+    m = spark.createDataFrame([("fts_rule", "2")], "key string, value string")
+    assert lookup.index_ready(m, "2") and not lookup.index_ready(m, "3") and not lookup.index_ready(m.limit(0), "2")
