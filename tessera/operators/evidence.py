@@ -268,3 +268,56 @@ def rebound(judged: DataFrame, sites: DataFrame, removed: DataFrame, bindings: D
     j = judged.join(sites.select("site", "path"), "site").join(now, "target", "left")
     void = F.coalesce((F.col("basis") == "same file") & (F.col("path") == F.col("old_path")), F.lit(False))
     return j.select("site", F.when(void, "excluded").otherwise(F.col("label")).alias("label"), F.when(void, "imported now").otherwise(F.col("basis")).alias("basis"), F.when(~void, F.col("target")).alias("target"))
+
+
+def bind_overloads(calls: DataFrame, overloads: DataFrame) -> DataFrame:
+    """(site, symbol_id): the one overload that each call can mean. calls: site, scope, name, args, arg_names and arg_types
+    (arrays, null where nothing is known of an argument). overloads: symbol_id, scope, name, least, most, names and types of
+    the parameters. An overload must take so many arguments, have all their names, and no argument may be of a type that
+    is known and another than the parameter's. Calls that several or none fit are left out. Shapes of calls are judged,
+    each once for a group of overloads, however many calls have it."""
+    shape = ["scope", "name", "args", "arg_names", "arg_types"]
+    none = F.array().cast("array<string>")
+    c = calls.select("site", "scope", "name", "args", F.coalesce("arg_names", none).alias("arg_names"), F.coalesce("arg_types", none).alias("arg_types"))
+    o = overloads.select("scope", "name", "symbol_id", "least", "most", F.coalesce("names", none).alias("names"), F.coalesce("types", none).alias("types"))
+    j = c.select(*shape).distinct().join(o, ["scope", "name"])
+    count = (F.col("args") >= F.col("least")) & (F.col("most").isNull() | (F.col("args") <= F.col("most")))
+    named = F.size(F.array_except(F.array_compact("arg_names"), "names")) == 0
+    wrong = F.exists(F.zip_with("arg_types", F.slice("types", F.lit(1), F.size("arg_types")), lambda a, b: a.isNotNull() & b.isNotNull() & (a != b)), lambda x: x)
+    fit = j.where(count & named & ~F.coalesce(wrong, F.lit(False))).groupBy(*shape).agg(F.count("*").alias("n"), F.min("symbol_id").alias("symbol_id")).where("n = 1").drop("n")
+    return c.join(fit, shape).select("site", "symbol_id")
+
+
+def exclude_other_overloads(judged: DataFrame, bound: DataFrame, groups: DataFrame) -> DataFrame:
+    """judged (site, label, basis, target), with sites excluded that bind (site, symbol_id) another overload of their
+    target's group (symbol_id, group)."""
+    g = groups.select("symbol_id", "group")
+    of = bound.join(g, "symbol_id").select("site", F.col("symbol_id").alias("bound_id"), F.col("group").alias("bound_group"))
+    j = judged.join(of, "site", "left").join(g.select(F.col("symbol_id").alias("target"), "group"), "target", "left")
+    other = F.coalesce((F.col("bound_group") == F.col("group")) & (F.col("bound_id") != F.col("target")), F.lit(False))
+    return j.select("site", F.when(other, "excluded").otherwise(F.col("label")).alias("label"), F.when(other, "binds another overload").otherwise(F.col("basis")).alias("basis"), F.when(~other, F.col("target")).alias("target"))
+
+
+def exclude_shadowed(judged: DataFrame, sites: DataFrame, around: DataFrame, local_names: DataFrame) -> DataFrame:
+    """judged, with bare sites excluded whose name an enclosing scope declares as its own (scope, name: parameters and
+    local variables): what they use is that. Sites that something else than a bare name proves stay."""
+    bare = sites.where("receiver IS NULL AND (namespace IS NULL OR size(namespace) = 0)").select("site", F.col("from_symbol_id").alias("symbol_id"), "name")
+    own = bare.join(around, "symbol_id").join(local_names.select("scope", "name").distinct(), ["scope", "name"]).select("site", F.lit(True).alias("own")).distinct()
+    j = judged.join(own, "site", "left")
+    hit = F.coalesce("own", F.lit(False))
+    return j.select("site", F.when(hit, "excluded").otherwise(F.col("label")).alias("label"), F.when(hit, "local name").otherwise(F.col("basis")).alias("basis"), F.when(~hit, F.col("target")).alias("target"))
+
+
+def type_identity(uses: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
+    """(site, type_id, how): which type (symbol_id, name, path) a type name at a site (site, name, path) means: the one in
+    the same file, else in an imported file (path, imported), else in the same folder, else the only one of the name;
+    several at the first of these that has any say nothing."""
+    t = types.select("symbol_id", "name", "path", folder(F.col("path")).alias("folder"))
+    one = lambda *keys: t.groupBy("name", *keys).agg(F.count("*").alias("n"), F.min("symbol_id").alias("id"))
+    u = uses.select("site", "name", "path", folder(F.col("path")).alias("folder"))
+    add = lambda rank, how, d: d.select("site", F.lit(rank).alias("rank"), F.lit(how).alias("how"), "n", "id")
+    seen = imports.select("path", "imported").distinct()
+    far = u.join(seen, "path").join(one("path").withColumnRenamed("path", "imported"), ["name", "imported"]).groupBy("site").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    rows = [add(1, "same file", u.join(one("path"), ["name", "path"])), add(2, "import", far), add(3, "same folder", u.join(one("folder"), ["name", "folder"])), add(4, "only one", u.join(one(), "name"))]
+    best = reduce(DataFrame.unionByName, rows).groupBy("site").agg(F.min(F.struct("rank", "n", "id", "how")).alias("b"))
+    return best.where("b.n = 1").select("site", F.col("b.id").alias("type_id"), "b.how")

@@ -151,3 +151,26 @@ def test_reports_and_removed_targets(spark, code):
     bound = spark.createDataFrame([("p/a.py", "gone")], "path string, name string")
     r = {x.site: (x.label, x.basis) for x in evidence.rebound(again, calls, removed, bound).collect()}
     assert r["old"] == ("excluded", "imported now") and r["file"] == ("proven", "same file") and len(r) == len(plain)
+
+
+def test_overloads_by_count_names_and_types(spark, rows):
+    cols = "symbol_id string, scope string, name string, least int, most int, names array<string>, types array<string>"
+    o = spark.createDataFrame([("a", "f", "run", 1, 1, ["x"], ["int"]), ("b", "f", "run", 1, 1, ["y"], ["String"]), ("c", "f", "run", 2, None, ["x", "rest"], ["int", None])], cols)
+    call = "site string, scope string, name string, args int, arg_names array<string>, arg_types array<string>"
+    c = spark.createDataFrame([("typed", "f", "run", 1, None, ["String"]), ("named", "f", "run", 1, ["x"], None), ("open", "f", "run", 1, None, [None]), ("many", "f", "run", 7, [None], ["int", "z"]), ("none", "f", "run", 0, None, None), ("wrong", "f", "run", 1, None, ["bool"]), ("other", "g", "run", 1, None, None)], call)
+    bound = evidence.bind_overloads(c, o)
+    assert rows(bound) == [("many", "c"), ("named", "a"), ("typed", "b")]
+    judged_ = spark.createDataFrame([("typed", "proven", "same file", "a"), ("named", "proven", "same file", "a"), ("open", "likely", "name only", "a"), ("many", "likely", "name only", "z"), ("x", "external", "", None)], "site string, label string, basis string, target string")
+    groups = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("z", 2)], "symbol_id string, group int")
+    assert rows(evidence.exclude_other_overloads(judged_, bound, groups)) == [("many", "likely", "name only", "z"), ("named", "proven", "same file", "a"), ("open", "likely", "name only", "a"), ("typed", "excluded", "binds another overload", None), ("x", "external", "", None)]
+
+
+def test_shadowed_names_and_type_identity(spark, code, rows):
+    calls = sites(spark, ("s", "h", "free", "p/c.py", "python", None, [], None), ("q", "h", "free", "p/c.py", "python", "m", [], None), ("t", "G2", "free", "r/y.go", "go", None, None, None))
+    j = spark.createDataFrame([(x, "likely", "name only", "f") for x in "sqt"], "site string, label string, basis string, target string")
+    local_names = spark.createDataFrame([("g", "free"), ("g", "free"), ("A", "free")], "scope string, name string")
+    assert rows(evidence.exclude_shadowed(j, calls, code[1], local_names)) == [("q", "likely", "name only", "f"), ("s", "excluded", "local name", None), ("t", "likely", "name only", "f")]
+    types = spark.createDataFrame([("1", "T", "a/x"), ("2", "T", "a/y"), ("3", "T", "b/z"), ("4", "U", "c/u"), ("5", "V", "d/1"), ("6", "V", "d/2")], "symbol_id string, name string, path string")
+    uses = spark.createDataFrame([("own", "T", "a/x"), ("imp", "T", "q/w"), ("fold", "T", "b/k"), ("two", "T", "a/k"), ("only", "U", "z"), ("none", "W", "z"), ("both", "V", "q/w")], "site string, name string, path string")
+    seen = spark.createDataFrame([("q/w", "b/z"), ("q/w", "d/1"), ("q/w", "d/2")], "path string, imported string")
+    assert rows(evidence.type_identity(uses, types, seen)) == [("fold", "3", "same folder"), ("imp", "3", "import"), ("only", "4", "only one"), ("own", "1", "same file")]
