@@ -190,6 +190,19 @@ def made_arms(spark, f):
     return checks.missing_arms(arms, added)
 
 
+def made_type_identity(spark, f):
+    """Receivers that look like types as names of types."""
+    uses = calls(spark, f).where("receiver LIKE 'T%'").select("site", F.col("receiver").alias("name"), "path")
+    types = symbols(spark, f).where("kind = 'class'").select("symbol_id", "name", "path")
+    return evidence.type_identity(uses, types, _views(spark, f, _IMPORTS))
+
+
+def made_shadowed(spark, f):
+    """The verdicts, where every fifth callable declares its own name as a variable."""
+    own = symbols(spark, f).where("kind = 'function' AND CAST(substring(symbol_id, 2) AS INT) % 5 = 0").select(F.col("symbol_id").alias("scope"), F.expr("concat('m', CAST(substring(symbol_id, 2) AS INT) * 3 % 211)").alias("name"))
+    return evidence.exclude_shadowed(made_verdicts(spark, f), calls(spark, f), _around(spark, f), own)
+
+
 def made_groups(spark, f):
     """Rows of the report order with their places inside labels and accesses."""
     rows = _views(spark, f, f"SELECT concat('t', l_suppkey) AS target, concat('n', l_linenumber) AS name, CAST(l_orderkey AS INTEGER) AS column, a.* FROM ({_ACCESS.replace('FROM lineitem', ', l_suppkey, l_linenumber, l_orderkey FROM lineitem')}) a")
@@ -197,7 +210,7 @@ def made_groups(spark, f):
 
 
 QUERIES = {q.__name__: q for q in (made_type_ancestors, made_receiver_types, made_claims, made_verdicts, made_rivals, made_namespaces, made_hierarchy, made_overrides, made_inherited, made_nearest_types, made_owners, made_reach,
-                                   made_fixtures, made_test_cases, made_constructions, made_chains, made_access, made_access_counts, made_arms, made_groups)}
+                                   made_fixtures, made_test_cases, made_constructions, made_chains, made_access, made_access_counts, made_arms, made_type_identity, made_shadowed, made_groups)}
 
 _S = f"s AS MATERIALIZED ({_sql(' UNION ALL '.join((_TYPES, _SPACES, _PARTS)), **_DUCK)})"
 _FACTS = f"""{_S}, c AS MATERIALIZED ({_sql(_CALLS, **_DUCK)}), vr AS (SELECT DISTINCT * FROM ({_VARIABLES})), ie AS (SELECT path AS src, imported AS dst FROM ({_IMPORTS}))"""
@@ -254,6 +267,15 @@ SQL = {
       n AS (SELECT 'T' || n_nationkey AS owner, 'V' || (n_nationkey % 6) AS variant FROM nation)
       SELECT n.owner, m.match, string_agg(DISTINCT n.variant, ',' ORDER BY n.variant) AS missing FROM (SELECT match, min(owner) AS owner FROM a GROUP BY match HAVING count(*) FILTER (variant IS NULL) = 0) m JOIN n USING (owner)
       WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.match = m.match AND a.variant = n.variant) GROUP BY ALL""",
+    "made_type_identity": f"""WITH {_FACTS}, u AS (SELECT site, receiver AS name, path, {_FO.format("path")} AS fo FROM c WHERE receiver LIKE 'T%'), ty AS (SELECT symbol_id, name, path, {_FO.format("path")} AS fo FROM s WHERE kind = 'class'),
+      j AS (SELECT u.site, ty.symbol_id, CASE WHEN ty.path = u.path THEN 1 WHEN EXISTS (SELECT 1 FROM ie WHERE ie.src = u.path AND ie.dst = ty.path) THEN 2 WHEN ty.fo = u.fo THEN 3 ELSE 4 END AS r,
+        count(*) OVER (PARTITION BY u.site, u.name) AS every FROM u JOIN ty USING (name)),
+      k AS (SELECT *, min(r) OVER (PARTITION BY site) AS best FROM j),
+      q AS (SELECT site, best, min(symbol_id) AS type_id, count(*) AS n FROM k WHERE r = best GROUP BY ALL)
+      SELECT site, type_id, CASE best WHEN 1 THEN 'same file' WHEN 2 THEN 'import' WHEN 3 THEN 'same folder' ELSE 'only one' END AS how FROM q WHERE n = 1""",
+    "made_shadowed": f"""{_BASE}, own AS (SELECT symbol_id AS scope, 'm' || ({_NO} * 3 % 211) AS name FROM s WHERE kind = 'function' AND {_NO} % 5 = 0),
+      hit AS (SELECT DISTINCT c.site FROM c JOIN sc ON sc.symbol_id = c.from_symbol_id JOIN own ON own.scope = sc.scope AND own.name = c.name WHERE c.receiver IS NULL AND len(c.namespace) = 0)
+      SELECT vd.site, CASE WHEN hit.site IS NOT NULL THEN 'excluded' ELSE label END AS label, CASE WHEN hit.site IS NOT NULL THEN 'local name' ELSE basis END AS basis, CASE WHEN hit.site IS NULL THEN target END AS target FROM vd LEFT JOIN hit USING (site)""",
     "made_groups": f"""WITH a AS (SELECT 't' || l_suppkey AS target, 'n' || l_linenumber AS name, l_orderkey::INTEGER AS "column", x.path, x.line, x.label, x.access FROM ({_ACCESS.replace('FROM lineitem', ', l_suppkey, l_linenumber, l_orderkey FROM lineitem')}) x),
       o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {reports._RANK}, CASE access WHEN 'write' THEN 0 WHEN 'read_write' THEN 1 WHEN 'read' THEN 2 ELSE 3 END, path, line, "column", name)::INTEGER AS place FROM a)
       SELECT target, path, line, "column", name, place, min(place) OVER (PARTITION BY target, path) AS first FROM o""",
