@@ -35,21 +35,23 @@ def by_name(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFram
 
     Containment goes through an index of trigrams: a query is joined by its rarest trigram alone, and the hits are
     verified, so no query meets all names. Queries of one or two characters are joined with the runs of so many
-    characters. Names are looked up once each, however many symbols bear them.
+    characters. Names are looked up once each, however many symbols bear them, and as each has a symbol, only the first
+    `limit` names of a query are joined with theirs.
     """
     s = symbols.where("name IS NOT NULL").select("symbol_id", "name", F.lower("name").alias("low"))
     q = queries.where("query IS NOT NULL AND query <> ''").select("query", F.lower("query").alias("ql")).distinct()
-    known = s.select(F.col("low").alias("hit")).distinct()
-    posting = known.select("hit", F.explode(trigrams(F.col("hit"))).alias("gram"))
+    known = s.groupBy(F.col("low").alias("hit")).agg(F.min(F.struct(F.length("name").alias("size"), "name")).alias("first"))
+    posting = known.select("hit", "first", F.explode(trigrams(F.col("hit"))).alias("gram"))
     df = posting.groupBy("gram").agg(F.count("*").alias("df"))
     rare = q.select("query", "ql", F.explode(trigrams(F.col("ql"))).alias("gram")).join(df, "gram")  # no hit without all of them, which is verified below
     rare = rare.groupBy("query", "ql").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    names = rare.join(posting, "gram").where(F.contains("hit", F.col("ql"))).select("query", "ql", "hit")
-    runs = known.select("hit", F.explode(F.concat(grams(F.col("hit"), 1), grams(F.col("hit"), 2))).alias("gram"))
-    short = q.where(F.length("ql") < 3).join(runs, F.col("ql") == F.col("gram")).select("query", "ql", "hit")
-    j = names.unionByName(short).join(s, F.col("hit") == F.col("low"))
-    match = F.when(F.col("low") == F.col("ql"), "exact").when(F.startswith("low", F.col("ql")), "prefix").otherwise("contains")
+    names = rare.join(posting, "gram").where(F.contains("hit", F.col("ql"))).select("query", "ql", "hit", "first")
+    runs = known.select("hit", "first", F.explode(F.concat(grams(F.col("hit"), 1), grams(F.col("hit"), 2))).alias("gram"))
+    short = q.where(F.length("ql") < 3).join(runs, F.col("ql") == F.col("gram")).select("query", "ql", "hit", "first")
+    match = F.when(F.col("hit") == F.col("ql"), "exact").when(F.startswith("hit", F.col("ql")), "prefix").otherwise("contains")
     rank = F.when(match == "exact", 0).when(match == "prefix", 1).otherwise(2)
+    top = names.unionByName(short).withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(rank, "first", "hit"))).where(F.col("rn") <= limit)
+    j = top.drop("first").join(s, F.col("hit") == F.col("low"))
     w = Window.partitionBy("query").orderBy(rank, F.length("name"), "name", "symbol_id")
     return j.select("query", "symbol_id", match.alias("match"), F.row_number().over(w).alias("place")).where(F.col("place") <= limit)
 

@@ -13,6 +13,11 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return facts.resolved(spark, folder)
 
 
+def call_graph(spark, folder):
+    """Who calls whom: the edges of all walks. The first query to ask for them derives the facts that all code queries share."""
+    return _edges(spark, folder)
+
+
 def _seeds(e: DataFrame) -> DataFrame:
     return e.select(F.col("dst").alias("seed")).distinct()
 
@@ -66,7 +71,7 @@ def merged_walks(spark, folder):
     return walk.merge_depths(walk.reach(e, seeds, 1), walk.reach(e, seeds, 2), ["seed", "node"])
 
 
-QUERIES = {f.__name__: f for f in (impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, visible_symbols, local_variables, merged_walks)}
+QUERIES = {f.__name__: f for f in (call_graph, impact_walk, impact_flags, impact_open_ends, impact_by_file, ancestor_chain, visible_symbols, local_variables, merged_walks)}
 
 _E = facts.EDGES_SQL
 _WALK = f"""WITH RECURSIVE {_E}, g AS (SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM e WHERE to_symbol_id IS NOT NULL),
@@ -76,6 +81,7 @@ _UP = f"""WITH RECURSIVE {facts.SYMBOLS_SQL}, up AS (SELECT a.symbol_id, b.symbo
   UNION ALL SELECT u.symbol_id, p.symbol_id, u.depth + 1 FROM up u JOIN s c ON c.symbol_id = u.ancestor_id JOIN s p ON p.symbol_id = c.parent_symbol_id WHERE u.depth < 31 AND u.symbol_id <> u.ancestor_id)"""
 
 SQL = {
+    "call_graph": f"WITH {_E} SELECT DISTINCT from_symbol_id AS src, to_symbol_id AS dst FROM e WHERE to_symbol_id IS NOT NULL",
     "impact_walk": f"""{_WALK}, r AS (SELECT b.seed, s.symbol_id, s.name, s.kind, s.path, s.start_line, b.depth, coalesce(s.is_test, false) AS is_test FROM best b JOIN s ON s.symbol_id = b.node WHERE b.depth <= 2),
       q AS (SELECT *, row_number() OVER (PARTITION BY seed, is_test ORDER BY depth, path NULLS FIRST, start_line NULLS FIRST, symbol_id)::INTEGER AS place
         FROM r WHERE is_test OR kind NOT IN ('import', 'field', 'property', 'variable', 'parameter', 'module', 'namespace'))
