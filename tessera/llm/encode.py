@@ -20,6 +20,8 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that share one block dictionary; a longer text has a block of its own.
 BLOCK_CHARS = 500_000
+#: Blocks in a row group of their table: a reader takes a whole group into memory, however many blocks a task has made.
+BLOCK_ROWS = 16
 #: Blocks whose dictionaries are joined together: a word comes at most so often under one key, however common it is.
 GROUP_BLOCKS = 4096
 
@@ -102,7 +104,7 @@ def _placed(documents: DataFrame, carry: str | None, value: str, vocabulary: str
     documents.sparkSession.sparkContext.addFile(vocabulary)  # a file that is known already is not sent again
     more = F.col(carry) if carry else F.lit(None)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), more.cast("string").alias("carried"))
-    blocks = cut(spread(texts).mapInArrow(_blocks, "block bigint, docs array<struct<doc_id:bigint,carried:string,idx:array<int>>>, words array<string>"), "blocks")
+    blocks = cut(spread(texts).mapInArrow(_blocks, "block bigint, docs array<struct<doc_id:bigint,carried:string,idx:array<int>>>, words array<string>"), "blocks", BLOCK_ROWS)
     groups = -(-blocks.count() // GROUP_BLOCKS)  # one number
     words = blocks.select("block", F.pmod(F.xxhash64("block"), F.lit(max(1, groups))).alias("group"), F.posexplode("words").alias("no", "word"))
     encoded = words.select("word").distinct().mapInArrow(_encode_words(os.path.basename(vocabulary)), "word string, ids array<int>").select("word", F.expr(value).alias("v"))

@@ -66,3 +66,28 @@ def test_words_meet_their_blocks_in_groups(spark, tokenizer, monkeypatch):
     got = {r.doc_id: r.ids for r in encode.encode(docs(spark, texts)).collect()}
     assert got == {i: tokenizer(t or "") for i, t in texts}
     assert {r.doc_id: (r.block, r.tokens) for r in encode.lengths(docs(spark, texts), "block").collect()} == {i: ("clash", len(v)) for i, v in got.items()}
+
+
+def block_groups(spark, monkeypatch, build):
+    """Rows of the row groups of the blocks that build(documents) writes, over 12 blocks in one task, and its rows."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    from tessera import session
+
+    monkeypatch.setattr(encode, "BLOCK_ROWS", 3, raising=False)
+    monkeypatch.setattr(encode, "spread", lambda df: df)
+    before = len(session._written)
+    found = sorted(map(tuple, build(docs(spark, [(i, f"word{i} " * 45_000) for i in range(12)]).coalesce(1)).collect()))
+    blocks = next(p for _, p in session._written[before:] if "/blocks-" in p)
+    files = [pq.ParquetFile(f).metadata for f in Path(urlparse(blocks).path).glob("*.parquet")]
+    return [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)], found
+
+
+def test_row_groups_of_blocks_are_bounded(spark, monkeypatch):
+    """A reader holds a row group's arrays at once; a task with many blocks wrote them all into one."""
+    groups, found = block_groups(spark, monkeypatch, lambda d: encode.encode(d.select("doc_id", "text")))
+    assert sum(groups) == 12 and max(groups) <= 3
+    assert [i for i, _ in found] == list(range(12)) and all(ids for _, ids in found)
