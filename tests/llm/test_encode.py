@@ -91,3 +91,9 @@ def test_row_groups_of_blocks_are_bounded(spark, monkeypatch):
     groups, found = block_groups(spark, monkeypatch, lambda d: encode.encode(d.select("doc_id", "text")))
     assert sum(groups) == 12 and max(groups) <= 3
     assert [i for i, _ in found] == list(range(12)) and all(ids for _, ids in found)
+
+
+def test_row_groups_of_lengths_are_bounded(spark, monkeypatch):
+    groups, found = block_groups(spark, monkeypatch, lambda d: encode.lengths(d.withColumnRenamed("block", "source"), "source"))
+    assert sum(groups) == 12 and max(groups) <= 3
+    assert [(i, s) for i, s, _ in found] == [(i, "clash") for i in range(12)] and all(n > 0 for *_, n in found)
