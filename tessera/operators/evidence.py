@@ -229,7 +229,7 @@ def weigh(sites: DataFrame, symbols: DataFrame, above: DataFrame, imports: DataF
     in_front = total(some("namespace", "namespace").withColumn("owner", F.explode(F.array_distinct("namespace"))).join(owners, "owner"), "namespace")
     members = by(inner, "fam", "parent_symbol_id").withColumnRenamed("parent_symbol_id", "type_id").join(some("type_id", "type_id"), "type_id", "left_semi")
     chain = above.where("depth > 0").select(F.col("symbol_id").alias("type_id"), F.col("name").alias("owner"), "depth").join(some("type_id", "type_id"), "type_id", "left_semi")
-    seen = _seen(imports, some("path", "path"))
+    seen = _seen(imports).join(some("path", "path"), "path", "left_semi")
     in_file = by(top, "fam", "path")
     imported = cut(seen.join(in_file.withColumnRenamed("path", "imported"), "imported"), "imported")
     own = some("type", "type")
@@ -271,10 +271,10 @@ def _qualified() -> Column:
     return F.col("receiver").isNotNull() | F.coalesce(F.size("namespace") > 0, F.lit(False))
 
 
-def _seen(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """(path, imported, stem) of these files."""
+def _seen(imports: DataFrame) -> DataFrame:
+    """(path, imported, stem): files that a file imports, with the names by which it may call them."""
     stem = F.lower(F.regexp_extract("imported", r"([^/.]*)[^/]*$", 1))
-    return imports.select("path", "imported", stem.alias("stem")).distinct().join(paths, "path", "left_semi")
+    return imports.select("path", "imported", stem.alias("stem")).distinct()
 
 
 def decide_weighed(weighed: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def rivals_decided(decided: DataFrame, symbols: DataFrame, imports: DataFrame) -
     d = cut(_definitions(symbols), "definitions")
     top = d.where("parent_symbol_id IS NULL")
     far = top.groupBy("name", "fam", F.col("path").alias("imported"), F.col("folder").alias("other")).agg(F.count("*").alias("n"))
-    seen = _seen(imports, decided.select("path").distinct()).withColumn("folder", folder(F.col("path")))
+    seen = _seen(imports).withColumn("folder", folder(F.col("path")))
     outside = seen.join(far, "imported").where("folder <> other").groupBy("name", "fam", "path").agg(F.sum("n").alias("n"))
     key = {"name": F.col("name"), "fam": F.col("fam")}
     s = _look(decided, d.where("parent_symbol_id IS NOT NULL").groupBy("name", "fam").agg(F.count("*").alias("n")), "m", **key)
