@@ -68,6 +68,59 @@ def test_recall_against_brute_force(spark):
         assert set(ranked(got, q)) == bears
 
 
+def words_and_symbols(spark, seed=7, n=400):
+    import random
+
+    rng = random.Random(seed)
+    words = ["load", "loads", "config", "file", "reader", "queue", "next", "open", "opened", "state", "get", "id", "7"]
+    some = lambda *k: rng.sample(words, rng.choice(k))
+    rows = [(f"s{k:03}", rng.choice(["", "", "_"]) + "_".join(some(1, 2, 3)), rng.choice(["function", "method", "constant", "class", None]), rng.choice([None, f"f({', '.join(some(1, 2, 3))})"]), rng.choice([None, f"The {' '.join(some(1, 2, 4))}."])) for k in range(n)]
+    rows += [("null", None, "function", "load(config)", "Open the file."), ("twin", "load_config", "function"), ("twin2", "load_config", "function"), ("odd", "été_load", "function")]
+    asked = [" ".join(x) for k in (1, 2, 3, 4) for x in (rng.sample(words, k) for _ in range(8))] + ["load config", "LoadConfig", "nowhere", "nowhere load", "was", "", "été load"]
+    return table(spark, *rows), queries(spark, *asked, None)
+
+
+@pytest.mark.parametrize("limit, most, together", [(1, 8, 50_000), (3, 8, 50_000), (10, 8, 3), (10, 2, 50_000), (500, 8, 50_000)])
+def test_first_rows_are_those_of_all_rows(spark, rows, monkeypatch, limit, most, together):
+    """Sets of words answered once give what scoring every row gives, whatever the limit, in passes and beside long queries."""
+    s, q = words_and_symbols(spark)
+    every = lookup._all_rows(s, q.select("query", names.content_words(F.array_distinct(names.tokens(F.col("query")))).alias("terms")).where("size(terms) > 0").distinct(), s.count(), limit, False)
+    monkeypatch.setattr(lookup, "MOST_WORDS", most)
+    monkeypatch.setattr(lookup, "SETS_TOGETHER", together)
+    assert rows(lookup.search_all_fields(s, q, limit)) == rows(every)
+
+
+def test_queries_score_few_rows(spark, monkeypatch):
+    """Rows that are scored grow with the queries' sets of words, not with the symbols that bear a word."""
+    s, _ = words_and_symbols(spark)
+    scored, rank = [], lookup._ranked
+    monkeypatch.setattr(lookup, "_ranked", lambda df, *a: scored.append(df.count()) or rank(df, *a))
+    lookup.search_all_fields(s, spark.createDataFrame([("load config",), ("file config",)], "query string"), 2).collect()
+    assert sum(scored) <= 2 * 3 * 2  # queries, subsets of their words, limit
+
+
+def test_steps_of_a_task_do_not_change_its_rows(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from tessera.operators import ranked as r
+
+    rng = random.Random(3)
+    words = [f"w{c}" for c in "abcdefgh"]
+    some = lambda: rng.sample(words, rng.randrange(1, 5))
+    data = [{"symbol_id": f"{k:03}", "name": "_".join(n := some()), "kind": "function", "hidden": False, "callable": k % 2 == 0, "strong": True, "low": "_".join(n), "words": n, "sig": some(), "doc": None if k % 3 else some()} for k in range(120)]
+    batch = pa.RecordBatch.from_pylist(data, pa.schema([(c, pa.list_(pa.string()) if c in ("words", "sig", "doc") else pa.bool_() if c in ("hidden", "callable", "strong") else pa.string()) for c in data[0]]))
+    tree = r.Words([sorted(some()) for _ in range(30)], {w: 1.0 + k / 7 for k, w in enumerate(words)})
+    got = []
+    for held, step in ((r.HELD, r.STEP), (20, 3)):
+        monkeypatch.setattr(r, "HELD", held)
+        monkeypatch.setattr(r, "STEP", step)
+        run = r.first_rows(tree, 4, (3.0, 2.0, 1.0, 1.0), (100.0, 60.0, 60.0, 6.0))
+        got.append(sorted((a["list"], round(a["score"], 6), x["symbol_id"], tuple(x["hits"])) for b in run(iter([batch])) for x in b.to_pylist() for a in x["at"]))
+    assert got[0] == got[1] and got[0] and list(run(iter([]))) == [] and list(run(iter([batch.slice(0, 0)]))) == []
+
+
 def test_answers_by_source(spark):
     s = table(spark, ("1", "parse", "function"), ("2", "parse_file", "function"), ("3", "os", "import"), ("4", "os", "import"), ("5", "fn", "function"), ("6", "parse_local", "variable", None, None, "5"), ("7", "format_symbol_body", "function"), ("8", "readThing", "function", None, "parse things"))
     got = {}
