@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm import docpairs, encode, handwritten, mixture, quantiles, spam
 from tessera.llm.sql import SQL
 from tessera.session import cut
-from tessera.sources.tables import table
+from tessera.sources.tables import table, texts_table
 
 
 def _documented(spark: SparkSession, folder: str, with_code: bool = True) -> DataFrame:
@@ -59,7 +59,7 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mixture.mixture(texts_table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_plan(spark: SparkSession, folder: str) -> DataFrame:
     """What each source has and is to give, before anything is drawn."""
-    sizes = cut(mixture.sized(table(spark, folder, "documents")), "sizes")
+    sizes = cut(mixture.sized(texts_table(spark, folder, "documents")), "sizes")
     return mixture.plan(sizes, table(spark, folder, "mix_targets")).drop("rate")
 
 

@@ -109,3 +109,22 @@ def test_found_comes_from_the_report(spark, tmp_path):
     assert [r.source for r in found.collect()] == ["b"]  # 2 of 8 tokens, twice
     assert "flights" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.source: r.available_tokens for r in plans.p9_report(spark, str(tmp_path)).collect()} == {"a": 6, "b": 2}
+
+
+def test_texts_take_no_direct_buffer_of_their_row_group(spark, tmp_path, monkeypatch):
+    """Vectored reads hold a row group's column twice: as one array, and in a direct buffer that its thread keeps."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import plans
+
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(32_000)), lambda i: F.sha2((F.col("id") * 100_000 + i).cast("string"), 256)))
+    spark.range(0, 16, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("a").alias("source")).write.option("compression", "none").parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 2.0, 1), ("b", 0.0, 1)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    monkeypatch.setattr(mixture, "sized", lambda d: d.select("doc_id", "source", F.length("text").cast("bigint").alias("tokens")))
+    jvm = spark._jvm
+    pools = jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean"))
+    direct = next(p for p in pools if p.getName() == "direct")
+    for query in (plans.p9_found, plans.p9_plan):
+        before = direct.getMemoryUsed()
+        assert [(r.source, r.asDict().get("available_tokens", 16 * 32_000 * 64)) for r in query(spark, str(tmp_path)).collect() if r.source == "a"] == [("a", 16 * 32_000 * 64)]
+        assert direct.getMemoryUsed() - before < 16 << 20
